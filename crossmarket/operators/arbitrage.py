@@ -185,22 +185,26 @@ def performance_summary(opportunities: DataFrame) -> DataFrame:
         *[F.count_if(F.col("risk_level") == n).alias(f"risk_{n}") for n in levels], best.alias("top_opportunity"))
 
 
-def contract_view(opportunities: DataFrame) -> DataFrame:
-    """Nested buy/sell projection of the service contract."""
+def contract_view(opportunities: DataFrame, invested: float = 1000.0) -> DataFrame:
+    """Nested buy/sell projection of the service contract (return is for `invested` dollars)."""
     cheap_k = F.col("kalshi_price") < F.col("polymarket_price")
 
     def leg(buy: bool) -> Column:
-        pick = lambda c: (F.when(cheap_k if buy else ~cheap_k, F.col(f"kalshi_{c}"))
-                          .otherwise(F.col(f"polymarket_{c}")).alias(c))
-        name = F.when(cheap_k if buy else ~cheap_k, "kalshi").otherwise("polymarket")
-        return F.struct(name.alias("platform"), pick("id"), pick("title"), pick("price"), pick("volume"))
+        mine = cheap_k if buy else ~cheap_k
+        pick = lambda c: F.when(mine, F.col(f"kalshi_{c}")).otherwise(
+            F.col(f"polymarket_{c}"))
+        return F.struct(pick("title").alias("title"),
+                        F.when(mine, "kalshi").otherwise("polymarket").alias("platform"),
+                        pick("id").alias("externalId"), F.lit("Yes" if buy else "No").alias("outcome"),
+                        pick("price").alias("price"), pick("volume").alias("volume"))
 
     return opportunities.select(
-        F.col("opportunity_id").alias("id"), leg(True).alias("buy"), leg(False).alias("sell"),
+        F.col("opportunity_id").alias("id"), leg(True).alias("buyMarket"), leg(False).alias("sellMarket"),
         F.col("expected_profit_percentage").alias("profitMargin"), F.col("confidence_score").alias("confidence"),
+        F.col("kalshi_category").alias("category"), F.col("risk_level").alias("riskLevel"),
+        F.col("detected_at").alias("detectedAt"), F.col("expires_at").alias("expiresAt"),
         F.lit(10.0).alias("minInvestment"), F.col("position_size").alias("maxInvestment"),
-        F.col("expected_profit_usd").alias("potentialReturn"), F.col("risk_level").alias("riskLevel"),
-        F.col("expires_at").alias("expiresAt"))
+        F.round(F.col("expected_profit_percentage") * invested, 6).alias("estimatedReturn"))
 
 
 def with_yes_no(members: DataFrame) -> DataFrame:
