@@ -51,8 +51,8 @@ def zipped(outcomes_json: Column, prices_json: Column, ids_json: Column) -> Colu
     rows = F.slice(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("id", "name", "price"))]),
                    F.lit(1), usable)
     typed = F.transform(rows, lambda o: F.struct(
-        o["0"].alias("id"), o["1"].alias("name"), o["2"].try_cast("double").alias("price"),
-        o["2"].isNotNull().alias("priced")))
+        o["id"].alias("id"), o["name"].alias("name"), o["price"].try_cast("double").alias("price"),
+        o["price"].isNotNull().alias("priced")))
     kept = F.filter(typed, lambda o: (F.length(o["id"]) > 0) & (F.length(o["name"]) > 0) & o["priced"])
     return F.transform(kept, lambda o: F.struct(o["id"].alias("id"), o["name"].alias("name"),
                                                 o["price"].alias("price")))
@@ -72,14 +72,10 @@ def _outcome(name: Column, price: Column, volume: Column) -> Column:
                     price.cast("double").alias("probability"))
 
 
-def yes_no(price_text: Column, yes_volume: Column, no_volume: Column) -> Column:
-    """Yes at the given price, No at its complement."""
-    yes = prices.normalize_price(F.coalesce(price_text, F.lit("0.5")))
+def yes_no(yes: Column, yes_volume: Column, no_volume: Column) -> Column:
+    """Yes at a normalized price, No at its complement, with normalized volumes."""
     no = (F.lit("1").cast("decimal(18,4)") - yes).cast("decimal(18,4)")
-    zero = F.lit("0")
-    return F.array(
-        _outcome(F.lit("Yes"), yes, prices.normalize_volume(F.coalesce(yes_volume, zero))),
-        _outcome(F.lit("No"), no, prices.normalize_volume(F.coalesce(no_volume, zero))))
+    return F.array(_outcome(F.lit("Yes"), yes, yes_volume), _outcome(F.lit("No"), no, no_volume))
 
 
 def listed(outcomes_json: Column) -> Column:

@@ -30,19 +30,26 @@ def digits(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\d.]", "")
 
 
-def normalize_price(text: Column, cfg: NormalizationConfig = NormalizationConfig()) -> Column:
-    """Price text to DECIMAL(18,4): digits only, half-even, clamped; unreadable is the default."""
-    value = digits(text).try_cast("decimal(28,10)")
+def to_decimal(value: Column, numeric: bool) -> Column:
+    """Exact decimal of a number, or of the digits in a text."""
+    return (value if numeric else digits(value)).try_cast("decimal(28,10)")
+
+
+def normalize_price(price: Column, numeric: bool = False,
+                    cfg: NormalizationConfig = NormalizationConfig()) -> Column:
+    """Price to DECIMAL(18,4): half-even, clamped; unreadable is the default."""
+    value = to_decimal(price, numeric)
     low, high = (F.lit(str(v)).cast("decimal(18,4)") for v in (cfg.min_price, cfg.max_price))
     rounded = F.bround(value, 4).cast("decimal(18,4)")
     return (F.when(value.isNull(), F.lit(str(cfg.default_price)).cast("decimal(18,4)"))
             .when(value < low, low).when(value > high, high).otherwise(rounded))
 
 
-def normalize_volume(text: Column) -> Column:
-    """Volume text to DECIMAL(18,2): digits only, half-even; unreadable is zero."""
-    value = digits(text).try_cast("decimal(28,10)")
-    return F.coalesce(F.bround(value, 2).cast("decimal(18,2)"), F.lit("0").cast("decimal(18,2)"))
+def normalize_volume(volume: Column, numeric: bool = False) -> Column:
+    """Volume to DECIMAL(18,2): non-negative, half-even; unreadable is zero."""
+    value = to_decimal(volume, numeric)
+    zero = F.lit("0").cast("decimal(18,2)")
+    return F.coalesce(F.greatest(F.bround(value, 2).cast("decimal(18,2)"), zero), zero)
 
 
 def cents_to_share(price: Column) -> Column:

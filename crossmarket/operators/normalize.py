@@ -22,11 +22,10 @@ def filled(*values: Column) -> Column:
 
 
 def _common(platform: str, external_id: Column, title: Column, description: Column, category: Column,
-            outcome_array: Column, volume_text: Column, status: Column, created: Column, end: Column,
+            outcome_array: Column, volume: Column, status: Column, created: Column, end: Column,
             as_of: str) -> list[Column]:
     clean_title = text.clean_text(title, CFG.max_title_length)
     name = categories.normalized(category, clean_title, platform, CFG.category_confidence)
-    volume = prices.normalize_volume(F.coalesce(volume_text, F.lit("0")))
     return [external_id.alias("external_id"), F.lit(platform).alias("platform"), clean_title.alias("title"),
             text.clean_text(description, CFG.max_description_length).alias("description"),
             name.alias("category"), outcome_array.alias("outcomes"),
@@ -39,29 +38,31 @@ def _common(platform: str, external_id: Column, title: Column, description: Colu
 def kalshi(df: DataFrame, as_of: str) -> DataFrame:
     """Pipeline variant: bid (else ask, else even) prices Yes, No is the complement."""
     quote = F.coalesce(present(df, "yes_bid", "double"), present(df, "yes_ask", "double"), F.lit(0.5))
-    sides = outcomes.yes_no(quote.cast("string"), present(df, "yes_volume").cast("string"),
-                            present(df, "no_volume").cast("string"))
+    sides = outcomes.yes_no(prices.normalize_price(quote, numeric=True),
+                            prices.normalize_volume(present(df, "yes_volume", "double"), numeric=True),
+                            prices.normalize_volume(present(df, "no_volume", "double"), numeric=True))
     created = dates.parse_date(F.col("open_time"), as_of)
     end = dates.parse_date(F.col("close_time"), as_of)
     status = categories.kalshi_status(F.col("status"), end, dates.as_timestamp(as_of))
     return df.select(*_common(
         "kalshi", F.coalesce("id", "ticker", F.lit("")), F.col("title"), F.col("subtitle"), F.col("category"),
-        sides, F.col("volume").cast("decimal(28,6)").cast("string"), status, created, end, as_of))
+        sides, prices.normalize_volume(F.col("volume"), numeric=True), status, created, end, as_of))
 
 
 def polymarket(df: DataFrame, as_of: str) -> DataFrame:
     """Pipeline variant: explicit outcome objects, else a binary pair from the price field."""
-    explicit = outcomes.listed(F.col("outcome_objects")) if "outcome_objects" in df.columns else F.lit(None)
-    binary = outcomes.yes_no(F.coalesce(present(df, "price").cast("string"), F.lit("0.5")),
-                             F.col("volume"), F.lit("0"))
-    sides = F.coalesce(explicit, binary) if "outcome_objects" in df.columns else binary
+    volume = prices.normalize_volume(F.coalesce(F.col("volume"), present(df, "volumeUSD")))
+    sides = outcomes.yes_no(prices.normalize_price(present(df, "price", "double"), numeric=True), volume,
+                            F.lit("0").cast("decimal(18,2)"))
+    if "outcome_objects" in df.columns:
+        sides = F.coalesce(outcomes.listed(F.col("outcome_objects")), sides)
     created = dates.parse_date(F.col("createdAt"), as_of)
     end = dates.parse_date(F.coalesce("endDate", present(df, "resolutionDate")), as_of)
     status = categories.polymarket_status(F.col("closed"), F.col("active"), end, dates.as_timestamp(as_of))
     return df.select(*_common(
         "polymarket", F.coalesce("id", "conditionId", F.lit("")), F.coalesce("question", "title"),
         F.col("description"), F.col("category"), sides,
-        F.coalesce(F.col("volume"), present(df, "volumeUSD")), status, created, end, as_of))
+        volume, status, created, end, as_of))
 
 
 def dispatch(envelopes: DataFrame, as_of: str, schemas: dict[str, str]) -> tuple[DataFrame, DataFrame]:

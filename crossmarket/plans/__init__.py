@@ -1 +1 @@
-
+"""Registered queries by family; importing a module registers its queries."""
