@@ -255,8 +255,10 @@ def first_word_matches(markets: DataFrame, k: int = 5, min_gap: float = 0.1) ->
     head = F.substring("_word", 1, 3)
     words = p.select("_word").distinct().withColumn("_head", head)
     starts = F.sequence(F.lit(1), F.greatest(F.length("_low"), F.lit(1)))
-    pieces = F.flatten(F.array(F.array(F.lit("")), *[
-        F.transform(starts, lambda i, n=n: F.substring(F.col("_low"), i, F.lit(n))) for n in (1, 2, 3)]))
+    def pieces_of(n: int) -> Column:
+        return F.transform(starts, lambda i: F.substring(F.col("_low"), i, F.lit(n)))
+
+    pieces = F.flatten(F.array(F.array(F.lit("")), *[pieces_of(n) for n in (1, 2, 3)]))
     index = k_side.select("_low").distinct().withColumn("_head", F.explode(F.array_distinct(pieces)))
     hits = slice_join(words, index, ["_head"], "_word", "_low",
                       (F.col("_word") == "") | (F.instr(F.col("_low"), F.col("_word")) > 0)).drop("_head")

@@ -167,5 +167,6 @@ def needed(sql: str, known: dict[str, str]) -> list[str]:
 def oracle(body: str, **extra: str) -> str:
     """A self-contained statement: the views it needs as CTEs, then the body."""
     known = {**VIEWS, **extra}
-    ctes = ",\n".join(f"{name} AS ({known[name]})" for name in needed(body, known))
+    # Materialized, so that long chains of views are not expanded into one expression.
+    ctes = ",\n".join(f"{name} AS MATERIALIZED ({known[name]})" for name in needed(body, known))
     return f"WITH RECURSIVE {ctes}\n{body}" if ctes else body

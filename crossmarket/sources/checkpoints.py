@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -20,3 +20,12 @@ def checkpoint_root(spark: SparkSession) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder, with their lineage cut.
+
+    For results that are expensive to derive and read more than once downstream.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
