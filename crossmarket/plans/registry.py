@@ -29,7 +29,8 @@ def tidy(df: DataFrame, rounded: list[str]) -> DataFrame:
         elif isinstance(f.dataType, T.ArrayType):
             c = F.array_join(c.cast("array<string>"), ",")
         if f.name in rounded:
-            c = F.round(c, 6) + F.lit(0.0)
+            # Through a decimal, so that ties round alike in every engine.
+            c = F.round(c.cast("decimal(38,9)"), 6).cast("double")
         columns.append(c.alias(f.name))
     return df.select(*columns)
 
@@ -51,7 +52,7 @@ def query(name: str, sql: str | None = None, r: str = "", views: dict[str, str]
         if sql is not None:
             body = sql
             if rounded:
-                columns = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in rounded)
+                columns = ", ".join(f"CAST(round(CAST({c} AS DECIMAL(38,9)), 6) AS DOUBLE) AS {c}" for c in rounded)
                 body = f"SELECT * REPLACE ({columns}) FROM ({sql}) AS result"
             ORACLES[name] = oracle(body, **(views or {}))
         return fn
