@@ -34,15 +34,17 @@ def bucket_points(bucket: vocab.Bucket, body: Column, category: Column, end: Col
     return F.when(vetoed, F.lit(0.0)).otherwise(F.coalesce(points, F.lit(0.0)))
 
 
-def best_bucket(title: Column, description: Column, category: Column, end: Column, start: Column,
-                cfg: BucketConfig = BucketConfig(),
+def body_text(title: Column, description: Column) -> Column:
+    return F.concat_ws(" ", F.lower(title), F.lower(F.coalesce(description, F.lit(""))))
+
+
+def best_bucket(body: Column, category: Column, end: Column, start: Column, cfg: BucketConfig = BucketConfig(),
                 buckets: tuple[vocab.Bucket, ...] = vocab.BUCKETS) -> Column:
     """Struct (bucket, confidence) from one fold over the buckets in definition order.
 
     A bucket wins when its points plus priority boost exceed the points stored so far; what is
     stored are the points without the boost, so later buckets can displace better ones.
     """
-    body = F.concat_ws(" ", F.lower(title), F.lower(F.coalesce(description, F.lit(""))))
     scored = F.array(*[
         F.struct(F.lit(b.name).alias("name"),
                  F.lit(float((5 - b.priority) * 5 if cfg.use_boost else 0)).alias("boost"),
@@ -62,11 +64,15 @@ def best_bucket(title: Column, description: Column, category: Column, end: Colum
 
 def with_bucket(markets: DataFrame, cfg: BucketConfig = BucketConfig(),
                 buckets: tuple[vocab.Bucket, ...] = vocab.BUCKETS) -> DataFrame:
-    """Adds bucket and bucket_confidence."""
-    folded = best_bucket(F.col("title"), F.col("description"), F.col("category"),
-                         F.col("close_time"), F.col("open_time"), cfg, buckets)
-    return (markets.withColumn("_b", folded).withColumn("bucket", F.col("_b.bucket"))
-            .withColumn("bucket_confidence", F.col("_b.confidence")).drop("_b"))
+    """Adds bucket and bucket_confidence.
+
+    The searched text is a column of its own, so that it is built once per row and not once per
+    keyword.
+    """
+    folded = best_bucket(F.col("_body"), F.col("category"), F.col("close_time"), F.col("open_time"), cfg, buckets)
+    return (markets.withColumn("_body", body_text(F.col("title"), F.col("description")))
+            .withColumn("_b", folded).withColumn("bucket", F.col("_b.bucket"))
+            .withColumn("bucket_confidence", F.col("_b.confidence")).drop("_b", "_body"))
 
 
 def keyword_bucket(title: Column, category: Column) -> Column:

@@ -20,20 +20,27 @@ def with_position(history: DataFrame, keys: tuple[str, ...] = KEYS,
 
 def history_stats(history: DataFrame, keys: tuple[str, ...] = KEYS,
                   cfg: EnrichmentConfig = EnrichmentConfig()) -> DataFrame:
-    """All per-series figures in one pass: one sort for the numbering, one aggregation."""
-    points = with_position(history, keys)
+    """All figures of a series: whole-series aggregates joined to those of its last few points.
+
+    The aggregates combine before the shuffle and the numbering is cut to the last points before
+    it (group limit), so one very long series does not end up sorted in one task.
+    """
     rn, price, volume = F.col("rn"), F.col("price"), F.col("volume")
+    depth = max(cfg.price_points, cfg.recent_points, 3)
+    last = with_position(history, keys).where(rn <= depth)
     recent = rn <= cfg.recent_points
     at = lambda i, c: F.max(F.when(rn == i, c))
-    return points.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("points"), F.avg(F.when(rn <= cfg.price_points, price)).alias("avg_recent_price"),
-        at(1, price).alias("last_price"), at(3, price).alias("third_last_price"),
-        F.min_by(price, F.struct(F.col("timestamp"), F.col("event_id"))).alias("first_price"),
-        at(1, volume).alias("last_volume"),
+    tail = last.groupBy(*keys).agg(
+        F.avg(F.when(rn <= cfg.price_points, price)).alias("avg_recent_price"),
+        at(1, price).alias("last_price"), at(3, price).alias("third_last_price"), at(1, volume).alias("last_volume"),
         F.max_by(F.when(recent, volume), F.when(recent, rn)).alias("recent_first_volume"),
+        F.stddev_pop(F.when(recent, price)).alias("recent_volatility"))
+    whole = history.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("points"),
+        F.min_by(price, F.struct(F.col("timestamp"), F.col("event_id"))).alias("first_price"),
         F.stddev_pop(price).alias("price_volatility"), F.stddev_pop(volume).alias("volume_volatility"),
-        F.stddev_pop(F.when(recent, price)).alias("recent_volatility"),
         F.min(price).alias("support_level"), F.max(price).alias("resistance_level"))
+    return whole.join(tail, list(keys))
 
 
 def historical_context(stats: DataFrame, current: Column | None = None,
@@ -71,11 +78,22 @@ def trend(stats: DataFrame) -> DataFrame:
             .withColumn("trend_duration_hours", F.col("points") * 24))
 
 
-def price_changes(observations: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Observations whose price differs from the one before; the first is always kept."""
-    order = Window.partitionBy(*keys).orderBy("timestamp", "event_id")
-    before = F.lag("price").over(order)
-    return (observations.withColumn("previous_price", before)
+def price_changes(observations: DataFrame, keys: tuple[str, ...] = KEYS, span: str = "day") -> DataFrame:
+    """Observations whose price differs from the one before; the first is always kept.
+
+    Series are compared inside time spans, so a long one is spread over many tasks. What the
+    first observation of a span follows is the last one of the span before, found among one row
+    per series and span.
+    """
+    sliced = observations.withColumn("_span", F.date_trunc(span, "timestamp"))
+    inside = Window.partitionBy(*keys, "_span").orderBy("timestamp", "event_id")
+    ends = sliced.groupBy(*keys, "_span").agg(F.max_by("price", F.struct("timestamp", "event_id")).alias("_end"))
+    series = Window.partitionBy(*keys).orderBy("_span")
+    carried = ends.select(*keys, "_span", F.lag("_end").over(series).alias("_carried"))
+    compared = (sliced.withColumn("_rn", F.row_number().over(inside)).withColumn("_lag", F.lag("price").over(inside))
+                .join(carried, [*keys, "_span"]))
+    before = F.when(F.col("_rn") == 1, F.col("_carried")).otherwise(F.col("_lag"))
+    return (compared.withColumn("previous_price", before).drop("_span", "_rn", "_lag", "_carried")
             .where(F.col("previous_price").isNull() | (F.col("price") != F.col("previous_price"))))
 
 

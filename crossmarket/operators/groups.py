@@ -72,17 +72,18 @@ def group_table(memberships: DataFrame, markets: DataFrame) -> DataFrame:
 
 def latest_groups(memberships: DataFrame, markets: DataFrame, platforms: DataFrame,
                   limit: int = 50) -> DataFrame:
-    """The last groups with their members and platforms, nested.
+    """The last groups with one row per member, its title and platform.
 
-    Groups are cut to the limit first, then only their members are joined and collected.
+    Flat rather than nested: a group may be large, and a row per member never has to fit in one
+    place. Groups are cut to the limit first, then only their members are joined.
     """
     groups = group_table(memberships, markets).orderBy(F.desc("group_id")).limit(limit)
-    members = (memberships.select("market_id", "group_id").join(groups.select("group_id"), "group_id", "left_semi")
-               .join(markets.select(F.col("id").alias("market_id"), "title", "platform"), "market_id")
-               .join(platforms.select(F.col("name").alias("platform"), "display_name"), "platform", "left"))
-    nested = members.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct(
-        "market_id", "title", F.coalesce("display_name", "platform").alias("platform")))).alias("markets"))
-    return groups.join(nested, "group_id")
+    members = (memberships.select("market_id", "group_id")
+               .join(groups.select("group_id", "name", F.col("confidence").alias("group_confidence")), "group_id")
+               .join(markets.select(F.col("id").alias("market_id"), "title", "platform"), "market_id"))
+    names = platforms.select(F.col("name").alias("platform"), "display_name")
+    return members.join(names, "platform", "left").withColumn("platform", F.coalesce("display_name", "platform")).drop(
+        "display_name")
 
 
 def unprocessed(markets: DataFrame, memberships: DataFrame) -> DataFrame:

@@ -18,6 +18,16 @@ from pyspark.sql import functions as F
 PAIR_BUDGET = 25_000_000
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join over the full number of shuffle partitions.
+
+    The work here is in the pairs, not in the bytes read. Left alone, adaptive execution would
+    merge small inputs into few partitions and compare them on few cores.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.repartition(parts, *keys).join(right.repartition(parts, *keys), keys)
+
+
 def slice_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str,
                condition: Column | None = None, budget: int = PAIR_BUDGET) -> DataFrame:
     """Inner join on keys; keys with more than `budget` pairs run as a grid of smaller joins.
@@ -25,6 +35,9 @@ def slice_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str,
     Both sides are counted per key first (map-side combined). A hot key becomes r x c slices:
     a row keeps one slice number of its own side and is repeated for each slice of the other, so
     every pair meets exactly once and no task sees more than about `budget` pairs of one key.
+
+    The table of hot keys is joined without a broadcast hint: it is small in practice, but grows
+    with the data in principle, so its size is left to be measured at run time (adaptive joins).
     """
     edge = int(math.sqrt(budget))
     hot = (left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nl"))
@@ -42,7 +55,7 @@ def slice_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str,
 
     a = sliced(left, "_rows", "_cols", "_r", "_c", left_id)
     b = sliced(right, "_cols", "_rows", "_c", "_r", right_id)
-    joined = a.join(b, [*keys, "_r", "_c"])
+    joined = spread_join(a, b, [*keys, "_r", "_c"])
     if condition is not None:
         joined = joined.where(condition)
     return joined.drop("_r", "_c")
@@ -121,4 +134,4 @@ def top_volume_pairs(left: DataFrame, right: DataFrame, keys: list[str], profile
         deepest.withColumn("_one", F.lit(1)), "_one").drop("_one"))
     a = a.withColumn("_rank", F.explode(F.sequence(
         F.lit(1), F.least(F.floor(F.lit(k) / F.col("_rank")), F.col("_deepest")).cast("int"))))
-    return a.drop("_deepest").join(b, [*keys, "_rank"]).drop("_rank")
+    return spread_join(a.drop("_deepest"), b, [*keys, "_rank"]).drop("_rank")

@@ -461,13 +461,12 @@ def platforms(spark: SparkSession) -> DataFrame:
 
 
 @query("d15_latest_groups", """
-    SELECT g.group_id, count(*) AS members, string_agg(m.market_id, ',' ORDER BY m.market_id) AS market_ids
+    SELECT g.group_id, m.market_id, k.title, CASE k.platform WHEN 'kalshi' THEN 'Kalshi' ELSE 'Polymarket' END AS platform
     FROM (SELECT DISTINCT group_id FROM members ORDER BY group_id DESC LIMIT 50) g JOIN members m USING (group_id)
-    GROUP BY 1""", views=GROUPS)
+    JOIN markets k ON k.id = m.market_id""", views=GROUPS)
 def _(spark, root):
     df = groups.latest_groups(memberships(spark, root), derived.markets(spark, root), platforms(spark))
-    return df.select("group_id", F.size("markets").alias("members"), F.array_join(F.transform(
-        "markets", lambda m: m["market_id"]), ",").alias("market_ids"))
+    return df.select("group_id", "market_id", "title", "platform")
 
 
 @query("d18_ungrouped_markets", """

@@ -72,7 +72,8 @@ GOOD, BAD = (hits("lower(title || ' ' || description)", w) for w in (vocab.POSIT
     SELECT count(*) AS total_enriched_markets, count(*) FILTER (s > 0.2) AS sentiment_positive, count(*) FILTER (s < -0.2) AS sentiment_negative,
            count(*) FILTER (s BETWEEN -0.2 AND 0.2) AS sentiment_neutral, count(v) AS with_volatility, count(t) AS with_trends,
            coalesce(avg(v), 0) AS average_volatility_score FROM (
-      SELECT CASE WHEN g + b = 0 THEN 0.0 ELSE (g - b)::DOUBLE / (g + b) END AS s, least(1.0, v) AS v, t FROM (
+      SELECT CASE WHEN g + b = 0 THEN 0.0 ELSE (g - b)::DOUBLE / (g + b) END AS s,
+             CASE WHEN v IS NOT NULL THEN least(1.0, v) END AS v, t FROM (
         SELECT n, {GOOD} AS g, {BAD} AS b FROM markets) m
       LEFT JOIN (SELECT market_id, CASE WHEN count(*) >= 5 THEN (stddev_pop(price) + stddev_pop(volume)) / 2 END AS v,
                         CASE WHEN count(*) >= 3 THEN 1 END AS t FROM history GROUP BY 1) h ON h.market_id = CAST(m.n AS VARCHAR))""",
