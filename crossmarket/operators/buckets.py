@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossmarket.config import BucketConfig
@@ -58,8 +58,8 @@ def best_bucket(body: Column, category: Column, end: Column, start: Column, cfg:
         return F.struct(F.when(wins, b["name"]).otherwise(best["name"]).alias("name"),
                         F.when(wins, b["points"]).otherwise(best["points"]).alias("points"))
 
-    folded = F.aggregate(scored, initial, step)
-    return F.struct(folded["name"].alias("bucket"), (folded["points"] / 100.0).alias("confidence"))
+    return F.aggregate(scored, initial, step, lambda best: F.struct(
+        best["name"].alias("bucket"), (best["points"] / 100.0).alias("confidence")))
 
 
 def with_bucket(markets: DataFrame, cfg: BucketConfig = BucketConfig(),
@@ -129,7 +129,6 @@ def bucket_stats(bucketed: DataFrame, samples: int = 3, keep: int = 5) -> DataFr
     """Counts, mean confidence and sample titles per bucket (first titles per venue, sorted)."""
     per_venue = bucketed.groupBy("bucket", "platform", "title").agg(
         F.count(F.lit(1)).alias("n"), F.sum("bucket_confidence").alias("s"))
-    from pyspark.sql import Window
     rank = F.row_number().over(Window.partitionBy("bucket", "platform").orderBy("title"))
     titles = (per_venue.select("bucket", "platform", "title").withColumn("rn", rank)
               .where(F.col("rn") <= samples).groupBy("bucket")

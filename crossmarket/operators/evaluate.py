@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crossmarket.config import EvaluationConfig
 from crossmarket.functions import prices, replies, text
-from crossmarket.sources.checkpoints import ensure_checkpoint_dir
+from crossmarket.sources.checkpoints import cut
 
 Evaluator = Callable[[DataFrame], DataFrame]
 
@@ -24,20 +24,19 @@ def numbered(pairs: DataFrame, order: list[Column], size: int) -> DataFrame:
     A global row number without a single-task window: rows are range-partitioned by the order,
     numbered inside each partition, and shifted by the sizes of the partitions before.
     """
-    ensure_checkpoint_dir(pairs.sparkSession)
     ranged = pairs.repartitionByRange(*order).sortWithinPartitions(*order)
-    # Checkpointed, because the ids below must not change if a partition is computed again.
-    tagged = ranged.withColumn("_seq", F.monotonically_increasing_id()).checkpoint()
     # The upper bits of the generated id are the partition, the lower bits the row inside it.
-    tagged = (tagged.withColumn("_part", F.shiftright("_seq", 33))
-              .withColumn("_row", F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1))))
+    # Written out, because the ids must not change if a partition is computed again.
+    sequence = F.monotonically_increasing_id()
+    tagged = cut(ranged.withColumn("_part", F.shiftright(sequence, 33))
+                 .withColumn("_row", sequence.bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = tagged.groupBy("_part").agg(F.max("_row").alias("_last"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select("_part", F.coalesce(F.sum(F.col("_last") + 1).over(before), F.lit(0)).alias("_shift"))
     index = F.col("_shift") + F.col("_row")
     return (tagged.join(shift, "_part")
             .withColumn("batch_id", F.floor(index / size)).withColumn("position", index % size + 1)
-            .drop("_seq", "_part", "_row", "_shift"))
+            .drop("_part", "_row", "_shift"))
 
 
 def adaptive_batches(scored: DataFrame, score: str, order: list[Column]) -> DataFrame:

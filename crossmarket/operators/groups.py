@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossmarket.sources.checkpoints import ensure_checkpoint_dir
+from crossmarket.sources.checkpoints import cut
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,13 +28,12 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
 
     Alternating large-star and small-star steps; each is a min per node (combined before the
     shuffle) and an equi-join, and the number of rounds grows with the logarithm of the longest
-    path. Every round is checkpointed so that plans stay short and lost executors cost little.
+    path. Every round is written out, so plans stay short and a lost executor costs one round.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    current = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v").distinct()
-    stars, before = current, None
+    stars = cut(edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v").distinct())
+    before = None
     for _ in range(max_rounds):
-        stars = _small_star(_large_star(stars).distinct()).checkpoint()
+        stars = cut(_small_star(_large_star(stars).distinct()))
         # Two numbers per round reach the driver: the edge count and an order-free checksum.
         seen = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == seen:
