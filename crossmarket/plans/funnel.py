@@ -14,10 +14,12 @@ def worthy_pairs(markets: DataFrame, as_of: str, cfg: RunConfig = RunConfig()) -
     """Scored pairs of the named buckets that deserve an evaluation.
 
     The bucketed listings are written once: both sides of the pair join, and the counting of hot
-    buckets, read them.
+    buckets, read them. The bucket is filtered after that, so it is not computed again to filter.
     """
-    bucketed = cut(buckets.with_bucket(markets, cfg.buckets).where(F.col("bucket") != buckets.MISC))
-    pairs = staged_filter.filter_pairs(bucketed, as_of, cfg.filters)
+    bucketed = cut(buckets.with_bucket(markets, cfg.buckets).select(
+        "bucket", "id", "platform", "title", "category", "yes_price", "volume", "close_time"))
+    named = bucketed.where(F.col("bucket") != buckets.MISC)
+    pairs = staged_filter.filter_pairs(named, as_of, cfg.filters)
     return scoring.worthy(scoring.score_pairs(pairs, as_of, cfg.scoring), cfg.scoring)
 
 

@@ -94,3 +94,16 @@ def test_landing_files_and_sinks(spark, tmp_path):
     found = landing.unwrap(landing.read_pages(spark, str(pages)), landing.POLYMARKET_PAYLOAD)
     assert sorted(r.id for r in found.collect()) == ["p1", "p2", "p3"]
     assert [sinks.run_status(*a) for a in ((3, 0), (3, 1), (0, 2))] == ["success", "partial", "error"]
+
+
+def test_open_opportunities_state_equals_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path = str(tmp_path / "in")
+    derived.stream_messages(spark, SF).select("key", "value").coalesce(1).write.json(path)
+    rows = lambda df: decode.body(decode.decode(df), "arbitrage_opportunity")
+    drain(jobs.open_opportunities(rows(jobs.file_source(spark, path))), tmp_path, "opened", "update")
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    last = spark.table("opened").groupBy("opportunity_id").agg(F.max_by("is_open", "timestamp").alias("o")).where("o")
+    want = metrics.active_opportunities(rows(spark.read.schema("key string, value string").json(path)))
+    assert {r.opportunity_id for r in last.collect()} == {r.opportunity_id for r in want.collect()}
