@@ -7,6 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from crossmarket.llm.common import read
 
 
+def op2_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crossmarket.llm.class_lm import score_texts
+    return score_texts(read(spark, sf_dir, "documents"))
+
+
+def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crossmarket.llm.near_dup import near_duplicates
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossmarket.llm.token_count import count_tokens
     return count_tokens(read(spark, sf_dir, "documents"))
@@ -17,5 +27,5 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_class_ngrams, op4_minhash_near_dup, op6_token_counts, op8_best_fit_packing)}
 ORACLES: dict[str, str] = {}
