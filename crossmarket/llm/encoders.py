@@ -56,7 +56,7 @@ def _bare_model(tokenizer: str):
 class WordIds:
     """Ids, as little-endian 32-bit bytes, for tokenizers that drop white space and never join words."""
 
-    def __init__(self, tokenizer: str, most_words: int = 400_000, most_parts: int = 600_000):
+    def __init__(self, tokenizer: str, most_words: int = 700_000, most_parts: int = 1_200_000):
         self.tokenizer, self.most_words, self.most_parts = tokenizer, most_words, most_parts
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
