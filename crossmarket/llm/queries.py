@@ -7,16 +7,31 @@ from pyspark.sql import DataFrame, SparkSession
 from crossmarket.llm.common import read
 
 
+def op1_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crossmarket.llm.decontamination import contaminated
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossmarket.llm.class_lm import score_texts
     return score_texts(read(spark, sf_dir, "documents"))
 
 
+def op3_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crossmarket.llm.language_id import identify
+    return identify(read(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossmarket.llm.near_dup import near_duplicates
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op5_anchored_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crossmarket.llm.pii import find_pii
+    return find_pii(read(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossmarket.llm.token_count import count_tokens
     return count_tokens(read(spark, sf_dir, "documents"))
@@ -27,5 +42,6 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_class_ngrams, op4_minhash_near_dup, op6_token_counts, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_cgk_decontamination, op2_class_ngrams, op3_kneser_ney_language,
+                                 op4_minhash_near_dup, op5_anchored_pii, op6_token_counts, op8_best_fit_packing)}
 ORACLES: dict[str, str] = {}
