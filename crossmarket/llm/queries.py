@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from crossmarket.llm import preference_format, quality_rules
 from crossmarket.llm.common import read
 
 
@@ -37,11 +38,22 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op7_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crossmarket.llm.quality_rules import clean_lines
+    return clean_lines(read(spark, sf_dir, "documents")).drop("cleaned")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossmarket.llm.packing import packed_documents
     return packed_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cgk_decontamination, op2_class_ngrams, op3_kneser_ney_language,
-                                 op4_minhash_near_dup, op5_anchored_pii, op6_token_counts, op8_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crossmarket.llm.preference_format import derived_pairs, format_pairs
+    return format_pairs(derived_pairs(read(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_cgk_decontamination, op2_class_ngrams, op3_kneser_ney_language, op4_minhash_near_dup, op5_anchored_pii,
+    op6_token_counts, op7_line_first_rules, op8_best_fit_packing, op10_preference_format)}
+ORACLES = {"op7_line_first_rules": quality_rules.ORACLE_SQL, "op10_preference_format": preference_format.ORACLE_SQL}
