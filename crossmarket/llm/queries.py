@@ -48,6 +48,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crossmarket.llm.rule_ensemble import score_quality
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossmarket.llm.preference_format import derived_pairs, format_pairs
     return format_pairs(derived_pairs(read(spark, sf_dir, "conversations")))
@@ -55,5 +60,6 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_cgk_decontamination, op2_class_ngrams, op3_kneser_ney_language, op4_minhash_near_dup, op5_anchored_pii,
-    op6_token_counts, op7_line_first_rules, op8_best_fit_packing, op10_preference_format)}
+    op6_token_counts, op7_line_first_rules, op8_best_fit_packing, op9_rule_ensemble,
+    op10_preference_format)}
 ORACLES = {"op7_line_first_rules": quality_rules.ORACLE_SQL, "op10_preference_format": preference_format.ORACLE_SQL}
