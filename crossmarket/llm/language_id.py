@@ -119,6 +119,8 @@ class _Model:
 
     def costs(self, words: list[str]) -> np.ndarray:
         """Bits of each word under each language."""
+        if not words or not self.languages:
+            return np.zeros((len(words), len(self.languages)))
         hashes, context, owner = _grams(words)
         result = np.zeros((len(owner), len(self.languages)))
         left = np.arange(len(owner))
@@ -257,6 +259,7 @@ def _calibrate(model: _Model, training: DataFrame, texts: int) -> None:
                 ["lang", "bits", "letters"])
 
     found = picked.mapInArrow(measure, "lang string, bits array<double>, letters bigint").where("letters > 0").collect()
+    found = [r for r in found if r["lang"] in model.languages]
     if not found:
         return
     entropy, truth = np.array([r["bits"] for r in found]), np.array([model.languages.index(r["lang"]) for r in found])
