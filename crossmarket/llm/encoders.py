@@ -53,47 +53,63 @@ def _bare_model(tokenizer: str):
     return bare
 
 
+class _Known(dict):
+    """Ids of words and of their parts as bytes, found out at the first request and kept up to a fixed number."""
+
+    def __init__(self, tokenizer: str, most: int):
+        super().__init__()
+        self.tokenizer, self.most = tokenizer, most
+        self.library, self.bare = library(tokenizer), _bare_model(tokenizer)
+
+    def _encode(self, text: str, tokenizer) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        if word.isascii():
+            letters = word.isalpha()
+            if letters and word.islower():
+                value = self._encode(word, self.bare)  # one letter run: nothing to normalize or to cut
+            elif letters:
+                value = self[word.lower()]
+            elif word[-1] in ".," and word[:-1].isalpha():
+                value = self[word[:-1]] + self._mark(word[-1])
+            else:
+                value = self._by_parts(word) if _PLAIN.fullmatch(word) else self._encode(word, self.library)
+        elif _PLAIN.fullmatch(word) and unicodedata.is_normalized("NFC", word):
+            value = self._by_parts(word)
+        else:
+            value = self._encode(word, self.library)
+        self[word] = value
+        return value
+
+    def _mark(self, mark: str) -> bytes:
+        return self.get(mark) or self._encode(mark, self.library)
+
+    def _by_parts(self, word: str) -> bytes:
+        if "<|" in word:
+            return self._encode(word, self.library)  # may hold a special string
+        parts = _PARTS.findall(word.lower())
+        return b"".join([self._part(part) for part in parts])
+
+    def _part(self, part: str) -> bytes:
+        value = self.get(part)
+        if value is None:
+            self[part] = value = self._encode(part, self.bare)
+        return value
+
+
 class WordIds:
     """Ids, as little-endian 32-bit bytes, for tokenizers that drop white space and never join words."""
 
-    def __init__(self, tokenizer: str, most_words: int = 700_000, most_parts: int = 1_200_000):
-        self.tokenizer, self.most_words, self.most_parts = tokenizer, most_words, most_parts
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > self.most_words:
-            self.words.clear()
-        if len(self.parts) > self.most_parts:
-            self.parts.clear()
-        cut, whole, unknown = {}, [], set()
-        for word in words:
-            if _PLAIN.fullmatch(word) and "<|" not in word and (
-                    word.isascii() or unicodedata.is_normalized("NFC", word)):
-                cut[word] = found = _PARTS.findall(word.lower())
-                unknown.update(found)
-            else:
-                whole.append(word)
-        unknown = [part for part in unknown if part not in self.parts]
-        for part, encoded in zip(unknown, _bare_model(self.tokenizer).encode_batch_fast(
-                unknown, add_special_tokens=False)):
-            self.parts[part] = np.array(encoded.ids, "<u4").tobytes()
-        for word, encoded in zip(whole, library(self.tokenizer).encode_batch_fast(
-                whole, add_special_tokens=False)):
-            self.words[word] = np.array(encoded.ids, "<u4").tobytes()
-        known = self.parts.__getitem__
-        for word, found in cut.items():
-            self.words[word] = b"".join(map(known, found))
+    def __init__(self, tokenizer: str, most_words: int = 1_500_000):
+        self.known = _Known(tokenizer, most_words)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_WORDS.findall(text) if _OTHER_SPACE.search(text) else text.split() for text in texts]
-        unknown = set().union(*split).difference(self.words)
-        if unknown:
-            self._learn(list(unknown))
-            if any(word not in self.words for words in split for word in words):
-                self._learn(list(set().union(*split)))  # the table was emptied in between
-        known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        known = self.known.__getitem__
+        return [b"".join(map(known, _WORDS.findall(text) if _OTHER_SPACE.search(text) else text.split()))
+                for text in texts]
 
 
 class SpacedCounts:
