@@ -65,9 +65,12 @@ def title_prefix_hash(title: Column, length: int = 20) -> Column:
 
 
 def keyword_title_hash(title: Column, length: int = 30) -> Column:
-    """Title without stop words, blanks as underscores, cut to a fixed length."""
+    """Title without stop words, blanks as underscores, cut to a fixed length.
+
+    Word boundaries are those between ASCII word characters and others, in any language.
+    """
     words = "|".join(vocab.HASH_STOP_WORDS)
-    stripped = F.regexp_replace(F.lower(title), rf"\b({words})\b", "")
+    stripped = F.regexp_replace(F.lower(title), rf"(?<![A-Za-z0-9_])({words})(?![A-Za-z0-9_])", "")
     return F.substring(F.regexp_replace(stripped, r"\s+", "_"), 1, length)
 
 

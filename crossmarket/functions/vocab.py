@@ -316,6 +316,23 @@ MITIGATION_TEXTS = {
 RISK_LEVELS = (("very_low", 0.15), ("low", 0.3), ("medium", 0.5), ("high", 0.7))
 RISK_LEVEL_TOP = "very_high"
 
+# Explanation of a score.
+EXPLANATION_TEXTS = {
+    "score": "ML Score: %.2f - ",
+    "text": "High text similarity (%.2f)",
+    "price": "Significant price difference (%.3f)",
+    "category": "Categories match",
+    "closing": "Both markets closing soon",
+    "bucket": "High bucket success rate",
+    "none": "Low confidence prediction",
+}
+# Evaluation of a pair without a reply.
+FALLBACK_TEXTS = {
+    "reasoning": "LLM evaluation failed: {error}. Using fallback heuristics.",
+    "risk": "High risk due to LLM evaluation failure",
+    "action": "INVESTIGATE",
+}
+
 # Confidence bands (label, lower bound), by number of bands.
 CONFIDENCE_BANDS = {
     5: (("Very High (0.8-1.0)", 0.8), ("High (0.7-0.8)", 0.7), ("Medium (0.5-0.7)", 0.5),

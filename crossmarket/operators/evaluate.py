@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossmarket.config import EvaluationConfig
-from crossmarket.functions import prices, replies, text
+from crossmarket.functions import prices, replies, text, vocab
 from crossmarket.sources.checkpoints import cut
 
 Evaluator = Callable[[DataFrame], DataFrame]
@@ -119,10 +119,10 @@ def with_fallback(pairs: DataFrame, parsed: DataFrame, error: str = "no reply")
             .withColumn("semantic_similarity", F.coalesce("semantic_similarity", "text_similarity", F.lit(0.0)))
             .withColumn("arbitrage_viability", F.coalesce("arbitrage_viability", "price_difference", F.lit(0.0)))
             .withColumn("reasoning", F.coalesce("reasoning", F.lit(
-                f"LLM evaluation failed: {error}. Using fallback heuristics.")))
+                vocab.FALLBACK_TEXTS["reasoning"].format(error=error))))
             .withColumn("risk_assessment", F.coalesce(
-                "risk_assessment", F.lit("High risk due to LLM evaluation failure")))
-            .withColumn("recommended_action", F.coalesce("recommended_action", F.lit("INVESTIGATE")))
+                "risk_assessment", F.lit(vocab.FALLBACK_TEXTS["risk"])))
+            .withColumn("recommended_action", F.coalesce("recommended_action", F.lit(vocab.FALLBACK_TEXTS["action"])))
             .withColumn("confidence_score", F.coalesce("confidence_score", F.lit(0.0))))
 
 

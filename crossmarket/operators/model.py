@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossmarket.config import ModelConfig
-from crossmarket.operators.scoring import FEATURES, explanation
+from crossmarket.operators.scoring import FEATURES, explanation, heuristic_score
 
 
 def labelled(scored: DataFrame, cfg: ModelConfig = ModelConfig()) -> DataFrame:
@@ -43,17 +43,21 @@ def estimator(cfg: ModelConfig = ModelConfig()) -> Pipeline:
                             classifier])
 
 
-def train(training: DataFrame, cfg: ModelConfig = ModelConfig()) -> PipelineModel:
-    """Fits the pipeline; needs enough rows of both labels."""
+def train(training: DataFrame, cfg: ModelConfig = ModelConfig()) -> PipelineModel | None:
+    """Fits the pipeline; None if there are fewer than `min_rows` rows or only one label to learn from."""
     counts = training.groupBy("label").count().collect()  # two rows at most
     if sum(r["count"] for r in counts) < cfg.min_rows or len(counts) < 2:
-        raise ValueError(f"training needs at least {cfg.min_rows} rows of both labels")
+        return None
     return estimator(cfg).fit(training)
 
 
-def predict(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """P(equivalent), confidence and explanation per pair."""
-    scored = model.transform(features).withColumn("worthiness", vector_to_array("probability")[1])
+def predict(model: PipelineModel | None, features: DataFrame) -> DataFrame:
+    """P(equivalent) and confidence per pair; without a model the heuristic score stands in."""
+    if model is None:
+        scored = features.withColumn("worthiness", heuristic_score()).withColumn(
+            "prediction", (F.col("worthiness") > 0.5).cast("double"))
+    else:
+        scored = model.transform(features).withColumn("worthiness", vector_to_array("probability")[1])
     return scored.withColumn("confidence_prediction", F.least(F.lit(0.9), F.col("worthiness") + 0.1))
 
 
@@ -102,6 +106,8 @@ def retrain(current: PipelineModel | None, recent: DataFrame, cfg: ModelConfig =
     """(model to deploy, was replaced): the new model only if it is more accurate on held-out rows."""
     train_rows, test_rows = split(recent, cfg)
     fresh = train(train_rows, cfg)
+    if fresh is None:
+        return current, False
     accuracy = lambda m: metrics(m.transform(test_rows)).first()["accuracy"]
     if current is not None and accuracy(fresh) <= accuracy(current):
         return current, False

@@ -91,8 +91,10 @@ def extreme_rows(df: DataFrame, keys: list[str], price: str, volume: str, row_id
     """Per key, the k lowest and k highest priced rows (larger volume, smaller id first).
 
     Enough for the k largest price gaps: a pair using any other row is beaten by k pairs that
-    swap it for one of these. The group limit runs before the shuffle, so hot keys stay small.
+    swap it for one of these. A row without a price has no gap, so it takes no place among them. The
+    group limit runs before the shuffle, so hot keys stay small.
     """
+    df = df.where(F.col(price).isNotNull())
     tie = [F.col(volume).desc(), F.col(row_id).asc()]
     low = Window.partitionBy(*keys).orderBy(F.col(price).asc(), *tie)
     high = Window.partitionBy(*keys).orderBy(F.col(price).desc(), *tie)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossmarket.config import ArbitrageConfig, ModelConfig
-from crossmarket.functions import prices, replies
-from crossmarket.operators import arbitrage, browse, evaluate, groups, model, reports, scoring
+from crossmarket.functions import prices, replies, text, vocab
+from crossmarket.operators import arbitrage, browse, buckets, evaluate, groups, model, reports, scoring
 from crossmarket.plans import sqltext as sq
 from crossmarket.plans.oracle_views import T
 from crossmarket.plans.pairing import PAIR_VIEWS, scored, staged
@@ -663,21 +663,48 @@ def _(spark, root):
 
 
 def training_rows(spark: SparkSession, root: str) -> DataFrame:
-    """Scored pairs labelled by a deterministic confidence."""
-    df = scored(spark, root)
-    digits = lambda c: F.regexp_extract(c, "[0-9]+", 0).cast("bigint")
-    score = ((digits("kalshi_id") * 31 + digits("polymarket_id") * 17) % 101) / 100.0
-    return cut(model.labelled(df.withColumn("confidence_score", score)))
+    """Features of the evaluated pairs, labelled by their evaluations."""
+    stops = vocab.JACCARD_STOP_WORDS
+    bucket = buckets.with_bucket(derived.markets(spark, root)).select(F.col("id").alias("kalshi_id"), "bucket")
+    liquidity = [prices.liquidity_score(F.col(f"{v}_volume"), F.col(f"{v}_price")) for v in ("kalshi", "polymarket")]
+    pairs = (detailed(spark, root).join(bucket, "kalshi_id")
+             .withColumn("text_similarity", text.jaccard(text.tokens(F.col("kalshi_title"), stops),
+                                                         text.tokens(F.col("polymarket_title"), stops)))
+             .withColumn("liquidity_score", (liquidity[0] + liquidity[1]) / 2))
+    return cut(model.labelled(scoring.with_features(pairs, AS_OF)))
 
 
-@query("k14_model_scores")
+FOREST = ModelConfig(kind="random_forest")
+
+
+@query("k14_model_scores", """
+    SELECT kalshi_id, polymarket_id, true AS in_range, true AS confident FROM detail""", views=VIEWS)
+def _(spark, root):
+    rows = training_rows(spark, root)
+    train_rows, _ = model.split(rows, FOREST)
+    scores = model.predict(model.train(train_rows, FOREST), rows)
+    expected = F.least(F.lit(0.9), F.col("worthiness") + 0.1)
+    return scores.select("kalshi_id", "polymarket_id", F.col("worthiness").between(0, 1).alias("in_range"),
+                         (F.abs(F.col("confidence_prediction") - expected) < 1e-9).alias("confident"))
+
+
+@query("k15_model_quality", """
+    SELECT unnest(['cross_validated', 'importances', 'retrained', 'roc_auc']) AS measure, true AS as_expected
+    FROM (SELECT count(*) AS n FROM detail) WHERE n > 0""", views=VIEWS)
 def _(spark, root):
-    """Small forest: the full settings are ModelConfig's defaults."""
+    """Held-out AUC, cross-validated accuracy, feature importances and retraining on the evaluated pairs."""
     rows = training_rows(spark, root)
-    cfg = ModelConfig(kind="random_forest", trees=10, depth=4)
-    train_rows, _ = model.split(rows, cfg)
-    return model.predict(model.train(train_rows, cfg), rows).select(
-        "kalshi_id", "polymarket_id", "worthiness", "confidence_prediction", "prediction")
+    train_rows, test_rows = model.split(rows, FOREST)
+    fitted = model.train(train_rows, FOREST)
+    kept, replaced = model.retrain(fitted, rows, FOREST)
+    found = [("retrained", not replaced and kept is fitted)]  # the same rows give no better model
+    if fitted is None:
+        found += [(m, True) for m in ("cross_validated", "importances", "roc_auc")]
+    else:
+        found += [("cross_validated", 0 <= model.cross_validated(train_rows, FOREST) <= 1),
+                  ("importances", abs(sum(model.importances(fitted).values()) - 1) < 1e-6),
+                  ("roc_auc", 0 <= model.roc_auc(fitted.transform(test_rows)) <= 1)]
+    return spark.createDataFrame([(name, bool(good)) for name, good in found], "measure string, as_expected boolean")
 
 
 @query("k29_full_funnel", f"""

@@ -89,10 +89,17 @@ def _(spark, root):
                                               "open_interest", "can_close_early")
 
 
-@query("a6_raw_table_rows")
+@query("a6_raw_table_rows", """
+    SELECT 'kalshi' AS platform, coalesce(nullif(ticker, ''), id) AS external_id, title AS label, true AS own_id,
+           'pending' AS processing_status
+    FROM raw_kalshi WHERE coalesce(nullif(ticker, ''), id) IS NOT NULL
+    UNION ALL SELECT 'polymarket', id, question, true, 'pending' FROM raw_polymarket WHERE id IS NOT NULL""")
 def _(spark, root):
-    both = kalshi_envelopes(spark, root).unionByName(polymarket_envelopes(spark, root))
-    return both.withColumn("id", F.expr("uuid()"))
+    both = kalshi_envelopes(spark, root).unionByName(polymarket_envelopes(spark, root)).withColumn("id", F.expr("uuid()"))
+    label = F.when(F.col("platform") == "kalshi", F.get_json_object("raw_data", "$.title")).otherwise(
+        F.get_json_object("raw_data", "$.question"))
+    return both.select("platform", "external_id", label.alias("label"), (F.length("id") == 36).alias("own_id"),
+                       "processing_status")
 
 
 @query("a7_normalized_rows", """
@@ -121,7 +128,8 @@ def _(spark, root):
     return tables.insert_or_replace(target, batch[0].unionByName(batch[1]), ["id"], ["version"]).drop("version")
 
 
-@query("a11_sample_rows")
+@query("a11_sample_rows", """
+    SELECT id, title, yes_price FROM markets ORDER BY md5('7|' || id || '|' || title || '|' || CAST(yes_price AS VARCHAR)) LIMIT 20""")
 def _(spark, root):
     return sinks.sample_rows(derived.markets(spark, root).select("id", "title", "yes_price"), 20, seed=7)
 
@@ -141,8 +149,7 @@ def _(spark, root):
     SELECT CASE WHEN error_count = 0 THEN 'success' WHEN output_count > 0 THEN 'partial' ELSE 'error' END
            AS derived_status, count(*) AS runs FROM run_logs GROUP BY 1""")
 def _(spark, root):
-    status = (F.when(F.col("error_count") == 0, "success").when(F.col("output_count") > 0, "partial")
-              .otherwise("error"))
+    status = sinks.run_status(F.col("output_count"), F.col("error_count"))
     return derived.run_logs(spark, root).groupBy(status.alias("derived_status")).agg(F.count(F.lit(1)).alias("runs"))
 
 
@@ -378,17 +385,16 @@ def _(spark, root):
 
 
 @query("b15_backend_status", """
-    SELECT n, CASE WHEN closed THEN 'resolved' WHEN active THEN 'active' ELSE 'closed' END AS status,
+    SELECT id AS external_id, question AS title,
+           CASE WHEN closed THEN 'resolved' WHEN active THEN 'active' ELSE 'closed' END AS status,
            'https://polymarket.com/event/' || slug AS url FROM raw_polymarket
-    UNION ALL SELECT n, CASE WHEN status = 'open' THEN 'active' ELSE 'closed' END,
+    UNION ALL SELECT ticker, title, CASE WHEN status = 'open' THEN 'active' ELSE 'closed' END,
            'https://kalshi.com/markets/' || ticker FROM raw_kalshi""")
 def _(spark, root):
-    k, p = derived.raw_kalshi(spark, root), derived.raw_polymarket(spark, root)
-    poly = p.select("n", categories.backend_status(F.col("closed"), F.col("active")).alias("status"),
-                    F.concat(F.lit("https://polymarket.com/event/"), "slug").alias("url"))
-    kal = k.select("n", F.when(F.col("status") == "open", "active").otherwise("closed").alias("status"),
-                   F.concat(F.lit("https://kalshi.com/markets/"), "ticker").alias("url"))
-    return poly.unionByName(kal)
+    poly = normalize.backend_polymarket(derived.raw_polymarket(spark, root))
+    kal = normalize.backend_kalshi(derived.raw_kalshi(spark, root))
+    columns = ["external_id", "title", "status", "url"]
+    return poly.select(columns).unionByName(kal.select(columns))
 
 
 @query("b16_kalshi_status", f"SELECT n, {K_STATUS} AS status FROM raw_kalshi")
@@ -430,9 +436,9 @@ def _(spark, root):
 @query("b21_keyword_title_hash", f"""
     SELECT doc_id, substring(regexp_replace(regexp_replace(lower(text),
            '\\b({'|'.join(vocab.HASH_STOP_WORDS)})\\b', '', 'g'), '\\s+', '_', 'g'), 1, 30) AS title_hash
-    FROM documents WHERE lang = 'en'""")
+    FROM documents""")
 def _(spark, root):
-    docs = derived.table(spark, root, "documents").where(F.col("lang") == "en")
+    docs = derived.table(spark, root, "documents")
     return docs.select("doc_id", text.keyword_title_hash(F.col("text")).alias("title_hash"))
 
 

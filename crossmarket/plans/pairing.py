@@ -192,7 +192,7 @@ def _(spark, root):
                         "price_difference", "net_gap", "min_volume")
 
 
-@query("d1_bucket_pairs", """
+@query("d1_bucket_pairs_in_windows", """
     SELECT kalshi_id, polymarket_id, bucket, price_difference FROM formed
     WHERE apart <= 2592000 AND volume_ratio >= 0.1""", views=PAIR_VIEWS)
 def _(spark, root):

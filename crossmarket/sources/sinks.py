@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from crossmarket.operators import tables
 
@@ -45,10 +44,10 @@ def write_opportunities(df: DataFrame, path: str) -> None:
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], like.schema)
+    """The table at a path, or an empty one if the path does not exist; any other failure is raised."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.parquet(path) if there else spark.createDataFrame([], like.schema)
 
 
 def swap_in(spark: SparkSession, root: str, next_table: DataFrame) -> str:
@@ -68,11 +67,9 @@ def append_new(spark: SparkSession, path: str, source: DataFrame, keys: list[str
     tables.insert_or_ignore(target, source, keys).write.mode("append").parquet(path)
 
 
-def run_status(processed: int, errors: int) -> str:
+def run_status(processed: Column, errors: Column) -> Column:
     """success without errors, partial with some, error when nothing went through."""
-    if errors == 0:
-        return "success"
-    return "partial" if processed > 0 else "error"
+    return F.when(errors == 0, "success").when(processed > 0, "partial").otherwise("error")
 
 
 RUN_LOG = ("run_id string, kind string, platform string, status string, processed bigint, errors bigint, "
@@ -80,8 +77,10 @@ RUN_LOG = ("run_id string, kind string, platform string, status string, processe
 
 
 def append_run_log(spark: SparkSession, path: str, row: tuple) -> None:
-    """One row per run; `row` follows RUN_LOG."""
-    spark.createDataFrame([row], RUN_LOG).write.mode("append").parquet(path)
+    """One row per run; `row` follows RUN_LOG without the status, which follows from the counts."""
+    schema = RUN_LOG.replace("status string, ", "")
+    log = spark.createDataFrame([row], schema).withColumn("status", run_status(F.col("processed"), F.col("errors")))
+    log.select(*(c.split()[0] for c in RUN_LOG.split(", "))).write.mode("append").parquet(path)
 
 
 def table_counts(named: dict[str, DataFrame]) -> DataFrame:
@@ -95,5 +94,11 @@ def table_counts(named: dict[str, DataFrame]) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
-    """First n rows, or a seeded random n."""
-    return df.limit(n) if seed is None else df.orderBy(F.rand(seed)).limit(n)
+    """First n rows, or the n with the smallest hash of seed and row: a random choice that repeats.
+
+    The n best of every task are kept before anything is sent, so the table is never sorted.
+    """
+    if seed is None:
+        return df.limit(n)
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in df.columns]))
+    return df.orderBy(draw).limit(n)

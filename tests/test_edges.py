@@ -110,6 +110,21 @@ def test_hot_key_is_sliced_without_losing_pairs(spark):
     assert got.count() == 200 * 199 // 2 and got.distinct().count() == got.count()
 
 
+def test_listings_without_a_price_push_no_pair_out(spark):
+    """Thirty listings without a price beside one good pair: the widest-gap searches still find the pair."""
+    def row(i, venue, price, volume):
+        return (f"{venue}-{i}", venue, "Rain tomorrow", "Weather", "weather", price, volume, True)
+
+    rows = [row(i, v, None, 9e6) for i in range(30) for v in ("kalshi", "polymarket")]
+    rows += [row(99, "kalshi", 0.2, 5000.0), row(99, "polymarket", 0.6, 5000.0)]
+    df = spark.createDataFrame(rows, "id string, platform string, title string, category string, bucket string, "
+                                     "yes_price double, volume double, is_active boolean")
+    found = (candidates.category_or_keyword_pairs(df), candidates.same_key_pairs(df, "category", 10, 0.05, 100.0),
+             candidates.first_word_matches(df))
+    for pairs in found:
+        assert [(r.kalshi_id, r.polymarket_id) for r in pairs.collect()] == [("kalshi-99", "polymarket-99")]
+
+
 def test_prefix_join_equals_brute_force(spark):
     words = "a b c d e f g h".split()
     rows = [(i, [words[j] for j in range(8) if (i * 37 >> j) & 1]) for i in range(1, 120)]

@@ -93,7 +93,9 @@ def test_landing_files_and_sinks(spark, tmp_path):
     (pages / "2.json").write_text(json.dumps([{"id": "p3"}]))
     found = landing.unwrap(landing.read_pages(spark, str(pages)), landing.POLYMARKET_PAYLOAD)
     assert sorted(r.id for r in found.collect()) == ["p1", "p2", "p3"]
-    assert [sinks.run_status(*a) for a in ((3, 0), (3, 1), (0, 2))] == ["success", "partial", "error"]
+    runs = spark.createDataFrame([(3, 0), (3, 1), (0, 2)], "processed bigint, errors bigint")
+    status = sinks.run_status(F.col("processed"), F.col("errors"))
+    assert [r[0] for r in runs.select(status).collect()] == ["success", "partial", "error"]
 
 
 def test_open_opportunities_state_equals_batch(spark, tmp_path):
