@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossmarket.sources.checkpoints import cut
+from crossmarket.sources.checkpoints import cut_at, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,10 +30,12 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     shuffle) and an equi-join, and the number of rounds grows with the logarithm of the longest
     path. Every round is written out, so plans stay short and a lost executor costs one round.
     """
-    stars = cut(edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v").distinct())
+    stars, path = cut_at(edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v").distinct())
     before = None
     while True:
-        stars = cut(_small_star(_large_star(stars).distinct()))
+        last = path
+        stars, path = cut_at(_small_star(_large_star(stars).distinct()))
+        release(edges.sparkSession, last)
         # Two numbers per round reach the driver: the edge count and an order-free checksum.
         seen = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == seen:

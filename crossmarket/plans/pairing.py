@@ -52,8 +52,13 @@ PAIR_VIEWS = {
 }
 
 
+def bucketed_once(spark: SparkSession, root: str) -> DataFrame:
+    """Listings with their bucket, for readers that make one pass."""
+    return buckets.with_bucket(derived.markets(spark, root))
+
+
 def bucketed(spark: SparkSession, root: str) -> DataFrame:
-    return cut(buckets.with_bucket(derived.markets(spark, root)))
+    return cut(bucketed_once(spark, root))
 
 
 def blocked(spark: SparkSession, root: str) -> DataFrame:
@@ -73,7 +78,7 @@ def scored(spark: SparkSession, root: str) -> DataFrame:
 
 @query("k1_topical_buckets", "SELECT n, bucket, bucket_confidence FROM bucketed", r="bucket_confidence", views=K1)
 def _(spark, root):
-    return bucketed(spark, root).select("n", "bucket", "bucket_confidence")
+    return bucketed_once(spark, root).select("n", "bucket", "bucket_confidence")
 
 
 @query("k2_keyword_buckets", f"SELECT n, {sq.keyword_bucket()} AS bucket FROM markets WHERE {TRADABLE}")
@@ -122,7 +127,7 @@ def _(spark, root):
            {len(vocab.BUCKETS)} - count(*) FILTER (bucket <> 'miscellaneous') AS empty_buckets FROM counts""",
        views={**K1, "counts": COUNTS})
 def _(spark, root):
-    return buckets.bucket_overview(bucketed(spark, root))
+    return buckets.bucket_overview(bucketed_once(spark, root))
 
 
 KEYED = f"SELECT *, {sq.keyword_bucket()} AS kb FROM markets WHERE {TRADABLE}"
@@ -162,7 +167,7 @@ def _(spark, root):
     SELECT id, bucket_confidence FROM bucketed WHERE bucket = 'tech_ai' AND platform = 'kalshi'""",
        r="bucket_confidence", views=K1)
 def _(spark, root):
-    return buckets.in_bucket(bucketed(spark, root), "tech_ai", "kalshi").select("id", "bucket_confidence")
+    return buckets.in_bucket(bucketed_once(spark, root), "tech_ai", "kalshi").select("id", "bucket_confidence")
 
 
 @query("c21_stale_rebucketing", f"""

@@ -30,7 +30,18 @@ def cut(df: DataFrame) -> DataFrame:
     For results that are expensive to derive and read more than once downstream: the derivation
     runs once, survives lost executors, and readers fetch only the columns they use.
     """
+    return cut_at(df)[0]
+
+
+def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """`cut` with the path of the table, for callers that `release` it themselves."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/cut-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
