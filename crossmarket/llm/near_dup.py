@@ -7,10 +7,11 @@
    probability (1 - 0.85^6)^28 < 2e-6.
 3. Every class is compared with the first class of each of its buckets. Buckets whose members then still
    belong to different components are compared further, in blocks of bounded size: what is outside the
-   component of the bucket's first class, against all of the bucket, leaving out pairs already connected.
-   Only pairs whose signatures agree well enough are ever emitted.
-4. Each emitted pair is confirmed on the full sets. Components come from alternating large-star and
-   small-star steps over the confirmed links.
+   component of the bucket's first class, against all of the bucket, leaving out pairs already connected
+   and pairs that an earlier band of theirs brings together.
+4. Pairs whose signatures agree well enough are confirmed on the full sets, in step 3 inside the block, so
+   that only confirmed links between parts not yet connected leave it. Components come from alternating
+   large-star and small-star steps over the confirmed links.
 """
 
 from __future__ import annotations
@@ -158,11 +159,21 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _texts(keys: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(set_key, text) of the classes whose set_key is in `keys`."""
+    wanted = classes.select("set_key", "text_key").join(keys, "set_key", "left_semi")
+    return rows.join(wanted, "text_key").groupBy("set_key").agg(F.first("text").alias("text"))
+
+
+def _meet(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set keys whose full sets meet the threshold."""
     ends = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
-    wanted = classes.select("set_key", "text_key").join(ends, "set_key")
-    texts = rows.join(wanted, "text_key").groupBy("set_key").agg(F.first("text").alias("text"))
+    texts = _texts(ends, classes, rows)
 
     def check(batches):
         last, kept = None, None
@@ -172,9 +183,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: i
             for i, other in enumerate(batch.column("text_b")):
                 if left[i] != last:
                     last, kept = left[i], shingle_set(text[i].as_py(), shingle)
-                mine = shingle_set(other.as_py(), shingle)
-                both = len(np.intersect1d(kept, mine, assume_unique=True))
-                found.append(100 * both >= percent * (len(kept) + len(mine) - both))
+                found.append(_meet(kept, shingle_set(other.as_py(), shingle), percent))
             yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
     first = texts.select(F.col("set_key").alias("a"), F.col("text").alias("text_a"))
@@ -209,9 +218,9 @@ def _floor(minima_count: int, percent: int) -> float:
     return share - 6 * (share * (1 - share) / minima_count) ** 0.5
 
 
-def _rest_of_buckets(members: DataFrame, components_now: DataFrame, classes: DataFrame, percent: int,
-                     block: int) -> DataFrame:
-    """Pairs inside a bucket that the first round left open: different components, neither the first class."""
+def _rest_of_buckets(members: DataFrame, components_now: DataFrame, classes: DataFrame, rows: DataFrame,
+                     shingle: int, percent: int, block: int, scratch: Scratch) -> DataFrame:
+    """Confirmed links inside buckets that the first round left open: different components, neither the first class."""
     placed = (members.join(components_now, members.set_key == components_now.node, "left")
               .select("bucket", "leader", "set_key", F.coalesce("root", "set_key").alias("root")))
     leaders = (members.select(F.col("leader").alias("_l")).distinct()
@@ -224,10 +233,17 @@ def _rest_of_buckets(members: DataFrame, components_now: DataFrame, classes: Dat
                     .where("rest > 0 and m > 1 and low <> high")
                     .select("bucket", F.ceil(F.col("m") / block).cast("int").alias("all_parts"),
                             F.ceil(F.col("rest") / block).cast("int").alias("rest_parts")))
-    placed = (placed.join(open_buckets, "bucket")
-              .join(classes.select("set_key", "signature", "n_shingles"), "set_key"))
+    placed = scratch.cut(placed.join(open_buckets, "bucket"))
+
+    def to_sets(batches):
+        for batch in batches:
+            sets = [shingle_set(t, shingle).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array(sets, pa.binary())], ["set_key", "hashes"])
+
+    sets = _texts(placed.select("set_key").distinct(), classes, rows).mapInArrow(to_sets, "set_key binary, hashes binary")
+    placed = (placed.join(classes.select("set_key", "signature", "buckets"), "set_key").join(sets, "set_key"))
     part = F.pmod(F.xxhash64("set_key"), F.lit(1 << 30))
-    schema = ["bucket", "i", "j", "set_key", "root", "signature", "n_shingles"]
+    schema = ["bucket", "i", "j", "set_key", "root", "signature", "buckets", "hashes"]
     rest = (placed.where("root <> main").withColumn("i", (part % F.col("rest_parts")).cast("int"))
             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("all_parts") - 1))).select(schema))
     everything = (placed.withColumn("j", (part % F.col("all_parts")).cast("int"))
@@ -237,22 +253,37 @@ def _rest_of_buckets(members: DataFrame, components_now: DataFrame, classes: Dat
         a, b = [], []
         if left.num_rows and right.num_rows:
             one, two = (_matrix(t.column("signature").combine_chunks()) for t in (left, right))
-            keys, roots, sizes = ([t.column(c).to_pylist() for t in (left, right)] for c in ("set_key", "root", "n_shingles"))
-            codes = {root: i for i, root in enumerate({*roots[0], *roots[1]})}
-            right_roots, right_sizes = np.array([codes[r] for r in roots[1]]), np.array(sizes[1])
+            keys, roots, sets, bands = ([t.column(c).to_pylist() for t in (left, right)]
+                                        for c in ("set_key", "root", "hashes", "buckets"))
+            here = left.column("bucket")[0].as_py()
+            band = bands[0][0].index(here)
+            bands = [np.array(x) for x in bands]
+            sets = [[np.frombuffer(x, np.uint64) for x in side] for side in sets]
+            sizes = np.array([len(x) for x in sets[1]])
+            part_of = {root: root for root in (*roots[0], *roots[1])}
             floor = _floor(one.shape[1], percent)
+
+            def top(root):
+                while part_of[root] != root:
+                    root = part_of[root]
+                return root
+
             for i, sig in enumerate(one):
-                fits = ((right_roots != codes[roots[0][i]])
-                        & (100 * np.minimum(right_sizes, sizes[0][i]) >= percent * np.maximum(right_sizes, sizes[0][i])))
+                n = len(sets[0][i])
+                fits = ((100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+                        & ((bands[1] == bands[0][i]).argmax(1) == band))
                 at = np.flatnonzero(fits)
                 for j in at[(two[at] == sig).mean(1) >= floor] if len(at) else ():
-                    a.append(min(keys[0][i], keys[1][j]))
-                    b.append(max(keys[0][i], keys[1][j]))
+                    mine, other = top(roots[0][i]), top(roots[1][j])
+                    if mine != other and _meet(sets[0][i], sets[1][j], percent):
+                        part_of[mine] = other
+                        a.append(keys[0][i])
+                        b.append(keys[1][j])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     rest, everything = rest.toDF(*schema), everything.toDF(*schema)  # columns of their own
     return (rest.groupBy("bucket", "i", "j").cogroup(everything.groupBy("bucket", "i", "j"))
-            .applyInArrow(compare, "a binary, b binary").distinct())
+            .applyInArrow(compare, "a binary, b binary"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 28, per_band: int = 6,
@@ -278,17 +309,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     members = scratch.cut(spread.join(shared.select("bucket", "leader"), "bucket"))
     texts = rows.select("text_key", "text")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        return scratch.cut(_confirmed(pairs, classes, texts, shingle, percent))
-
     pairs = members.where("set_key <> leader").select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct()
-    edges = links(scratch.cut(_similar_signatures(pairs, classes, percent)))
+    pairs = scratch.cut(_similar_signatures(pairs, classes, percent))
+    edges = scratch.cut(_confirmed(pairs, classes, texts, shingle, percent))
     rooted = components(edges, scratch)
-    more = scratch.cut(_rest_of_buckets(members, rooted, classes, percent, block))
+    more = scratch.cut(_rest_of_buckets(members, rooted, classes, texts, shingle, percent, block, scratch))
     if not more.isEmpty():
-        found = links(more)
-        if not found.isEmpty():
-            rooted = components(edges.unionByName(found), scratch)
+        rooted = components(edges.unionByName(more), scratch)
     rooted = rooted.select(F.col("node").alias("set_key"), "root")
     named = classes.select("set_key", "doc_id").join(rooted, "set_key", "left").select(
         "set_key", "doc_id", F.coalesce("root", "set_key").alias("root"))
