@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from crossmarket.sources.checkpoints import checkpoint_root
 
-# The white space between words, as a Java character class body; Python's equivalent is WORD_SPACE.
+# The white space between words, as the body of a character class.
 SPACE = r"\x20\x09-\x0D"
-WORD_SPACE = " \t\n\x0b\x0c\r"
 
 
 def reachable(spark: SparkSession) -> None:

@@ -8,12 +8,15 @@ symbols, repeated lines and windows of words) decide before that.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossmarket.llm.common import SPACE, WORD_SPACE, keyed
+from crossmarket.llm.common import SPACE, keyed
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»›•·"
@@ -38,11 +41,14 @@ def count_words(text: Column) -> Column:
 
 
 def count_chars(text: Column, chars: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
+    """How many characters of the text are among `chars` (translate would look every character up)."""
+    if len(chars) == 1:
+        return F.char_length(text) - F.char_length(F.replace(text, F.lit(chars)))
+    return F.regexp_count(text, F.lit(f"[{re.escape(chars)}]"))
 
 
-def word_chars(text: Column) -> Column:
-    return F.char_length(F.translate(text, WORD_SPACE, ""))
+def joined_length(words: Column) -> Column:
+    return F.char_length(F.array_join(words, ""))
 
 
 def repeated_window_words(words: Column, window: int = WINDOW) -> Column:
@@ -51,8 +57,11 @@ def repeated_window_words(words: Column, window: int = WINDOW) -> Column:
     Runs are compared by a 64-bit hash. Texts without a repeated run, the usual case, end there; others
     sort their runs once, so the work is n log n in a text's words.
     """
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (window - 1)),
-                         lambda i: F.xxhash64(*(F.element_at(words, i + k) for k in range(window))))
+    def windows(w: Column) -> Column:
+        runs = F.transform(w, lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, window))))
+        return F.slice(runs, F.lit(1), F.size(w) - (window - 1))
+
+    hashes = let(F.transform(words, lambda x: F.xxhash64(x)), windows)
 
     def covered(h: Column) -> Column:
         ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -79,12 +88,15 @@ def line_fails(line: Column) -> Column:
     def judge(n: Column) -> Column:
         separators = count_chars(line, SEPARATORS)
         punctuation = ((2 * count_chars(line, SYMBOLS) >= n)
-                       | (F.char_length(line) - F.char_length(F.replace(line, F.lit("!!"))) >= n)
-                       | ~line.rlike(r"[\p{L}\p{N}]"))
-        navigation = (separators >= 3) & (3 * separators >= n)
-        return punctuation | navigation | F.lower(line).rlike("|".join(BOILERPLATE))
+                       | (F.char_length(line) - F.char_length(F.replace(line, F.lit("!!"))) >= n))
+        return punctuation | ((separators >= 3) & (3 * separators >= n))
+
+    def boilerplate(low: Column) -> Column:
+        return reduce(or_, (F.contains(low, F.lit(phrase)) for phrase in BOILERPLATE))
 
-    return let(count_words(line), judge)
+    # Counting is only for lines that have something to count.
+    marked = line.rlike(f"[{re.escape(SYMBOLS + SEPARATORS)}]|!!")
+    return ~line.rlike(r"[\p{L}\p{N}]") | (marked & let(count_words(line), judge)) | let(F.lower(line), boilerplate)
 
 
 def clean_lines(docs: DataFrame, least_words: int = 10, most_repeated: int = 20, most_lost: int = 50,
@@ -102,29 +114,33 @@ def clean_lines(docs: DataFrame, least_words: int = 10, most_repeated: int = 20,
     def measured(text: Column) -> Column:
         def with_words(words: Column) -> Column:
             return F.struct(F.size(words).cast("bigint").alias("n_words"),
+                            joined_length(words).cast("bigint").alias("word_chars"),
                             repeated_window_words(words).cast("bigint").alias("n_repeat_words"))
 
+        def judged(line: Column) -> Column:
+            filled = line.rlike(f"[^{SPACE}]")
+            return F.struct(line.alias("line"), filled.alias("filled"),
+                            F.when(filled, line_fails(line)).otherwise(F.lit(False)).alias("bad"))
+
         def with_lines(lines: Column) -> Column:
-            filled = F.filter(lines, lambda l: l.rlike(f"[^{SPACE}]"))
-            removed = F.filter(lines, lambda l: l.rlike(f"[^{SPACE}]") & line_fails(l))
-            kept = F.filter(lines, lambda l: ~(l.rlike(f"[^{SPACE}]") & line_fails(l)))
+            filled = F.filter(lines, lambda l: l["filled"])["line"]
+            removed, kept = F.filter(lines, lambda l: l["bad"])["line"], F.filter(lines, lambda l: ~l["bad"])["line"]
             dup = let(filled, lambda f: F.size(f) - F.size(F.array_distinct(f)))
             return let(removed, lambda r: F.struct(
                 dup.cast("bigint").alias("n_dup_lines"), F.size(filled).cast("bigint").alias("n_lines"),
                 F.size(r).cast("bigint").alias("n_removed_lines"),
-                word_chars(F.array_join(r, " ")).cast("bigint").alias("lost_chars"),
+                joined_length(words_of(F.array_join(r, " "))).cast("bigint").alias("lost_chars"),
                 F.when(F.size(r) == 0, text).otherwise(F.array_join(kept, "\n")).alias("cleaned")))
 
-        return F.struct(let(words_of(text), with_words).alias("w"), let(F.split(text, "\n"), with_lines).alias("l"),
-                        word_chars(text).cast("bigint").alias("word_chars"),
+        return F.struct(let(words_of(text), with_words).alias("w"), let(F.transform(F.split(text, "\n"), judged), with_lines).alias("l"),
                         count_chars(text, SYMBOLS).cast("bigint").alias("n_symbols"))
 
     def verdict(m: Column) -> Column:
         failed = (m["w"]["n_words"] < least_words) | (100 * m["w"]["n_repeat_words"] > most_repeated * m["w"]["n_words"])
-        return F.struct(m["w"]["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"),
+        return F.struct(m["w"]["n_words"].alias("n_words"), m["w"]["word_chars"].alias("word_chars"),
                         m["n_symbols"].alias("n_symbols"), m["l"]["n_dup_lines"].alias("n_dup_lines"),
                         m["w"]["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"),
-                        (~failed & (100 * m["l"]["lost_chars"] <= most_lost * m["word_chars"])).alias("kept"),
+                        (~failed & (100 * m["l"]["lost_chars"] <= most_lost * m["w"]["word_chars"])).alias("kept"),
                         m["l"]["n_lines"].alias("n_lines"), m["l"]["n_removed_lines"].alias("n_removed_lines"),
                         m["l"]["lost_chars"].alias("lost_chars"), m["l"]["cleaned"].alias("cleaned"))
 
