@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossmarket.llm.common import Scratch, held_out, keyed
-from crossmarket.llm.quality_rules import count_chars, let, word_chars, words_of
+from crossmarket.llm.quality_rules import count_chars, joined_length, let, words_of
 
 STATISTICS = ("words", "mean_word", "distinct_share", "upper_share", "digit_share", "symbol_rate", "bar_rate",
               "bang_rate", "stop_rate", "comma_rate", "line_rate", "repeat_line_share", "long_share", "echo_share")
@@ -26,11 +26,12 @@ STATISTICS = ("words", "mean_word", "distinct_share", "upper_share", "digit_shar
 def statistics(text: Column) -> Column:
     """A struct of STATISTICS, all finite; of a text without words all are 0."""
     def of_words(words: Column) -> Column:
-        def of_count(n: Column) -> Column:
+        def of_count(sizes: Column) -> Column:
+            n, chars = sizes["n"], sizes["chars"]
+
             def per_word(count: Column) -> Column:
                 return F.when(n > 0, count / n).otherwise(F.lit(0.0))
 
-            chars = word_chars(text)
             lines = F.transform(F.filter(F.split(text, "\n"), lambda l: l != ""), lambda l: F.xxhash64(l))
             hashes = F.transform(words, lambda w: F.xxhash64(w))
 
@@ -54,7 +55,7 @@ def statistics(text: Column) -> Column:
                 (s["h"]["distinct"] if c == "distinct_share" else s["h"]["echo"] if c == "echo_share" else s[c])
                 .cast("double").alias(c) for c in STATISTICS)))
 
-        return let(F.size(words), of_count)
+        return let(F.struct(F.size(words).alias("n"), joined_length(words).alias("chars")), of_count)
 
     return let(words_of(text), of_words)
 
