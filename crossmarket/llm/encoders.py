@@ -11,7 +11,6 @@ import os
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import regex
@@ -112,6 +111,61 @@ class WordIds:
                 for text in texts]
 
 
+@lru_cache(maxsize=2)
+def _ranked(tokenizer: str):
+    """The same byte-level merges in a faster encoder, made from the tokenizer's own vocabulary.
+
+    It applies merges in the order of their ids, so that must be the order in which the tokenizer has them.
+    """
+    import json
+
+    import tiktoken
+    with open(locate(tokenizer), encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocabulary = model["vocab"]
+    made = [vocabulary["".join(merge if isinstance(merge, list) else merge.split(" "))] for merge in model["merges"]]
+    if made != sorted(made):
+        raise ValueError("the merges of this tokenizer are not in the order of their ids")
+    # Byte-level files write bytes without a printable character as the characters from 256 on, in order.
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    special = {t.content for t in library(tokenizer).get_added_tokens_decoder().values()}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+    return tiktoken.Encoding("ranked", pat_str=_SPACED_PARTS, mergeable_ranks=ranks, special_tokens={})
+
+
+# How byte-level tokenizers of this kind cut a text into words.
+_SPACED_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PLAIN_LINES = re.compile("[\n\u0021-\u007e\u00a1-\u024f]*")
+
+
+class _Counts(dict):
+    """Tokens of words with the space before them, found out at the first request, up to a fixed number."""
+
+    def __init__(self, tokenizer: str, most: int):
+        super().__init__()
+        self.library, self.ranked, self.most = library(tokenizer), _ranked(tokenizer), most
+
+    def of(self, text: str) -> int:
+        """Plain characters go to the faster encoder, everything else to the library."""
+        if "<|" not in text and _PLAIN_LINES.fullmatch(text, 1 if text[:1] == " " else 0):
+            return len(self.ranked.encode_ordinary(text))
+        return len(self.library.encode(text, add_special_tokens=False))
+
+    def __missing__(self, word: str) -> int:
+        if not word or word[-1].isspace():
+            raise KeyError(word)  # it would change what the next space means: never learned
+        if len(self) >= self.most:
+            self.clear()
+        if word[-1] in ".," and word[:-1].isalpha() and word.isascii():
+            value = self[word[:-1]] + self.of(word[-1])
+        else:
+            value = self.of(f" {word}")
+        self[word] = value
+        return value
+
+
 class SpacedCounts:
     """Token counts for byte-level tokenizers whose words carry the space before them.
 
@@ -120,34 +174,20 @@ class SpacedCounts:
     left to the library as a whole.
     """
 
-    def __init__(self, tokenizer: str, most_words: int = 800_000):
-        self.tokenizer, self.most_words = tokenizer, most_words
-        self.words: dict[str, int] = {}
+    def __init__(self, tokenizer: str, most_words: int = 2_000_000):
+        self.known = _Counts(tokenizer, most_words)
 
-    def _lengths(self, texts: list[str]) -> list[int]:
-        return [len(x) for x in library(self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+    def _count(self, text: str) -> int:
+        words = text.split(" ")
+        try:
+            if len(words) > 1 and (not words[0] or words[0][-1].isspace()):
+                raise KeyError(words[0])
+            return self.known.of(words[0]) + sum(map(self.known.__getitem__, words[1:]))
+        except KeyError:
+            return len(self.known.library.encode(text, add_special_tokens=False))
 
     def count(self, texts: list[str]) -> list[int]:
-        split = [text.split(" ") for text in texts]
-        unknown = set().union(*(words[1:] for words in split)).difference(self.words)
-        if len(self.words) + len(unknown) > self.most_words:
-            self.words.clear()
-            unknown = set().union(*(words[1:] for words in split))
-        # A part that ends in white space would change what the next space means: never learned.
-        unknown = [word for word in unknown if word and not word[-1].isspace()]
-        self.words.update(zip(unknown, self._lengths([f" {word}" for word in unknown])))
-        firsts = self._lengths([words[0] for words in split])
-        known, totals, whole = self.words.get, [], []
-        for i, words in enumerate(split):
-            counts = list(map(known, words[1:], repeat(-1)))
-            if -1 in counts or len(words) > 1 and (not words[0] or words[0][-1].isspace()):
-                whole.append(i)
-                totals.append(0)
-            else:
-                totals.append(firsts[i] + sum(counts))
-        for i, length in zip(whole, self._lengths([texts[i] for i in whole])):
-            totals[i] = length
-        return totals
+        return [self._count(text) for text in texts]
 
 
 @lru_cache(maxsize=2)

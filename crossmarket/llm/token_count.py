@@ -1,7 +1,7 @@
 """Exact token counts, huge documents in overlapping chunks that are resynchronised.
 
 A document up to `chunk_chars` is counted at once. A longer one is cut into chunks that overlap; each
-chunk is encoded with offsets in its own row, so no task needs the whole document. Where two chunks
+chunk is encoded in its own row, its overlaps with offsets, so no task needs the whole document. Where two chunks
 overlap, the splice is the first place that is a token boundary in both encodings and a place where the
 tokenizer starts a new word whatever stands around it (a space after a character that is not white
 space): the tokens before it cannot depend on what follows the left chunk, nor those after it on what
@@ -45,30 +45,44 @@ def _chunks(texts: DataFrame, chunk_chars: int, overlap: int) -> DataFrame:
 def _encoded(chunks: DataFrame, tokenizer: str) -> DataFrame:
     """Per chunk its token count and, inside both overlaps, the safe boundaries with the tokens before them."""
 
+    def places(found: list[tuple[int, int]]) -> list[dict]:
+        return [{"at": at, "before": before} for at, before in found]
+
+    def starts(text: str) -> dict[int, int]:
+        """Tokens before each character at which a token starts."""
+        before: dict[int, int] = {}
+        for i, (low, _) in enumerate(encoded := encoders.library(tokenizer).encode(text, add_special_tokens=False).offsets):
+            before.setdefault(low, i)
+        before[-1] = len(encoded)
+        return before
+
     def encode(batches):
+        counter = encoders.spaced_counts(tokenizer)
+        pair = pa.list_(pa.struct([("at", pa.int64()), ("before", pa.int64())]))
         for batch in batches:
-            rows = batch.select(["key", "number", "last", "start", "own", "chunk"]).to_pydict()
-            out = {c: rows[c] for c in ("key", "number", "last")} | {"tokens": [], "left": [], "right": []}
+            rows = batch.select(["start", "own", "chunk"]).to_pydict()
+            tokens, left, right = [], [], []
             for start, own, text in zip(rows["start"], rows["own"], rows["chunk"]):
-                encoded = encoders.library(tokenizer).encode(text, add_special_tokens=False)
-                before = {}
-                for i, (low, _) in enumerate(encoded.offsets):
-                    before.setdefault(low, i)
-                safe = [(start + m.start(), before[m.start()]) for m in _SEAM.finditer(text) if m.start() in before]
-                out["tokens"].append(len(encoded))
-                # A chunk cannot see what precedes it, so its first character is no boundary.
-                out["left"].append([x for x in safe if start < x[0] < start + max(1, len(text) - own)])
-                out["right"].append([x for x in safe if x[0] > start + own])
-            pair = pa.list_(pa.struct([("at", pa.int64()), ("before", pa.int64())]))
-            as_rows = [[[{"at": a, "before": b} for a, b in x] for x in out[c]] for c in ("left", "right")]
+                total = counter.count([text])[0]
+                tokens.append(total)
+                # The head is encoded with offsets: what stands before a safe place does not depend on what
+                # follows. A chunk cannot see what precedes it, so its first character is no such place.
+                spare = max(0, len(text) - own)
+                before = starts(text[:spare])
+                left.append(places([(start + m.start(), before[m.start()]) for m in _SEAM.finditer(text[:spare])
+                                    if m.start() in before]))
+                # The tail likewise, from the other side: tokens before are all but those from the place on.
+                before = starts(text[own:])
+                right.append(places([(start + own + m.start(), total - before[-1] + before[m.start()])
+                                     for m in _SEAM.finditer(text[own:]) if m.start() in before]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["key"]), pa.array(out["number"], pa.int64()), pa.array(out["last"], pa.bool_()),
-                 pa.array(out["tokens"], pa.int64()), *(pa.array(x, pair) for x in as_rows)],
+                [*(batch.column(c) for c in ("key", "number", "last")), pa.array(tokens, pa.int64()),
+                 pa.array(left, pair), pa.array(right, pair)],
                 ["key", "number", "last", "tokens", "left", "right"])
 
-    places = "array<struct<at: bigint, before: bigint>>"
+    kind = "array<struct<at: bigint, before: bigint>>"
     return chunks.mapInArrow(
-        encode, f"key string, number bigint, last boolean, tokens bigint, left {places}, right {places}")
+        encode, f"key string, number bigint, last boolean, tokens bigint, left {kind}, right {kind}")
 
 
 def _spliced(encoded: DataFrame) -> DataFrame:
