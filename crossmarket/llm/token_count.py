@@ -133,7 +133,9 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     texts = rows.where(is_long).select(key, "text").dropDuplicates(["key"])
     done, waiting = [], texts
     while True:
-        chunks = _chunks(waiting, chunk_chars, overlap).repartition("key", "number")
+        # By number, so that adaptive execution doesn't merge the chunks, small but costly, into few tasks.
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        chunks = _chunks(waiting, chunk_chars, overlap).repartition(parts, "key", "number")
         counted = scratch.cut(_spliced(_encoded(chunks, tokenizer)))
         done.append(counted.where("n_tokens is not null"))
         still = counted.where("n_tokens is null").select("key")
