@@ -3,9 +3,9 @@
 A document up to `chunk_chars` is counted at once. A longer one is cut into chunks that overlap; each
 chunk is encoded in its own row, its overlaps with offsets, so no task needs the whole document. Where two chunks
 overlap, the splice is the first place that is a token boundary in both encodings and a place where the
-tokenizer starts a new word whatever stands around it (a space after a character that is not white
-space): the tokens before it cannot depend on what follows the left chunk, nor those after it on what
-precedes the right one. A document in which some overlap has no such place is cut again with overlaps
+tokenizer starts a new word whatever stands around it (white space after a character that is none, a
+mark after a Chinese or Japanese letter): the tokens before it cannot depend on what follows the left chunk,
+nor those after it on what precedes the right one. A document in which some overlap has no such place is cut again with overlaps
 eight times as wide; once they reach its length, one chunk holds all of it.
 """
 
@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 from crossmarket.llm import encoders
 from crossmarket.llm.common import Scratch, id_type, keyed
 
-_SEAM = re.compile(r"(?<=\S) ")
+_SEAM = re.compile("(?<=\\S)[ \t\n\r]|(?<=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5])[\u3001\u3002\uff01\uff0c\uff1f]")
 
 
 def _chunks(texts: DataFrame, chunk_chars: int, overlap: int) -> DataFrame:
-    """(key, number, last, start, own, chunk): own characters, then the overlap into the next chunk."""
+    """(key, number, last, start, own, head, chunk): own characters, then the overlap into the next chunk.
+
+    The first `head` characters are the overlap with the chunk before.
+    """
     stride = max(chunk_chars, overlap)
 
     def cut(batches):
@@ -33,13 +36,15 @@ def _chunks(texts: DataFrame, chunk_chars: int, overlap: int) -> DataFrame:
                 whole = overlap >= len(text)
                 starts = [0] if whole else range(0, len(text), stride)
                 for number, start in enumerate(starts):
+                    head = min(overlap, len(text) - start) if number else 0
                     yield pa.RecordBatch.from_pydict(
                         {"key": [key], "number": pa.array([number], pa.int64()),
                          "last": [number == len(starts) - 1], "start": pa.array([start], pa.int64()),
-                         "own": pa.array([stride], pa.int64()),
+                         "own": pa.array([stride], pa.int64()), "head": pa.array([head], pa.int64()),
                          "chunk": [text if whole else text[start:start + stride + overlap]]})
 
-    return texts.mapInArrow(cut, "key string, number bigint, last boolean, start bigint, own bigint, chunk string")
+    return texts.mapInArrow(
+        cut, "key string, number bigint, last boolean, start bigint, own bigint, head bigint, chunk string")
 
 
 def _encoded(chunks: DataFrame, tokenizer: str) -> DataFrame:
@@ -60,16 +65,15 @@ def _encoded(chunks: DataFrame, tokenizer: str) -> DataFrame:
         counter = encoders.spaced_counts(tokenizer)
         pair = pa.list_(pa.struct([("at", pa.int64()), ("before", pa.int64())]))
         for batch in batches:
-            rows = batch.select(["start", "own", "chunk"]).to_pydict()
+            rows = batch.select(["start", "own", "head", "chunk"]).to_pydict()
             tokens, left, right = [], [], []
-            for start, own, text in zip(rows["start"], rows["own"], rows["chunk"]):
+            for start, own, head, text in zip(rows["start"], rows["own"], rows["head"], rows["chunk"]):
                 total = counter.count([text])[0]
                 tokens.append(total)
                 # The head is encoded with offsets: what stands before a safe place does not depend on what
                 # follows. A chunk cannot see what precedes it, so its first character is no such place.
-                spare = max(0, len(text) - own)
-                before = starts(text[:spare])
-                left.append(places([(start + m.start(), before[m.start()]) for m in _SEAM.finditer(text[:spare])
+                before = starts(text[:head])
+                left.append(places([(start + m.start(), before[m.start()]) for m in _SEAM.finditer(text[:head])
                                     if m.start() in before]))
                 # The tail likewise, from the other side: tokens before are all but those from the place on.
                 before = starts(text[own:])

@@ -16,7 +16,7 @@ from crossmarket.llm.pii import find_pii, find_spans, redacted_text
 from crossmarket.llm.preference_format import conversations, derived_pairs, format_pairs
 from crossmarket.llm.quality_rules import clean_lines
 from crossmarket.llm.rule_ensemble import keep_quality, score_quality
-from crossmarket.llm.token_count import count_tokens
+from crossmarket.llm.token_count import _chunks, _encoded, _spliced, count_tokens
 
 SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, stats string, key string, "
           "set_key string, component_id bigint, n_tokens bigint, words string, m string, length bigint, score double")
@@ -179,6 +179,17 @@ def test_token_count_chunks(spark, chunk, overlap):
     assert got == want | {99: (0, 0)}
 
 
+def test_long_documents_are_spliced_in_the_first_round(spark):
+    """Ordinary text, text of lines only, and text without any white space; the last chunks are short."""
+    texts = {"words": LONG[:100_123], "lines": LONG[:70_001].replace(" ", "\n"), "marks": "日本語のテキスト、空白なし。" * 6_000}
+    table = spark.createDataFrame(list(texts.items()), "key string, text string")
+    chunks = _chunks(table, 32_768, 512)
+    parts = {r["key"]: r["count"] for r in chunks.groupBy("key").count().collect()}
+    found = {r.key: r.n_tokens for r in _spliced(_encoded(chunks, "byte_bpe_50k.json")).collect()}
+    assert parts == {"words": 4, "lines": 3, "marks": 3}
+    assert found == {k: len(library("byte_bpe_50k.json").encode(t, add_special_tokens=False)) for k, t in texts.items()}
+
+
 def test_token_count_edges(edges, none):
     found = rows(count_tokens(edges))
     assert len(found) == len(TEXTS) and all(r["n_tokens"] == 0 for r in found if r["doc_id"] in (2, 3))
