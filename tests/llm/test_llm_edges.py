@@ -7,7 +7,7 @@ from pyspark.sql import Row
 
 import corpus_pipeline
 from crossmarket.llm.class_lm import score_texts
-from crossmarket.llm.decontamination import best_edit_distance, build_index, contaminated, decontaminate, Scanner
+from crossmarket.llm.decontamination import best_edit_distance, build_index, contaminated, decontaminate, normal_words, Scanner
 from crossmarket.llm.encoders import WordIds, SpacedCounts, library
 from crossmarket.llm.language_id import identify
 from crossmarket.llm.near_dup import components, near_duplicates
@@ -100,6 +100,33 @@ def test_edited_passages_are_recalled(spark):
     assert not scanner.scan(filler[:20]) or True
 
 
+@pytest.mark.parametrize("rate", [0.15, 0.18, 0.2])
+def test_passages_edited_up_to_the_accepted_distance_are_recalled(spark, rate):
+    """Of the edited copies that the exact distance accepts, in spaced text and in text without spaces."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    filler = [r.text[:600] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(200).collect()]
+    chance = random.Random(17)
+    items += [(1000 + i, "".join(chance.choices([chr(c) for c in range(0x4e00, 0x4e00 + 400)], k=80))) for i in range(40)]
+    scanner, accepted, found = Scanner(build_index(items, 0.2)), 0, 0
+    for number, (_, text) in enumerate(items):
+        copy = "".join(("", "q", c + "q")[chance.randrange(3)] if chance.random() < rate else c for c in text)
+        normal = b" ".join(normal_words(copy))
+        if best_edit_distance(scanner.index.texts[number], scanner._places(number), normal) <= scanner.index.allowed[number]:
+            accepted += 1
+            found += (0, number) in scanner.scan([f"{chance.choice(filler)} {copy} {chance.choice(filler)}"])
+    assert accepted >= 100 and found >= 0.98 * accepted
+
+
+def test_passages_in_long_documents_are_found_at_any_place():
+    chance = random.Random(4)
+    text = "".join(chance.choices("abcdefghij", k=300))
+    scanner = Scanner(build_index([(1, text)], 0.2))
+    copy = "".join("q" if i % 9 == 0 else c for i, c in enumerate(text))
+    for at in (0, 65_200, 65_536, 65_900, 131_000, 199_700):
+        long = "".join(chance.choices("klmnopqrst", k=200_000))
+        assert scanner.scan([None, f"{long[:at]}{copy}{long[at + 300:]}"]) == {(1, 0): 34}
+
+
 def test_class_lm_edges(edges, none):
     found = rows(score_texts(edges))
     assert len(found) == len(TEXTS)
