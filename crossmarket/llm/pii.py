@@ -27,7 +27,10 @@ _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"']+")
-_ACCOUNT = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?|#))?[ \t]*[:=#]?[ \t]*([A-Za-z]{0,2}[0-9](?:[ -]?[A-Za-z0-9])*)", re.I)
+_ACCOUNT = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?|#))?[ \t]*[:=#]?[ \t]*"
+                      r"([A-Za-z]{0,2}[0-9][A-Za-z0-9]*(?:[ -](?=[A-Za-z]*[0-9])[A-Za-z0-9]+)*)", re.I)
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30}")
+_GROUP = re.compile(r"[A-Za-z0-9]+")
 _SECRET = re.compile(r"[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9_/+=.-]{8,})")
 _KEY_ID = re.compile(r"AKIA[A-Z0-9]{16}")
 
@@ -63,6 +66,24 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _account_end(text: str, start: int, end: int) -> int:
+    """Where the account number ends: an IBAN where its check holds, others with their last group that has a
+    digit, at most 34 digits in all; 0 if it has under six digits."""
+    if iban := _IBAN.match(text, start):
+        for group in reversed([*_GROUP.finditer(text, start, iban.end())]):
+            plain = text[start:group.end()].replace(" ", "").replace("-", "")
+            whole = not text[group.end():group.end() + 1].isalnum()
+            if whole and len(plain) >= 15 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+                return group.end()
+    digits = stop = 0
+    for group in _GROUP.finditer(text, start, end):
+        more = sum(c.isdigit() for c in group[0])
+        if digits + more > 34:
+            break
+        digits, stop = digits + more, group.end()
+    return stop if digits >= 6 else 0
+
+
 def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """(start, end) in code points, by kind, in order."""
     spans: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
@@ -97,10 +118,16 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 spans["phone"].append(found.span())
             behind["phone"] = found.end()
 
-    def after(kind: str, pattern: re.Pattern, end: int, valid) -> None:
-        if (found := pattern.match(text, end)) and found.start(1) >= behind[kind] and valid(found[1]):
-            spans[kind].append(found.span(1))
-            behind[kind] = found.end(1)
+    def account(end: int) -> None:
+        if (found := _ACCOUNT.match(text, end)) and found.start(1) >= behind["account"]:
+            if stop := _account_end(text, *found.span(1)):
+                spans["account"].append((found.start(1), stop))
+                behind["account"] = stop
+
+    def secret(end: int) -> None:
+        if (found := _SECRET.match(text, end)) and found.start(1) >= behind["secret"] and any(c.isdigit() for c in found[1]):
+            spans["secret"].append(found.span(1))
+            behind["secret"] = found.end(1)
 
     for last, (kind, size) in _automaton().iter(_lower(text)):
         at, end = last + 1 - size, last + 1
@@ -122,9 +149,9 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                     spans["url"].append((at, stop))
                     behind["url"] = stop
         elif kind == "account":
-            after("account", _ACCOUNT, end, lambda s: 6 <= sum(c.isdigit() for c in s) <= 34)
+            account(end)
         elif kind == "secret":
-            after("secret", _SECRET, end, lambda s: any(c.isdigit() for c in s))
+            secret(end)
         elif at >= behind["secret"] and (found := _KEY_ID.match(text, at)):
             spans["secret"].append(found.span())
             behind["secret"] = found.end()

@@ -193,6 +193,18 @@ def test_pii_edges(edges, none):
     assert redacted_text("mail a@b.com now") == "mail [EMAIL] now" and redacted_text(None) is None
 
 
+@pytest.mark.parametrize("number,prose", [
+    ("12345678", " was closed in May by the owner and then the bank sent a letter."),
+    ("12-3456 7890", " was closed on 3 May"), ("12345678", " and then 1234567890 1234567890 1234567890 were paid"),
+    ("1234567890 1234567890 1234567890", " 1234567890 1 was the list"),
+    ("DE89 3704 0044 0532 0130 00", " was closed in 2020"), ("GB29 NWBK 6016 1331 9268 19", " and more words follow"),
+    ("GB29NWBK60161331926819", " and then"), ("GB29 NWBK 6016 1331 9268 19", " THIS WAS ALL")])
+def test_account_numbers_end_before_prose(number, prose):
+    text = f"My account {number}{prose}"
+    assert [text[slice(*s)] for s in find_spans(text)["account"]] == [number]
+    assert redacted_text(text).startswith("My account [") and find_spans("account 12345 was closed")["account"] == []
+
+
 @pytest.mark.parametrize("chunk,overlap", [(50, 8), (64, 1), (1000, 16), (10**6, 10)])
 def test_token_count_chunks(spark, chunk, overlap):
     chance = random.Random(chunk)
