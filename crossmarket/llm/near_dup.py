@@ -3,8 +3,8 @@
 1. Every text becomes the set of its word shingles (64-bit hashes). Texts with equal sets form one class;
    from here on each class is compared once, however many copies it has.
 2. A class has `bands * rows` minima under multiply-shift hash functions. Classes that agree on all minima
-   of a band share a bucket. With 28 bands of 6 rows, a pair at similarity 0.85 misses every bucket with
-   probability (1 - 0.85^6)^28 < 2e-6.
+   of a band share a bucket. There are as many bands as it takes that a pair at the threshold misses every
+   bucket with probability under 2e-6: (1 - 0.85^6)^28 at 0.85, (1 - 0.8^6)^44 at 0.8.
 3. Every class is compared with the first class of each of its buckets. Buckets whose members then still
    belong to different components are compared further, in blocks of bounded size: what is outside the
    component of the bucket's first class, against all of the bucket, leaving out pairs already connected
@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -286,7 +287,13 @@ def _rest_of_buckets(members: DataFrame, components_now: DataFrame, classes: Dat
             .applyInArrow(compare, "a binary, b binary"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 28, per_band: int = 6,
+def bands_for(percent: int, per_band: int, missed: float = 2e-6) -> int:
+    """Bands with which a pair at the threshold shares no bucket with a probability under `missed`."""
+    same = (percent / 100) ** per_band
+    return 1 if same >= 1 else math.ceil(math.log(missed) / math.log1p(-same))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int | None = None, per_band: int = 6,
                     seed: int = 11, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id).
 
@@ -296,6 +303,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     but never names it, and stays as it is if nothing it is linked with has an id.
     """
     spark = docs.sparkSession
+    bands = bands or bands_for(percent, per_band)
     scratch = Scratch(spark, "near-dup")
     rows = keyed(docs, id_col, text_col)
     rows = rows.select("doc_id", "text", F.unhex(F.md5("text")).alias("text_key"))

@@ -10,7 +10,7 @@ from crossmarket.llm.class_lm import score_texts
 from crossmarket.llm.decontamination import best_edit_distance, build_index, contaminated, decontaminate, normal_words, Scanner
 from crossmarket.llm.encoders import WordIds, SpacedCounts, library
 from crossmarket.llm.language_id import identify
-from crossmarket.llm.near_dup import components, near_duplicates
+from crossmarket.llm.near_dup import bands_for, components, near_duplicates
 from crossmarket.llm.packing import pack, packed_documents, sweep
 from crossmarket.llm.pii import find_pii, find_spans, redacted_text
 from crossmarket.llm.preference_format import conversations, derived_pairs, format_pairs
@@ -170,6 +170,12 @@ def test_hub_chain_and_open_buckets(spark):
     assert got == brute_components(texts, 5, 80)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85, 95, 100])
+def test_pairs_at_the_threshold_share_a_bucket(percent):
+    assert (1 - (percent / 100) ** 6) ** bands_for(percent, 6) < 2e-6
+    assert bands_for(85, 6) == 28 and bands_for(80, 6) == 44
+
+
 def test_components_of_a_star_and_a_path(spark):
     from crossmarket.llm.common import Scratch
     links = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(40)]
