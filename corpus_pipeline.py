@@ -1,6 +1,6 @@
 """From raw documents to packed training sequences: five stages, each on all its predecessor kept.
 
-Stages take and give the columns of `documents`, the last one gives the places of the pieces. Every stage is
+Stages take and give the columns of `documents`, the last one gives the places and token ids of the pieces. Every stage is
 written and read again, so a lost executor costs tasks of one stage only.
 """
 
@@ -47,8 +47,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 4096 tokens, one row per piece."""
-    return packed_documents(docs)
+    """All documents in sequences of at most 4096 tokens, one row per piece, with its token ids as 32-bit integers."""
+    return packed_documents(docs, with_ids=True)
 
 
 STAGES = [("quality", quality), ("near_dup", near_dup), ("benchmark", benchmark), ("pii", personal_data),

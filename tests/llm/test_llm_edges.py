@@ -326,6 +326,14 @@ def test_preference_format(spark):
     assert rows(format_pairs(same))[0]["n_prompt_turns"] == 0
 
 
+def test_pipeline_gives_the_token_ids(spark, edges):
+    text = "the ids of this text can be read back"
+    docs = edges.limit(0).unionByName(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), allowMissingColumns=True)
+    found = rows(corpus_pipeline.packing(spark, docs, ""))
+    want = [*library("word_bpe_49k.json").encode(text, add_special_tokens=False).ids, 1]
+    assert [memoryview(r["ids"]).cast("I").tolist() for r in found] == [want]
+
+
 def test_pipeline_stages_on_edges(spark, tmp_path, edges, none, labels):
     root = str(tmp_path)
     labels.write.parquet(f"{root}/labels.parquet")
