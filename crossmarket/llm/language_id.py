@@ -168,12 +168,16 @@ class _Scorer:
 
 
 def _sample(rows: DataFrame, most_chars: int) -> dict[str, list[tuple[str, int]]]:
-    """Word counts of at most about `most_chars` characters of training text per language: rows in the
-    order of a hash of their id, as far as that many characters go."""
-    sizes = rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("chars"))
-    share = sizes.select("lang", F.least(F.lit(1.0), most_chars / F.greatest("chars", F.lit(1))).alias("_share"))
+    """Word counts of at most about `most_chars` characters of training text per language: each row is drawn
+    by a hash with the probability that makes that many characters. The row with the smallest hash among those with
+    text is always taken, its first `most_chars` characters if it was not drawn, so no language goes without."""
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
-    chosen = rows.join(F.broadcast(share), "lang").where(draw < F.col("_share")).select("lang", "text")
+    sizes = rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("chars"),
+                                     F.min(F.when(F.char_length("text") > 0, draw)).alias("_first"))
+    share = sizes.select("lang", F.least(F.lit(1.0), most_chars / F.greatest("chars", F.lit(1))).alias("_share"), "_first")
+    drawn = draw < F.col("_share")
+    chosen = (rows.join(F.broadcast(share), "lang").where(drawn | (draw == F.col("_first")))
+              .select("lang", F.when(drawn, F.col("text")).otherwise(F.substring("text", 1, most_chars)).alias("text")))
 
     def words(batches):
         for batch in batches:

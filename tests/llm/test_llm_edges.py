@@ -9,7 +9,7 @@ import corpus_pipeline
 from crossmarket.llm.class_lm import score_texts
 from crossmarket.llm.decontamination import best_edit_distance, build_index, contaminated, decontaminate, normal_words, Scanner
 from crossmarket.llm.encoders import WordIds, SpacedCounts, library
-from crossmarket.llm.language_id import identify
+from crossmarket.llm.language_id import _sample, identify
 from crossmarket.llm.near_dup import bands_for, components, near_duplicates
 from crossmarket.llm.packing import pack, packed_documents, sweep
 from crossmarket.llm.pii import find_pii, find_spans, redacted_text
@@ -142,6 +142,12 @@ def test_language_edges(edges, none):
     assert {r["lang_pred"] for r in rows(identify(edges.selectExpr("doc_id", "text", "cast(null as string) lang")))} == {"und"}
 
 
+def test_a_language_of_one_long_document_is_sampled(spark):
+    long = [(i, f"lang{i}", " ".join(["wort", "satz"] * 2_000)) for i in range(20)]
+    found = _sample(spark.createDataFrame(long, "doc_id bigint, lang string, text string"), 500)
+    assert set(found) == {name for _, name, _ in long} and all(sum(n for _, n in words) >= 100 for words in found.values())
+
+
 def test_near_dup_edges(spark, edges, none):
     found = rows(near_duplicates(edges))
     of = {r["doc_id"]: r for r in found}
