@@ -93,3 +93,16 @@ def dense_numbers(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return (table.join(F.broadcast(starts), task == F.col("_task"))
             .withColumn("number", F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1))
             .drop("_at", "_task", "_start"))
+
+
+def shared_lookup(rows: DataFrame, table: DataFrame, on: list[str], scratch: Scratch, share: int = 1000) -> DataFrame:
+    """Inner join with a table of unique keys, however many rows share a key.
+
+    Keys of more than 1 / `share` of the rows are fewer than `share`, so their part of the table is broadcast. Of the
+    other keys none can make a partition large. The rows are written first, since they are read three times.
+    """
+    rows = scratch.cut(rows)
+    total = rows.count()
+    hot = F.broadcast(rows.groupBy(*on).count().where(F.col("count") * share > total).select(*on))
+    often = F.broadcast(table.join(hot, on, "left_semi"))
+    return rows.join(often, on).unionByName(rows.join(hot, on, "left_anti").join(table, on))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossmarket.llm import hard_negatives, preference_format, quality_rules, warc
+from crossmarket.llm import collocations, hard_negatives, preference_format, quality_rules, warc
 from crossmarket.llm.common import read
 
 
@@ -59,6 +59,10 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_pairs(derived_pairs(read(spark, sf_dir, "conversations")))
 
 
+def op11_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(read(spark, sf_dir, "pages"))
 
@@ -73,6 +77,6 @@ def op13_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_cgk_decontamination, op2_class_ngrams, op3_kneser_ney_language, op4_minhash_near_dup, op5_anchored_pii,
     op6_token_counts, op7_line_first_rules, op8_best_fit_packing, op9_rule_ensemble,
-    op10_preference_format, op12_warc_chunks, op13_strassen_negatives)}
+    op10_preference_format, op11_trie_collocations, op12_warc_chunks, op13_strassen_negatives)}
 ORACLES = {"op7_line_first_rules": quality_rules.ORACLE_SQL, "op10_preference_format": preference_format.ORACLE_SQL,
-           "op12_warc_chunks": warc.ORACLE_SQL, "op13_strassen_negatives": hard_negatives.ORACLE_SQL}
+           "op11_trie_collocations": collocations.ORACLE_SQL, "op12_warc_chunks": warc.ORACLE_SQL, "op13_strassen_negatives": hard_negatives.ORACLE_SQL}
