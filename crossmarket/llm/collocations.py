@@ -31,6 +31,7 @@ from crossmarket.llm.common import Scratch, dense_numbers, reachable, shared_loo
 
 BITS = 6
 FAN = 1 << BITS
+ROWS = 1 << 15  # of one batch to Spark
 PIECE_ENDS = re.compile(r"[.,;:!?\x0A-\x0D]")
 
 
@@ -139,14 +140,16 @@ def _blocks(rows: DataFrame, block_words: int) -> DataFrame:
                 ids = ids[ids != 1] - 2  # what was 0, the end of a piece, is -2
                 names, block = list(numbers)[2:], first + next(blocks)
                 counts = np.bincount(ids[ids >= 0], minlength=len(names))
-                w = len(names)
-                one = pa.RecordBatch.from_arrays(
+                yield pa.RecordBatch.from_arrays(
                     [pa.array([block]), pa.array([lang]), pa.array([np.maximum(ids, -1).tobytes()], pa.binary()),
                      pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())], columns)
-                many = pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(w, block)), pa.array([lang] * w, pa.string()), pa.nulls(w, pa.binary()),
-                     pa.array(np.arange(w, dtype=np.int32)), pa.array(names, pa.string()), pa.array(counts, pa.int64())], columns)
-                yield from (one, many)
+                for low in range(0, len(names), ROWS):
+                    part = names[low:low + ROWS]
+                    w = len(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(w, block)), pa.array([lang] * w, pa.string()), pa.nulls(w, pa.binary()),
+                         pa.array(np.arange(low, low + w, dtype=np.int32)), pa.array(part, pa.string()),
+                         pa.array(counts[low:low + w], pa.int64())], columns)
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -209,7 +212,7 @@ def _renumbered(blocks: DataFrame, frequent: DataFrame, parts: int) -> DataFrame
             .sortWithinPartitions("block", F.col("local").asc_nulls_last()).mapInArrow(renumber, "lang string, ids binary, state binary"))
 
 
-def _pass(blocks: DataFrame, sent, offset: int, digits: int, longer: bool, last: bool, most: int = 2_000_000) -> DataFrame:
+def _pass(blocks: DataFrame, sent, offset: int, digits: int, longer: bool, last: bool, most: int = 1_000_000) -> DataFrame:
     """One trie over all blocks. Rows of three kinds: counts per phrase number; if `last`, sequences one word
     longer with their counts in some of the blocks; if not, the blocks with what begins where so far.
 
@@ -237,9 +240,12 @@ def _pass(blocks: DataFrame, sent, offset: int, digits: int, longer: bool, last:
         def emitted():
             for lang, pairs in found.items():
                 phrases, counts = merged(pairs)
-                n = len(phrases)
-                raw = pa.Array.from_buffers(pa.binary(4 * size + 4), n, [None, pa.py_buffer(phrases.tobytes())])
-                yield row_batch(n, lang=pa.array([lang] * n, pa.string()), phrase=raw.cast(pa.binary()), n=pa.array(counts))
+                for low in range(0, len(phrases), ROWS):
+                    part = phrases[low:low + ROWS]
+                    n = len(part)
+                    raw = pa.Array.from_buffers(pa.binary(4 * size + 4), n, [None, pa.py_buffer(part.tobytes())])
+                    yield row_batch(n, lang=pa.array([lang] * n, pa.string()), phrase=raw.cast(pa.binary()),
+                                    n=pa.array(counts[low:low + n]))
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -281,7 +287,7 @@ def _pass(blocks: DataFrame, sent, offset: int, digits: int, longer: bool, last:
 
 
 def phrase_counts(docs: DataFrame, min_count: int = 100, most_words: int = 5, lang_col: str = "lang", text_col: str = "text",
-                  block_words: int = 1 << 20, part_size: int = 250_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+                  block_words: int = 1 << 19, part_size: int = 250_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: counts of the phrases of 1 to `most_words` words that reach `min_count` (lang, phrase as big-endian word
     numbers, length, a), the words (lang, word, number, n), and all word occurrences of each language (lang, n)."""
     spark = docs.sparkSession
