@@ -103,13 +103,24 @@ def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
 def pack(pieces: DataFrame, capacity: int = 4096, rows_per_share: int = 50_000) -> DataFrame:
     """The pieces with their sequence and offset; every piece is placed, gapless from 0.
 
-    `pieces` needs `doc_id`, `piece`, `start`, `length` (1 to capacity); other columns pass through. Ranks
-    inside a length are counted in shares of the rows, so a length that a third of all pieces have is
-    split too. Ties between equal pieces are broken by id, number and start; repeated rows are each placed.
-    An empty table gives an empty one.
+    `pieces` needs `doc_id`, `piece`, `start`, `length` (1 to capacity). Ranks inside a length are counted in shares
+    of the rows, so a length that a third of all pieces have is split too. Ties between equal pieces are broken by
+    id, number and start; repeated rows are each placed. An empty table gives an empty one. Other columns, which
+    may be wide, stay out of ranking and placing and join their piece at the end.
     """
-    spark = pieces.sparkSession
-    rows = Scratch(spark, "packing").cut(pieces)
+    scratch = Scratch(pieces.sparkSession, "packing")
+    wide = [c for c in pieces.columns if c not in ("doc_id", "piece", "start", "length", "ids_crc32")]
+    if wide:
+        whole = scratch.cut(pieces.withColumn("_row", F.monotonically_increasing_id()))
+        placed = _placed(whole.drop(*wide), capacity, rows_per_share).hint("shuffle_hash")
+        return (whole.select("_row", *wide).join(placed, "_row")
+                .select(*pieces.columns, "sequence_id", "offset"))
+    return _placed(scratch.cut(pieces), capacity, rows_per_share)
+
+
+def _placed(pieces: DataFrame, capacity: int, rows_per_share: int) -> DataFrame:
+    """`pack` for narrow rows that are written already."""
+    spark, rows = pieces.sparkSession, pieces
     counts = {int(r[0]): int(r[1]) for r in rows.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = np.array(sweep(counts, capacity), np.int64).reshape(-1, 6)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]

@@ -340,6 +340,23 @@ def test_pipeline_gives_the_token_ids(spark, edges):
     assert [memoryview(r["ids"]).cast("I").tolist() for r in found] == [want]
 
 
+def test_pipeline_drops_copies_and_not_their_ids(spark, edges):
+    text, other = TEXTS[0][1], "unlike anything else that is written in these rows"
+    docs = edges.limit(0).unionByName(spark.createDataFrame(
+        [(3, text), (5, text), (5, other), (-7, "one more text, which has nothing in common")], "doc_id bigint, text string"), allowMissingColumns=True)
+    for kind in ("bigint", "string"):
+        found = rows(corpus_pipeline.near_dup(spark, docs.withColumn("doc_id", docs.doc_id.cast(kind)), ""))
+        assert {(int(r["doc_id"]), r["text"]) for r in found} == {(3, text), (5, other), (-7, "one more text, which has nothing in common")}
+
+
+def test_packing_joins_wide_columns_to_their_piece(spark):
+    pieces = spark.createDataFrame([(i % 5, 0, 0, 1 + i % 9, 7, bytes([i % 9] * 3), "x") for i in range(60)],
+                                   "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary, _rank string")
+    placed = rows(pack(pieces, 16))
+    assert len(placed) == 60 and all(r["ids"] == bytes([r["length"] - 1] * 3) for r in placed)
+    assert len({(r["sequence_id"], r["offset"]) for r in placed}) == 60
+
+
 def test_pipeline_stages_on_edges(spark, tmp_path, edges, none, labels):
     root = str(tmp_path)
     labels.write.parquet(f"{root}/labels.parquet")
