@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from crossmarket.llm.common import Scratch, read
 from crossmarket.llm.decontamination import decontaminate
@@ -25,11 +26,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): that with the smallest id.
 
-    Documents without a word are linked with nothing and stay. Rows that repeat an id are one document; rows
-    without an id stay.
+    Documents without a word are linked with nothing and stay, and so do rows without an id. Rows that repeat an id
+    are told apart by a checksum of their text, so only those that are copies go; rows that repeat both are one document.
     """
-    dropped = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):  # ordered by the id
+        key = (F.col("doc_id").cast("decimal(20,0)") * F.lit(10 ** 18).cast("decimal(19,0)")
+               + F.pmod(F.xxhash64(text), F.lit(10 ** 18)).cast("decimal(19,0)")).cast("decimal(38,0)")
+    else:
+        key = F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.md5(text))
+    keyed = docs.withColumn("_key", key)
+    dropped = near_duplicates(keyed, id_col="_key").where("not kept").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(dropped, "_key", "left_anti").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
