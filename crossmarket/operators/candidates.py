@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from crossmarket.functions import prices, text, vocab
 from crossmarket.operators import scoring
+from crossmarket.operators.angle_index import angle_pairs
 from crossmarket.operators.buckets import tradable
-from crossmarket.operators.pairing import largest_gap_pairs, slice_join, top_volume_pairs
+from crossmarket.operators.pairing import largest_gap_pairs, slice_join
+from crossmarket.operators.score_floor import reachable_pairs
 from crossmarket.operators.similarity_join import contained_titles, edit_similar_titles, jaccard_prefix, prefix_join
+from crossmarket.sources.checkpoints import cut
 
 COLUMNS = ("id", "title", "category", "yes_price", "volume", "liquidity", "title_normalized", "title_hash")
 
@@ -63,44 +66,24 @@ def keyword_hits(title: Column, words) -> Column:
 def top_scored_pairs(markets: DataFrame, k: int = 1000, minimum: int = 30) -> DataFrame:
     """The k best pairs by additive score, then smaller volume.
 
-    The score is not separable, but within one class of pairs (same category or not, which
-    keyword is shared) and one pair of prices it only depends on the volumes. So each class
-    contributes the pairs that can reach the top k there (see top_volume_pairs), the classes are
-    disjoint, and the final sort sees a number of rows that does not grow with the tables.
+    Histograms tell which score and volume k pairs reach; only rows that can reach it are joined (see score_floor).
     """
     words = tuple(w for w, _ in vocab.SCORE_KEYWORDS)
     sides = []
     for venue in ("kalshi", "polymarket"):
         df = renamed(tradable(markets), venue, ("id", "title", "category", "yes_price", "volume"))
-        sides.append(df.withColumn(f"{venue}_words", keyword_hits(F.col(f"{venue}_title"), words)))
-    left, right = sides
-    same = F.col("kalshi_category") == F.col("polymarket_category")
-    shared = F.array_intersect("kalshi_words", "polymarket_words")
-    none_shared = F.size(shared) == 0
-    first_shared = F.element_at(shared, 1) == F.col("_word")
-    by_category = [d.withColumn("_category", F.col(f"{v}_category"))
-                   for d, v in zip(sides, ("kalshi", "polymarket"))]
-    by_word = [d.withColumn("_word", F.explode(f"{v}_words")) for d, v in zip(sides, ("kalshi", "polymarket"))]
-    by_both = [d.withColumn("_category", F.col(f"{v}_category"))
-               for d, v in zip(by_word, ("kalshi", "polymarket"))]
-    classes = [
-        (left, right, [], ~F.coalesce(same, F.lit(False)) & none_shared),
-        (*by_category, ["_category"], none_shared),
-        (*by_word, ["_word"], ~F.coalesce(same, F.lit(False)) & first_shared),
-        (*by_both, ["_category", "_word"], first_shared)]
-    score = scoring.additive_score(F.col("kalshi_title"), F.col("polymarket_title"),
-                                   F.coalesce(same, F.lit(False)), gap_column(), min_volume())
-    found = None
-    for a, b, keys, condition in classes:
-        part = (top_volume_pairs(a, b, keys, ("kalshi_price", "polymarket_price"),
-                                 ("kalshi_volume", "polymarket_volume"), ("kalshi_id", "polymarket_id"), k)
-                .where(condition).drop(*keys)
-                .withColumn("similarity_score", score).where(F.col("similarity_score") >= minimum))
-        found = part if found is None else found.unionByName(part)
-    return (found.withColumn("price_difference", gap_column()).withColumn("min_volume", min_volume())
+        sides.append(df.withColumns({"_category": F.col(f"{venue}_category"), "_price": F.col(f"{venue}_price"),
+                                     "_volume": F.col(f"{venue}_volume"),
+                                     "_words": keyword_hits(F.col(f"{venue}_title"), words)}))
+    sides = [cut(df) for df in sides]
+    same = F.coalesce(F.col("kalshi_category") == F.col("polymarket_category"), F.lit(False))
+    score = scoring.additive_score(F.col("kalshi_title"), F.col("polymarket_title"), same, gap_column(), min_volume())
+    found = reachable_pairs(*sides, k, minimum, gap_column())
+    return (found.withColumn("similarity_score", score).where(F.col("similarity_score") >= minimum)
+            .withColumn("price_difference", gap_column()).withColumn("min_volume", min_volume())
             .orderBy(F.desc("similarity_score"), F.desc("min_volume"),
                      F.desc(F.greatest("kalshi_volume", "polymarket_volume")), "kalshi_id", "polymarket_id")
-            .limit(k).drop("kalshi_words", "polymarket_words"))
+            .limit(k))
 
 
 def improved_matches(markets: DataFrame, minimum: float = 0.4, min_gap: float = 0.03,
@@ -296,16 +279,8 @@ def selected_pairs(markets: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def embedding_pairs(vectors: DataFrame, block: str = "label", threshold: float = 0.7) -> DataFrame:
-    """Pairs of one block whose vectors have at least the given cosine (unit length first)."""
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = F.transform("embedding", lambda x: x.cast("double") / norm)
-    a = vectors.select(block, F.col("vec_id").alias("left_id"), unit.alias("_a"))
-    b = vectors.select(block, F.col("vec_id").alias("right_id"), unit.alias("_b"))
-    cosine = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    ordered = F.col("left_id") < F.col("right_id")
-    pairs = slice_join(a, b, [block], "left_id", "right_id", ordered)
-    return (pairs.withColumn("similarity", cosine).where(F.col("similarity") >= threshold)
-            .drop("_a", "_b"))
+    """Pairs of one block whose vectors have at least the given cosine."""
+    return angle_pairs(vectors, block, "vec_id", "embedding", threshold)
 
 
 def comparison_count(markets: DataFrame) -> DataFrame:
@@ -326,41 +301,57 @@ def context_budget(markets: DataFrame, chars_per_pair: int = 500, limit: int = 4
 
 
 def prefilter_counts(markets: DataFrame, volume: float = 100.0) -> DataFrame:
-    """How many of all pairs reach 30 and 50 points, from profile counts instead of pairs.
+    """How many of all pairs reach 30 and 50 points, counted by order statistics instead of pairs.
 
-    A listing's part in the score is its category, keywords and price; listings are counted per
-    such profile. Totals follow by inclusion: same-category pairs all reach 50, the others are
-    counted per shared keyword, and the rest can reach at most 20 points.
+    Pairs of one category all reach 50. Which keyword another pair scores for depends on the keyword sets of its sides alone, of
+    which there are 2^5. Listings are counted per set and price step; of two sets, the pairs with a gap above a bound are the
+    partners outside a range of steps in their merged order. The same per category gives the pairs to take off again.
+    Work and rows grow with the listings, never with their pairs.
     """
-    words = tuple(w for w, _ in vocab.PREFILTER_KEYWORDS)
+    words = vocab.PREFILTER_KEYWORDS
     live = markets.where(F.col("is_active") & (F.col("volume") > volume))
-    step = F.round(F.col("yes_price") * 10_000).cast("bigint")
-    profile = live.groupBy("platform", "category", keyword_hits(F.col("title"), words).alias("words"),
-                           step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
-    k = profile.where(F.col("platform") == "kalshi").select(
-        F.col("category").alias("kc"), F.col("words").alias("kw"), F.col("step").alias("ks"), F.col("n").alias("kn"))
-    p = profile.where(F.col("platform") == "polymarket").select(
-        F.col("category").alias("pc"), F.col("words").alias("pw"), F.col("step").alias("ps"), F.col("n").alias("pn"))
-    sums = profile.agg(F.sum(F.when(F.col("platform") == "kalshi", F.col("n")).otherwise(0)).alias("nk"),
-                       F.sum(F.when(F.col("platform") == "polymarket", F.col("n")).otherwise(0)).alias("np"))
-    per_category = profile.groupBy("category").agg(
-        F.sum(F.when(F.col("platform") == "kalshi", F.col("n")).otherwise(0)).alias("a"),
-        F.sum(F.when(F.col("platform") == "polymarket", F.col("n")).otherwise(0)).alias("b"))
-    same = per_category.where(F.col("category").isNotNull()).agg(F.sum(F.col("a") * F.col("b")).alias("same"))
-    gap = F.abs(F.col("ks") - F.col("ps"))
-    bonus = F.when(gap > 1000, 20).when(gap > 500, 10).otherwise(0)
-    shared = F.array_intersect("kw", "pw")
-    points = F.coalesce(*[F.when(F.element_at(shared, 1) == w, pts) for w, pts in vocab.PREFILTER_KEYWORDS])
-    joined = (k.withColumn("_w", F.explode("kw")).join(p.withColumn("_w", F.explode("pw")), "_w")
-              .where(~F.coalesce(F.col("kc") == F.col("pc"), F.lit(False))
-                     & (F.element_at(shared, 1) == F.col("_w"))))
-    keyed = joined.withColumn("pts", points + bonus).agg(
-        F.coalesce(F.sum(F.when(F.col("pts") >= 30, F.col("kn") * F.col("pn"))), F.lit(0)).alias("kw30"),
-        F.coalesce(F.sum(F.when(F.col("pts") >= 50, F.col("kn") * F.col("pn"))), F.lit(0)).alias("kw50"))
-    row = sums
-    for part in (same, keyed):
+    low = F.lower("title")
+    held = sum((F.when(F.contains(low, F.lit(w)), 1 << i).otherwise(0) for i, (w, _) in enumerate(words)), F.lit(0))
+    profile = cut(live.groupBy("platform", "category", held.alias("held"),
+                               F.round(F.col("yes_price") * 10_000).cast("bigint").alias("step")).agg(F.count(F.lit(1)).alias("n")))
+    n_of = lambda venue: F.sum(F.when(F.col("platform") == venue, F.col("n")).otherwise(0))
+    totals = profile.agg(n_of("kalshi").alias("nk"), n_of("polymarket").alias("np"))
+    same = (profile.where(F.col("category").isNotNull()).groupBy("category")
+            .agg(n_of("kalshi").alias("a"), n_of("polymarket").alias("b")).agg(F.sum(F.col("a") * F.col("b")).alias("same")))
+
+    # A set meets every set it shares a keyword with; `mine` and `theirs` name the two sides of that meeting.
+    sets = F.sequence(F.lit(1), F.lit((1 << len(words)) - 1))
+    meeting = profile.where("held > 0").withColumn("other", F.explode(F.filter(sets, lambda m: F.col("held").bitwiseAND(m) != 0)))
+    is_k = F.col("platform") == "kalshi"
+    meeting = meeting.select(
+        "category", "step", F.when(is_k, F.col("held")).otherwise(F.col("other")).alias("mine"),
+        F.when(is_k, F.col("other")).otherwise(F.col("held")).alias("theirs"),
+        F.when(is_k, F.col("n")).otherwise(0).alias("kn"), F.when(is_k, 0).otherwise(F.col("n")).alias("pn"))
+    everyone = meeting.withColumn("category", F.lit(None).cast("string")).withColumn("sign", F.lit(1))
+    alike = meeting.where(F.col("category").isNotNull()).withColumn("sign", F.lit(-1))
+    keys = ["sign", "category", "mine", "theirs"]
+    steps = everyone.unionByName(alike).groupBy(*keys, "step").agg(F.sum("kn").alias("kn"), F.sum("pn").alias("pn"))
+    whole, priced = Window.partitionBy(*keys), F.when(F.col("step").isNotNull(), F.col("pn")).otherwise(0)
+
+    def outside(d: int) -> Column:
+        """Partners with a gap above d steps; a missing price has no gap."""
+        far = F.sum(priced).over(whole) - F.sum(priced).over(whole.orderBy("step").rangeBetween(-d, d))
+        return F.when(F.col("step").isNotNull(), far).otherwise(0)
+
+    counted = steps.select("sign", "mine", "theirs", "kn", F.sum("pn").over(whole).alias("at_0"), outside(500).alias("at_10"),
+                           outside(1000).alias("at_20"))
+    both = F.col("mine").bitwiseAND(F.col("theirs"))
+    points = F.coalesce(*[F.when(both.bitwiseAND(1 << i) != 0, p) for i, (_, p) in enumerate(words)])
+
+    def reaching(bound: int) -> Column:
+        partners = (F.when(points >= bound, F.col("at_0")).when(points + 10 >= bound, F.col("at_10"))
+                    .when(points + 20 >= bound, F.col("at_20")).otherwise(0))
+        return F.coalesce(F.sum(F.col("sign") * F.col("kn") * partners), F.lit(0))
+
+    shared = counted.agg(reaching(30).alias("kw30"), reaching(50).alias("kw50"))
+    row = totals
+    for part in (same, shared):  # one-row aggregates side by side
         row = row.withColumn("_j", F.lit(1)).join(part.withColumn("_j", F.lit(1)), "_j").drop("_j")
     same_total = F.coalesce("same", F.lit(0))
-    return row.select((F.col("nk") * F.col("np")).alias("total_pairs"),
-                      (same_total + F.col("kw30")).alias("filtered_pairs"),
+    return row.select((F.col("nk") * F.col("np")).alias("total_pairs"), (same_total + F.col("kw30")).alias("filtered_pairs"),
                       (same_total + F.col("kw50")).alias("high_quality_pairs"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossmarket.config import EnrichmentConfig
 from crossmarket.functions import text
+from crossmarket.operators.ranks import in_slices
 
 KEYS = ("market_id", "outcome")
 
@@ -78,22 +82,25 @@ def trend(stats: DataFrame) -> DataFrame:
             .withColumn("trend_duration_hours", F.col("points") * 24))
 
 
-def price_changes(observations: DataFrame, keys: tuple[str, ...] = KEYS, span: str = "day") -> DataFrame:
+def price_changes(observations: DataFrame, keys: tuple[str, ...] = KEYS, slices: int | None = None) -> DataFrame:
     """Observations whose price differs from the one before; the first is always kept.
 
-    Series are compared inside time spans, so a long one is spread over many tasks. What the
-    first observation of a span follows is the last one of the span before, found among one row
-    per series and span.
+    All observations are cut into slices of the order (series, time, id), so a long series, or a busy day of one, is spread over
+    as many tasks as it needs. What the first observation of a slice follows is the last one of its series in an
+    earlier slice, found among one row per series and slice.
     """
-    sliced = observations.withColumn("_span", F.date_trunc(span, "timestamp"))
-    inside = Window.partitionBy(*keys, "_span").orderBy("timestamp", "event_id")
-    ends = sliced.groupBy(*keys, "_span").agg(F.max_by("price", F.struct("timestamp", "event_id")).alias("_end"))
-    series = Window.partitionBy(*keys).orderBy("_span")
-    carried = ends.select(*keys, "_span", F.lag("_end").over(series).alias("_carried"))
-    compared = (sliced.withColumn("_rn", F.row_number().over(inside)).withColumn("_lag", F.lag("price").over(inside))
-                .join(carried, [*keys, "_span"]))
+    order = [*keys, "timestamp", "event_id"]
+    sliced = in_slices(observations, order, slices)
+    inside = Window.partitionBy(*keys, "_slice").orderBy("timestamp", "event_id")
+    ends = sliced.groupBy(*keys, "_slice").agg(F.max_by("price", F.struct("timestamp", "event_id")).alias("_end"))
+    series = Window.partitionBy(*keys).orderBy("_slice")
+    carried = ends.select(*keys, "_slice", F.lag("_end").over(series).alias("_carried"))
+    compared = sliced.withColumn("_rn", F.row_number().over(inside)).withColumn("_lag", F.lag("price").over(inside))
+    compared = compared.join(carried.toDF(*[f"_k{i}" for i in range(len(keys))], "_s", "_carried"),
+                             (F.col("_slice") == F.col("_s")) & reduce(and_, (
+                                 F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys))))
     before = F.when(F.col("_rn") == 1, F.col("_carried")).otherwise(F.col("_lag"))
-    return (compared.withColumn("previous_price", before).drop("_span", "_rn", "_lag", "_carried")
+    return (compared.withColumn("previous_price", before).select(*observations.columns, "previous_price")
             .where(F.col("previous_price").isNull() | (F.col("price") != F.col("previous_price"))))
 
 

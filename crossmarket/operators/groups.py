@@ -8,18 +8,36 @@ from pyspark.sql import functions as F
 from crossmarket.sources.checkpoints import cut_at, release
 
 
+def _split(edges: DataFrame, share: int = 1000) -> DataFrame:
+    """The edges (u, v) with _part: 0, or for hubs of more than 1 / `share` of the edges a number from the leaf's hash.
+
+    There are fewer than `share` such hubs, so their list is broadcast.
+    """
+    total = edges.count()
+    hubs = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * share > total)
+    parts = F.ceil(F.col("n") * share / F.lit(total)).cast("int")
+    return edges.join(F.broadcast(hubs.select("u", parts.alias("_parts"))), "u", "left").withColumn(
+        "_part", F.pmod(F.xxhash64("v"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+
+
+def _least_neighbours(split: DataFrame) -> DataFrame:
+    """(u, _part, m): the smallest neighbour of u, for every part of its edges: first within parts, then over them."""
+    within = split.groupBy("u", "_part").agg(F.min("v").alias("m"))
+    return within.select("u", "_part").join(within.groupBy("u").agg(F.min("m").alias("m")), "u")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Connect every larger neighbour of a node to the smallest of its neighbourhood."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    both = _split(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    least = _least_neighbours(both).withColumn("m", F.least("u", "m"))
+    return both.where(F.col("v") > F.col("u")).join(least, ["u", "_part"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Connect a node and its smaller neighbours to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    down = _split(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    least = _least_neighbours(down)
+    linked = down.join(least, ["u", "_part"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -28,14 +46,17 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
 
     Alternating large-star and small-star steps; each is a min per node (combined before the
     shuffle) and an equi-join, and the number of rounds grows with the logarithm of the longest
-    path. Every round is written out, so plans stay short and a lost executor costs one round.
+    path. The edges of a hub are split by leaf, so no task gets them all. Every round is
+    written out, so plans stay short and a lost executor costs one round.
     """
     stars, path = cut_at(edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v").distinct())
     before = None
     while True:
         last = path
-        stars, path = cut_at(_small_star(_large_star(stars).distinct()))
-        release(edges.sparkSession, last)
+        large, large_path = cut_at(_large_star(stars).distinct())
+        stars, path = cut_at(_small_star(large))
+        for done in (last, large_path):
+            release(edges.sparkSession, done)
         # Two numbers per round reach the driver: the edge count and an order-free checksum.
         seen = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == seen:
@@ -78,7 +99,7 @@ def latest_groups(memberships: DataFrame, markets: DataFrame, platforms: DataFra
     """
     groups = group_table(memberships, markets).orderBy(F.desc("group_id")).limit(limit)
     members = (memberships.select("market_id", "group_id")
-               .join(groups.select("group_id", "name", F.col("confidence").alias("group_confidence")), "group_id")
+               .join(F.broadcast(groups.select("group_id", "name", F.col("confidence").alias("group_confidence"))), "group_id")
                .join(markets.select(F.col("id").alias("market_id"), "title", "platform"), "market_id"))
     names = platforms.select(F.col("name").alias("platform"), "display_name")
     return members.join(names, "platform", "left").withColumn("platform", F.coalesce("display_name", "platform")).drop(

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossmarket.config import ModelConfig
+from crossmarket.operators.ranks import rank_auc
 from crossmarket.operators.scoring import FEATURES, explanation, heuristic_score
 
 
@@ -22,11 +23,14 @@ def labelled(scored: DataFrame, cfg: ModelConfig = ModelConfig()) -> DataFrame:
         (F.col("confidence_score") >= cfg.positive_confidence).cast("double").alias("label"))
 
 
+def is_held_out(cfg: ModelConfig = ModelConfig()) -> Column:
+    """By a hash of the pair: the same on every run and cluster."""
+    return F.pmod(F.xxhash64("kalshi_id", "polymarket_id", F.lit(cfg.seed)), F.lit(1000)) < int(cfg.test_share * 1000)
+
+
 def split(df: DataFrame, cfg: ModelConfig = ModelConfig()) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows by a hash of the pair: the same split on every run and cluster."""
-    bucket = F.pmod(F.xxhash64("kalshi_id", "polymarket_id", F.lit(cfg.seed)), F.lit(1000))
-    held = bucket < int(cfg.test_share * 1000)
-    return df.where(~held), df.where(held)
+    """Train and test rows."""
+    return df.where(~is_held_out(cfg)), df.where(is_held_out(cfg))
 
 
 def estimator(cfg: ModelConfig = ModelConfig()) -> Pipeline:
@@ -44,7 +48,7 @@ def estimator(cfg: ModelConfig = ModelConfig()) -> Pipeline:
 
 
 def train(training: DataFrame, cfg: ModelConfig = ModelConfig()) -> PipelineModel | None:
-    """Fits the pipeline; None if there are fewer than `min_rows` rows or only one label to learn from."""
+    """Fits the pipeline; None if there are fewer than `cfg.min_rows` rows or only one label to learn from."""
     counts = training.groupBy("label").count().collect()  # two rows at most
     if sum(r["count"] for r in counts) < cfg.min_rows or len(counts) < 2:
         return None
@@ -54,7 +58,7 @@ def train(training: DataFrame, cfg: ModelConfig = ModelConfig()) -> PipelineMode
 def predict(model: PipelineModel | None, features: DataFrame) -> DataFrame:
     """P(equivalent) and confidence per pair; without a model the heuristic score stands in."""
     if model is None:
-        scored = features.withColumn("worthiness", heuristic_score()).withColumn(
+        scored = features.withColumn("worthiness", heuristic_score(F.col("category_match").cast("boolean"))).withColumn(
             "prediction", (F.col("worthiness") > 0.5).cast("double"))
     else:
         scored = model.transform(features).withColumn("worthiness", vector_to_array("probability")[1])
@@ -79,8 +83,9 @@ def metrics(predictions: DataFrame) -> DataFrame:
                          rate(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def roc_auc(predictions: DataFrame) -> float:
-    return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(predictions)
+def roc_auc(predictions: DataFrame) -> float | None:
+    """Of the scores, by rank sums; None if a class is absent."""
+    return rank_auc(predictions).first()["roc_auc"]
 
 
 def cross_validated(training: DataFrame, cfg: ModelConfig = ModelConfig()) -> float:
@@ -95,6 +100,26 @@ def importances(model: PipelineModel) -> dict[str, float]:
     return dict(zip(FEATURES, (float(v) for v in model.stages[-1].featureImportances.toArray())))
 
 
+def quality(fitted: PipelineModel | None, train_rows: DataFrame, test_rows: DataFrame,
+            cfg: ModelConfig = ModelConfig()) -> DataFrame:
+    """(measure, value): counts, held-out metrics and AUC, cross-validated accuracy, importances, and whether retraining on
+    the same rows replaces the model. What needs a model is null where none could be fitted.
+    """
+    held = predict(fitted, test_rows)
+    tested = metrics(held).first().asDict()
+    found: dict[str, float | None] = {"train_rows": train_rows.count(), "test_rows": test_rows.count(),
+                                      "fitted": float(fitted is not None)}
+    names = ("accuracy", "precision", "recall", "f1")
+    found |= {f"held_out_{n}": None if fitted is None else tested[n] for n in names}
+    found["held_out_roc_auc"] = None if fitted is None else roc_auc(held)
+    found["cross_validated_accuracy"] = None if fitted is None else cross_validated(train_rows, cfg)
+    weights = dict.fromkeys(FEATURES) if fitted is None else importances(fitted)
+    found |= {f"importance_{n}": v for n, v in weights.items()}
+    found["replaced_by_retraining"] = float(retrain(fitted, train_rows.unionByName(test_rows), cfg)[1])
+    rows = [(n, None if v is None else float(v)) for n, v in found.items()]
+    return train_rows.sparkSession.createDataFrame(rows, "measure string, value double")
+
+
 def bucket_success(evaluated: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Measured success rate per bucket, usable as the history of the feature step."""
     return evaluated.groupBy("bucket").agg(

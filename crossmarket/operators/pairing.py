@@ -112,28 +112,3 @@ def largest_gap_pairs(left: DataFrame, right: DataFrame, keys: list[str], k: int
     a = extreme_rows(left, keys, *left_cols, k)
     b = extreme_rows(right, keys, *right_cols, k)
     return a.join(b, keys)
-
-
-def ranked_by_volume(df: DataFrame, keys: list[str], volume: str, row_id: str, k: int) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy(F.col(volume).desc(), F.col(row_id).asc())
-    return df.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
-
-
-def top_volume_pairs(left: DataFrame, right: DataFrame, keys: list[str], profile: tuple[str, str],
-                     volume: tuple[str, str], row_id: tuple[str, str], k: int) -> DataFrame:
-    """Per key, all pairs that can be among the k best by smaller volume within equal profiles.
-
-    With both sides ranked by volume inside (key, profile), pair (i, j) is beaten by every pair of
-    better ranks, of which there are i*j - 1; so only i*j <= k can reach the top k. The pairs per
-    combination of profiles number about k*ln(k), whatever the size of the tables.
-    """
-    a = ranked_by_volume(left, [*keys, profile[0]], volume[0], row_id[0], k)
-    b = ranked_by_volume(right, [*keys, profile[1]], volume[1], row_id[1], k)
-    deepest = b.groupBy(*keys).agg(F.max("_rank").alias("_deepest")) if keys else b.agg(
-        F.max("_rank").alias("_deepest"))
-    # The depth table has one row per key and is only attached to rows already cut to k per profile.
-    a = (a.join(deepest, keys) if keys else a.withColumn("_one", F.lit(1)).join(
-        deepest.withColumn("_one", F.lit(1)), "_one").drop("_one"))
-    a = a.withColumn("_rank", F.explode(F.sequence(
-        F.lit(1), F.least(F.floor(F.lit(k) / F.col("_rank")), F.col("_deepest")).cast("int"))))
-    return spread_join(a.drop("_deepest"), b, [*keys, "_rank"]).drop("_rank")

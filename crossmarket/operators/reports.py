@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crossmarket.operators.ranks import median
 from crossmarket.functions import vocab
 
 def rows() -> Column:
@@ -53,12 +54,12 @@ def evaluation_totals(evals: DataFrame) -> DataFrame:
         F.countDistinct("polymarket_category").alias("polymarket_categories"))
 
 
-def confidence_median(evals: DataFrame, approximate: bool = False) -> DataFrame:
-    """Exact by default; the sketch keeps memory fixed when groups are huge."""
-    median = (F.percentile_approx("confidence_score", 0.5, 10000) if approximate
-              else F.percentile("confidence_score", 0.5))
-    return evals.agg(F.avg("confidence_score").alias("avg_confidence"), median.alias("median_confidence"),
-                     count_if(F.col("confidence_score") >= 0.5, "medium_plus"))
+def confidence_median(evals: DataFrame) -> DataFrame:
+    """Mean, exact median and how many reach one half; the median by ranks over counts per score (see ranks)."""
+    plain = evals.agg(F.avg("confidence_score").alias("avg_confidence"),
+                      count_if(F.col("confidence_score") >= 0.5, "medium_plus")).withColumn("_j", F.lit(1))
+    middle = median(evals, "confidence_score").withColumnRenamed("median", "median_confidence").withColumn("_j", F.lit(1))
+    return plain.join(middle, "_j").drop("_j")
 
 
 def opportunity_summary(opps: DataFrame) -> DataFrame:
@@ -176,20 +177,20 @@ def active_range(df: DataFrame) -> DataFrame:
                     zero(F.max("liquidity")).alias("max_liquidity"))
 
 
-def count_map(df: DataFrame, key: str, name: str) -> DataFrame:
-    """One row with a map from key to number of rows (the map has one entry per distinct key)."""
-    return df.groupBy(key).agg(rows().alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "n")))).alias(name))
-
-
 def market_stats(markets: DataFrame, opportunities: DataFrame) -> DataFrame:
-    parts = [markets.agg(rows().alias("total_markets"), count_if(F.col("is_active"), "active_markets")),
-             count_map(markets, "platform", "platform_counts"), count_map(markets, "category", "category_counts"),
-             opportunities.agg(rows().alias("total_opportunities"),
-                               F.coalesce(F.avg("profit_margin"), F.lit(0.0)).alias("avg_profit_margin"))]
-    row = parts[0].withColumn("_j", F.lit(1))
-    for part in parts[1:]:
-        row = row.join(part.withColumn("_j", F.lit(1)), "_j")
-    return row.drop("_j")
+    """(measure, key, value): totals, and one row per platform and category, however many there are."""
+    def measures(totals: DataFrame) -> DataFrame:
+        rows = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.lit(None).cast("string").alias("key"),
+                                            F.col(c).cast("double").alias("value")) for c in totals.columns]))
+        return totals.select(rows.alias("r")).select("r.*")
+
+    result = measures(markets.agg(rows().alias("total_markets"), count_if(F.col("is_active"), "active_markets")))
+    result = result.unionByName(measures(opportunities.agg(
+        rows().alias("total_opportunities"), F.coalesce(F.avg("profit_margin"), F.lit(0.0)).alias("avg_profit_margin"))))
+    for key in ("platform", "category"):
+        result = result.unionByName(markets.groupBy(F.col(key).alias("key")).agg(rows().cast("double").alias("value")).select(
+            F.lit(f"{key}_count").alias("measure"), "key", "value"))
+    return result
 
 
 def field_availability(raw: DataFrame, fields: list[str]) -> DataFrame:

@@ -677,34 +677,23 @@ def training_rows(spark: SparkSession, root: str) -> DataFrame:
 FOREST = ModelConfig(kind="random_forest")
 
 
-@query("k14_model_scores", """
-    SELECT kalshi_id, polymarket_id, true AS in_range, true AS confident FROM detail""", views=VIEWS)
+@query("k14_model_scores")
 def _(spark, root):
+    """Score, confidence and prediction of every evaluated pair, by a model fitted on the pairs that are not held out."""
     rows = training_rows(spark, root)
     train_rows, _ = model.split(rows, FOREST)
     scores = model.predict(model.train(train_rows, FOREST), rows)
-    expected = F.least(F.lit(0.9), F.col("worthiness") + 0.1)
-    return scores.select("kalshi_id", "polymarket_id", F.col("worthiness").between(0, 1).alias("in_range"),
-                         (F.abs(F.col("confidence_prediction") - expected) < 1e-9).alias("confident"))
+    return scores.select("kalshi_id", "polymarket_id", "worthiness", "confidence_prediction", "prediction", "label",
+                         model.is_held_out(FOREST).alias("held_out"))
 
 
-@query("k15_model_quality", """
-    SELECT unnest(['cross_validated', 'importances', 'retrained', 'roc_auc']) AS measure, true AS as_expected
-    FROM (SELECT count(*) AS n FROM detail) WHERE n > 0""", views=VIEWS)
+@query("k15_model_quality")
 def _(spark, root):
-    """Held-out AUC, cross-validated accuracy, feature importances and retraining on the evaluated pairs."""
+    """Measures of the model of k14: value, and null where there is no model to measure."""
     rows = training_rows(spark, root)
     train_rows, test_rows = model.split(rows, FOREST)
     fitted = model.train(train_rows, FOREST)
-    kept, replaced = model.retrain(fitted, rows, FOREST)
-    found = [("retrained", not replaced and kept is fitted)]  # the same rows give no better model
-    if fitted is None:
-        found += [(m, True) for m in ("cross_validated", "importances", "roc_auc")]
-    else:
-        found += [("cross_validated", 0 <= model.cross_validated(train_rows, FOREST) <= 1),
-                  ("importances", abs(sum(model.importances(fitted).values()) - 1) < 1e-6),
-                  ("roc_auc", 0 <= model.roc_auc(fitted.transform(test_rows)) <= 1)]
-    return spark.createDataFrame([(name, bool(good)) for name, good in found], "measure string, as_expected boolean")
+    return model.quality(fitted, train_rows, test_rows, FOREST)
 
 
 @query("k29_full_funnel", f"""

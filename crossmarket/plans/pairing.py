@@ -607,12 +607,13 @@ def _(spark, root):
 
 
 @query("d26_embedding_pairs", """
-    SELECT a.label, a.vec_id AS left_id, b.vec_id AS right_id,
-           list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity
-    FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
-    WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2""", r="similarity")
+    SELECT a.label, a.vec_id AS left_id, b.vec_id AS right_id, list_cosine_similarity(a.v, b.v) AS similarity
+    FROM mixed a JOIN mixed b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.7""",
+       r="similarity", views={"mixed": """
+    SELECT v.vec_id, b.label, list_transform(list_zip(b.embedding, v.embedding), lambda z: z[1]::DOUBLE + 0.5::DOUBLE * z[2]::DOUBLE) AS v
+    FROM embeddings v JOIN embeddings b ON b.vec_id = v.vec_id - v.vec_id % 5"""})
 def _(spark, root):
-    return candidates.embedding_pairs(derived.table(spark, root, "embeddings"), threshold=0.2)
+    return candidates.embedding_pairs(derived.mixed_vectors(spark, root))
 
 
 @query("d28_comparison_counts", """

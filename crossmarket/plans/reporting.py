@@ -409,15 +409,14 @@ def _(spark, root):
 
 
 @query("e41_market_stats", """
-    SELECT m.*, o.*, (SELECT string_agg(platform || '=' || n, ',' ORDER BY platform) FROM (SELECT platform, count(*) AS n FROM markets GROUP BY 1)) AS platform_counts,
-           (SELECT string_agg(category || '=' || n, ',' ORDER BY category) FROM (SELECT category, count(*) AS n FROM markets GROUP BY 1)) AS category_counts
-    FROM (SELECT count(*) AS total_markets, count(*) FILTER (is_active) AS active_markets FROM markets) m,
-         (SELECT count(*) AS total_opportunities, coalesce(avg(profit_margin), 0) AS avg_profit_margin FROM marked WHERE status = 'active') o""",
-       r="avg_profit_margin", views=MARKED)
-def _(spark, root):
-    df = reports.market_stats(derived.markets(spark, root), marked(spark, root).where("status = 'active'"))
-    flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
-    return df.withColumn("platform_counts", flat("platform_counts")).withColumn("category_counts", flat("category_counts"))
+    SELECT unnest(['total_markets', 'active_markets']) AS measure, CAST(NULL AS VARCHAR) AS key,
+           unnest([count(*), count(*) FILTER (is_active)])::DOUBLE AS value FROM markets
+    UNION ALL SELECT unnest(['total_opportunities', 'avg_profit_margin']), NULL, unnest([count(*)::DOUBLE, coalesce(avg(profit_margin), 0)])
+    FROM marked WHERE status = 'active'
+    UNION ALL SELECT 'platform_count', platform, count(*)::DOUBLE FROM markets GROUP BY platform
+    UNION ALL SELECT 'category_count', category, count(*)::DOUBLE FROM markets GROUP BY category""", r="value", views=MARKED)
+def _(spark, root):
+    return reports.market_stats(derived.markets(spark, root), marked(spark, root).where("status = 'active'"))
 
 
 FIELDS = ["yes_bid", "yes_ask", "no_bid", "no_ask", "volume", "volume_24h", "liquidity", "open_interest", "last_price", "close_time"]

@@ -121,6 +121,15 @@ def run_logs(spark: SparkSession, root: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 7 == 0, 500).otherwise(200).alias("api_status"))
 
 
+def mixed_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """Embeddings drawn towards the first of every five, in whose label they are: clusters of neighbours."""
+    vectors = table(spark, root, "embeddings")
+    base = vectors.select(F.col("vec_id").alias("base_id"), F.col("embedding").alias("base"), "label")
+    mixed = F.zip_with("base", "embedding", lambda x, y: x.cast("double") + 0.5 * y.cast("double"))
+    return (vectors.drop("label").withColumn("base_id", F.col("vec_id") - F.col("vec_id") % 5).join(base, "base_id")
+            .select("vec_id", "label", mixed.alias("embedding")))
+
+
 def raw_kalshi(spark: SparkSession, root: str) -> DataFrame:
     """Landing records of the first venue: mixed price units, gaps, odd states."""
     m = venue(markets(spark, root), "kalshi")

@@ -146,17 +146,6 @@ def test_contained_titles_equals_brute_force(spark):
     assert {tuple(r) for r in got.select("n", "h").collect()} == {(a, b) for a in texts for b in texts if a in b}
 
 
-def test_top_volume_pairs_reach_the_top(spark):
-    rows = [(i, float((i * 7919) % 101), i % 3) for i in range(60)]
-    a = spark.createDataFrame(rows, "ka bigint, va double, pa int").withColumn("g", F.lit(1))
-    b = a.withColumnsRenamed({"ka": "kb", "va": "vb", "pa": "pb"})
-    pairs = pairing.top_volume_pairs(a, b, ["g"], ("pa", "pb"), ("va", "vb"), ("ka", "kb"), 25)
-    order = lambda v: (-min(v[1], v[3]), -max(v[1], v[3]), v[0], v[2])
-    best = lambda vs: [(v[0], v[2]) for v in sorted(vs, key=order)[:25]]
-    got = best([(r.ka, r.va, r.kb, r.vb) for r in pairs.collect()])
-    assert got == best([(x[0], x[1], y[0], y[1]) for x in rows for y in rows])
-
-
 def test_components_merge_chains_and_are_idempotent(spark):
     edges = [(f"k{i}", f"k{i + 1}", 0.9) for i in range(40)] + [("x", "y", 0.9), ("y", "z", 0.8), ("u", "v", 0.2)]
     df = spark.createDataFrame(edges, "kalshi_id string, polymarket_id string, confidence_score double")
