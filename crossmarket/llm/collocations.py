@@ -287,7 +287,7 @@ def _pass(blocks: DataFrame, sent, offset: int, digits: int, longer: bool, last:
 
 
 def phrase_counts(docs: DataFrame, min_count: int = 100, most_words: int = 5, lang_col: str = "lang", text_col: str = "text",
-                  block_words: int = 1 << 19, part_size: int = 250_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+                  block_words: int = 1 << 20, part_size: int = 250_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: counts of the phrases of 1 to `most_words` words that reach `min_count` (lang, phrase as big-endian word
     numbers, length, a), the words (lang, word, number, n), and all word occurrences of each language (lang, n)."""
     spark = docs.sparkSession
@@ -306,7 +306,7 @@ def phrase_counts(docs: DataFrame, min_count: int = 100, most_words: int = 5, la
     scratch.drop(raw_path)
     number_bytes = F.unhex(F.lpad(F.hex("number"), 8, "0"))
     known = frequent.select("lang", number_bytes.alias("phrase"), F.lit(1).alias("length"), F.col("n").alias("a"))
-    found = scratch.cut(_pass(blocks, None, 0, digits, most_words > 1, True))
+    found = _pass(blocks, None, 0, digits, most_words > 1, True)  # read once
     for length in range(2, most_words + 1):
         candidates = found.where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("reported"))
         candidates = dense_numbers(candidates.where(F.col("reported") >= min_count).select("lang", "phrase"), scratch)
