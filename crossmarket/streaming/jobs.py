@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import threading
+import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +66,11 @@ class Handlers:
 
     def __init__(self) -> None:
         self._by_kind: dict[str, list[Handler]] = {kind: [] for kind in decode.BODIES}
+        self._rejected: list[Handler] = []
+
+    def add_rejected(self, handler: Handler) -> None:
+        """Called with the messages no handler can take: value and route."""
+        self._rejected.append(handler)
 
     def add(self, kind: str, handler: Handler) -> None:
         self._by_kind[kind].append(handler)
@@ -75,6 +82,8 @@ class Handlers:
             for kind, handlers in self._by_kind.items():
                 for handler in handlers:
                     handler(decode.body(decoded, kind), batch_id)
+            for handler in self._rejected:
+                handler(decode.quarantine(decoded), batch_id)
         finally:
             decoded.unpersist()
 
@@ -100,17 +109,22 @@ class OpenOpportunities(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["timestamp", "message_id"])
-        last = None
-        for row in frame.itertuples():
-            if row.action == "detected" or (row.action == "updated" and self.state.exists()):
-                expires = None if pd.isna(row.expires_at) else row.expires_at
-                self.state.update((row.timestamp, row.expected_profit_percentage, expires))
-                if expires is not None:
-                    self.handle.registerTimer(int(expires.timestamp() * 1000))
-            elif row.action in ("expired", "executed") and self.state.exists():
+        action = frame["action"].to_numpy()
+        place = np.arange(len(frame))
+        last_end = int(place[np.isin(action, ("expired", "executed"))].max(initial=-1))
+        visible = np.isin(action, ("detected", "updated"))
+        if last_end >= 0 or not self.state.exists():  # what was open before is closed, or nothing was
+            opened = place[(action == "detected") & (place > last_end)]
+            visible &= place >= (opened[0] if len(opened) else len(frame))
+            if not len(opened) and self.state.exists():
                 self.state.clear()
-            last = row.timestamp
-        yield self._snapshot(key, last)
+        if visible.any():
+            newest = frame.iloc[int(place[visible].max())]
+            expires = None if pd.isna(newest["expires_at"]) else newest["expires_at"]
+            self.state.update((newest["timestamp"], newest["expected_profit_percentage"], expires))
+            if expires is not None:
+                self.handle.registerTimer(int(expires.timestamp() * 1000))
+        yield self._snapshot(key, frame["timestamp"].iloc[-1])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else None
@@ -155,7 +169,7 @@ class StreamHealth(StreamingQueryListener):
     """Rows, failures and the health verdict of the running queries."""
 
     def __init__(self, cfg: StreamConfig = CFG) -> None:
-        self.cfg, self.rows, self.batches, self.failures = cfg, 0, 0, 0
+        self.cfg, self.rows, self.batches, self.failures, self.ended = cfg, 0, 0, 0, 0
         self._lock = threading.Lock()
 
     def onQueryStarted(self, event) -> None:
@@ -172,6 +186,13 @@ class StreamHealth(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         with self._lock:
             self.failures += int(event.exception is not None)
+            self.ended += 1
+
+    def wait(self, queries: int, seconds: float = 60.0) -> None:
+        """Until the ends of so many queries have been reported; reports come a little after the queries end."""
+        until = time.monotonic() + seconds
+        while self.ended < queries and time.monotonic() < until:
+            time.sleep(0.05)
 
     def health(self, bad_messages: int = 0) -> dict[str, object]:
         with self._lock:

@@ -1,5 +1,6 @@
 """Streaming jobs drained from files equal their batch twins; files and sinks round-trip."""
 
+import datetime as dt
 import json
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from crossmarket.operators import enrich
 from crossmarket.sources import derived, landing, sinks
-from crossmarket.streaming import decode, jobs, metrics
+from crossmarket.streaming import decode, jobs, metrics, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -109,3 +110,64 @@ def test_open_opportunities_state_equals_batch(spark, tmp_path):
     last = spark.table("opened").groupBy("opportunity_id").agg(F.max_by("is_open", "timestamp").alias("o")).where("o")
     want = metrics.active_opportunities(rows(spark.read.schema("key string, value string").json(path)))
     assert {r.opportunity_id for r in last.collect()} == {r.opportunity_id for r in want.collect()}
+
+
+@pytest.fixture(scope="module")
+def ordered_batches(spark):
+    """The opportunity messages in five parts of time."""
+    rows = decode.body(decode.decode(derived.stream_messages(spark, "/root/testdata/sf0.01")), "arbitrage_opportunity")
+    bounds = rows.selectExpr("percentile(unix_micros(timestamp), array(0.2, 0.4, 0.6, 0.8)) AS p").first().p
+    part = sum(((F.unix_micros("timestamp") > b).cast("int") for b in bounds), F.lit(0))
+    rows = rows.withColumn("_part", part).cache()
+    return rows, [rows.where(F.col("_part") == i).drop("_part") for i in range(5)]
+
+
+def test_open_table_over_batches_equals_batch_twin(spark, tmp_path, ordered_batches):
+    rows, batches = ordered_batches
+    table = tables.OpenTable(f"file://{tmp_path}/open")
+    for i, batch in enumerate(batches):
+        table(batch, i)
+        if i in (2, 4):
+            table(batch, i)  # a repeated batch changes nothing
+    want = metrics.active_opportunities(rows).select("opportunity_id", "expected_profit_percentage")
+    got = table.table.read(spark).select("opportunity_id", "expected_profit_percentage")
+    assert want.count() > 10 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_open_table_closes_what_expired(spark, tmp_path):
+    schema = ("opportunity_id string, message_id string, action string, expected_profit_percentage double, expected_profit_usd double, "
+              "risk_level string, timestamp timestamp, expires_at timestamp")
+    when = lambda s: dt.datetime(2001, 1, 1, 0, 0, s)
+    table = tables.OpenTable(f"file://{tmp_path}/open")
+    table(spark.createDataFrame([("a", "1", "detected", 0.1, 1.0, "low", when(1), when(9)),
+                                 ("b", "2", "updated", 0.2, 1.0, "low", when(1), None),
+                                 ("c", "3", "detected", 0.3, 1.0, "low", when(2), None)], schema), 0)
+    assert {r.opportunity_id for r in table.table.read(spark).collect()} == {"a", "c"}
+    table(spark.createDataFrame([("c", "4", "updated", 0.4, 1.0, "low", when(10), None)], schema), 1)
+    assert [(r.opportunity_id, r.expected_profit_percentage) for r in table.table.read(spark).collect()] == [("c", 0.4)]
+
+
+def test_change_log_over_batches_equals_batch_twin(spark, tmp_path):
+    history = derived.price_history(spark, SF).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    bounds = history.selectExpr("percentile(unix_micros(timestamp), array(0.3, 0.6)) AS p").first().p
+    part = sum(((F.unix_micros("timestamp") > b).cast("int") for b in bounds), F.lit(0))
+    log = tables.ChangeLog(f"file://{tmp_path}/changes")
+    for i in (0, 1, 1, 2):
+        log(history.where(part == i), i)
+    pick = lambda df: sorted(map(tuple, df.select("event_id", "price", "previous_price").collect()), key=str)
+    assert pick(log.read(spark)) == pick(enrich.price_changes(history))
+
+
+def test_open_opportunities_state_over_batches(spark, tmp_path, ordered_batches):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows, batches = ordered_batches
+    path = str(tmp_path / "in")
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+    drain(jobs.open_opportunities(stream, "3650 days"), tmp_path, "opened_parts", "update")
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    last = spark.table("opened_parts").groupBy("opportunity_id").agg(F.max_by("is_open", "timestamp").alias("o")).where("o")
+    want = metrics.active_opportunities(rows)
+    assert {r.opportunity_id for r in last.collect()} == {r.opportunity_id for r in want.collect()}
