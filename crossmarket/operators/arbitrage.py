@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crossmarket.config import ArbitrageConfig
 from crossmarket.functions import dates, prices, vocab
+from crossmarket.operators.intervals import around, price_cell, up_to
 from crossmarket.operators.pairing import slice_join
 
 
@@ -221,7 +222,8 @@ def _leg_directions(pairs: DataFrame, limit: float, keep: tuple[str, ...]) -> Da
     for buy, sell in (("Yes", "No"), ("No", "Yes")):
         a, b = F.col(f"a_{buy.lower()}"), F.col(f"b_{sell.lower()}")
         margin = F.round(1.0 - (a + b), 6)
-        parts.append(pairs.where(F.round(a + b, 6) < limit).select(
+        way = pairs.where(F.col("_first") == buy.lower()) if "_first" in pairs.columns else pairs
+        parts.append(way.where(F.round(a + b, 6) < limit).select(
             *keep, F.col("a_id").alias("buy_market_id"), F.col("b_id").alias("sell_market_id"),
             F.lit(buy).alias("buy_outcome"), F.lit(sell).alias("sell_outcome"), a.alias("buy_price"),
             b.alias("sell_price"), margin.alias("profit_margin"),
@@ -230,19 +232,33 @@ def _leg_directions(pairs: DataFrame, limit: float, keep: tuple[str, ...]) -> Da
     return parts[0].unionByName(parts[1])
 
 
+def _cheap_pairs(priced: DataFrame, keys: list[str], limit: float) -> DataFrame:
+    """Pairs of one key and different venues, smaller id first, that are below the limit in at least one direction.
+
+    "My price plus yours is below the limit" is a range of the other's price cells, looked up as intervals, so pairs that
+    are too dear never meet, however many rows a key has.
+    """
+    columns = ("id", "platform", "yes", "no")
+    side = lambda t: priced.select(*keys, *[F.col(c).alias(f"{t}_{c}") for c in columns])
+    found = None
+    for mine, other in (("yes", "no"), ("no", "yes")):
+        filed = side("a").withColumn("_at", F.explode(around(price_cell(F.col(f"a_{mine}")))))
+        # One cell more than the price allows, for prices that round up to it.
+        room = F.floor((limit - F.col(f"b_{other}")) * 100).cast("int") + 1
+        asked = side("b").withColumn("_at", F.explode(up_to(room)))
+        wanted = ((F.col("a_id") < F.col("b_id")) & (F.col("a_platform") != F.col("b_platform"))
+                  & (F.round(F.col(f"a_{mine}") + F.col(f"b_{other}"), 6) < limit))
+        part = slice_join(filed, asked, [*keys, "_at"], "a_id", "b_id", wanted).drop("_at").withColumn("_first", F.lit(mine))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def group_legs(members: DataFrame, keys: tuple[str, ...] = ("group_id",), limit: float = 1.0) -> DataFrame:
     """Yes-plus-No below the limit across venues, inside each match group.
 
-    Members need id, platform, outcomes and the group keys. A large group is cut into slices.
+    Members need id, platform, outcomes and the group keys.
     """
-    priced = with_yes_no(members)
-    side = lambda t: priced.select(*keys, *[F.col(c).alias(f"{t}_{c}")
-                                            for c in ("id", "platform", "yes", "no")])
-    cheap = ((F.round(F.col("a_yes") + F.col("b_no"), 6) < limit)
-             | (F.round(F.col("a_no") + F.col("b_yes"), 6) < limit))
-    wanted = (F.col("a_id") < F.col("b_id")) & (F.col("a_platform") != F.col("b_platform")) & cheap
-    pairs = slice_join(side("a"), side("b"), list(keys), "a_id", "b_id", wanted)
-    return _leg_directions(pairs, limit, keys)
+    return _leg_directions(_cheap_pairs(with_yes_no(members), list(keys), limit), limit, keys)
 
 
 def selected_legs(markets: DataFrame, selection: DataFrame, threshold: float = 0.99) -> DataFrame:
@@ -250,10 +266,7 @@ def selected_legs(markets: DataFrame, selection: DataFrame, threshold: float = 0
     chosen = markets.join(selection.select("id").distinct(), "id", "left_semi").where(F.size("outcomes") == 2)
     priced = chosen.withColumn("yes", F.col("outcomes")[0]["price"].cast("double")).withColumn(
         "no", F.col("outcomes")[1]["price"].cast("double")).where("yes IS NOT NULL AND no IS NOT NULL")
-    side = lambda t: priced.select(F.lit(1).alias("_s"), *[F.col(c).alias(f"{t}_{c}")
-                                                          for c in ("id", "platform", "yes", "no")])
-    wanted = (F.col("a_id") < F.col("b_id")) & (F.col("a_platform") != F.col("b_platform"))
-    return _leg_directions(slice_join(side("a"), side("b"), ["_s"], "a_id", "b_id", wanted), threshold, ())
+    return _leg_directions(_cheap_pairs(priced, [], threshold), threshold, ())
 
 
 def edge_legs(similarities: DataFrame, markets: DataFrame, min_margin: float = 0.02) -> DataFrame:

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from crossmarket.functions import vocab
 from crossmarket.operators import scoring
+from crossmarket.operators.intervals import apart, around, price_cell
 
-BITS = 7  # price cells of a hundredth, 0 to 100, in a range of 128
 OWN = ("_category", "_words", "_price", "_volume")
 FINE = 4096  # bins of the volume histogram per decade
 
@@ -55,29 +55,6 @@ def volume_level(volume: Column, cuts: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= volume))
 
 
-def price_cell(price: Column) -> Column:
-    return F.least(F.greatest(F.floor(price * 100), F.lit(0)), F.lit(2 ** BITS - 1)).cast("int")
-
-
-def around(cell: Column) -> Column:
-    """Ids of the binary intervals that hold a cell, one per width."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BITS)), lambda h: h * 256 + F.floor(cell / F.pow(F.lit(2), h)).cast("int"))
-
-
-def apart(cell: Column, distance: int) -> Column:
-    """Ids of disjoint binary intervals that together hold the cells at least `distance` away."""
-    def tiles(many: Column, mirrored: bool) -> Column:
-        # The first `many` cells: one interval per binary digit of the number; mirrored, the last ones.
-        def tile(h: Column) -> Column:
-            up = F.floor(many / F.pow(F.lit(2), h)).cast("int")
-            place = (F.pow(F.lit(2), F.lit(BITS) - h).cast("int") - up) if mirrored else up - 1
-            return F.when((many > 0) & (up % 2 == 1), h * 256 + place)
-        return F.transform(F.sequence(F.lit(0), F.lit(BITS)), tile)
-
-    every = F.concat(tiles(cell - (distance - 1), False), tiles(F.lit(2 ** BITS - distance) - cell, True))
-    return F.filter(every, lambda x: x.isNotNull())
-
-
 def reached_pairs(sides: tuple[DataFrame, DataFrame], words: tuple) -> list[tuple[int, int, int, float]]:
     """(class points, gap points, level, pairs): so many pairs at least have these points and volumes of this level.
 

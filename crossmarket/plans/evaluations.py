@@ -152,12 +152,15 @@ def json_replies(df: DataFrame) -> DataFrame:
         F.concat(F.lit("Here it is:\n"), body, F.lit("\nDone."))))
 
 
-@query("b24_json_replies", """
+JSON_REPLIES = """
     SELECT kalshi_id, polymarket_id, CASE WHEN p % 7 = 0 THEN 0.5 ELSE confidence_score END AS confidence_score,
            CASE WHEN p % 7 = 0 THEN 'no structured answer' ELSE reasoning END AS reasoning,
            CASE WHEN p % 7 = 0 THEN 0.5 ELSE 0.0 END AS arbitrage_viability,
            CASE WHEN p % 7 = 0 THEN 'INVESTIGATE' WHEN k % 10 <> 0 THEN 'PROCEED' ELSE 'REJECT' END AS recommended_action
-    FROM evals""")
+    FROM evals"""
+
+
+@query("b24_json_replies", JSON_REPLIES)
 def _(spark, root):
     df = json_replies(derived.evaluations(spark, root)).select("kalshi_id", "polymarket_id", replies.json_reply(
         F.col("reply")).alias("r"))
@@ -165,6 +168,29 @@ def _(spark, root):
                      "r.recommended_action")
 
 
+@query("m4_table_evaluator", JSON_REPLIES)
+def _(spark, root):
+    """The evaluator seam with its default: replies from a table by pair hash."""
+    keyed = json_replies(detailed(spark, root)).withColumn("pair_hash", evaluate.hash_of_pair())
+    judged = evaluate.evaluate_pairs(keyed.select("kalshi_id", "polymarket_id", "pair_hash"),
+                                     evaluate.table_evaluator(keyed.select("pair_hash", "reply")))
+    return judged.select("kalshi_id", "polymarket_id", "confidence_score", "reasoning", "arbitrage_viability", "recommended_action")
+
+
+@query("b23_pair_prompts", """
+    SELECT kalshi_id, polymarket_id, concat_ws(chr(10), 'kalshi: ' || kalshi_title, 'polymarket: ' || polymarket_title,
+             'gap: ' || printf('%.3f', price_difference), 'prices: ' || printf('%.3f / %.3f', kalshi_price, polymarket_price),
+             'categories: ' || kalshi_category || ' / ' || polymarket_category,
+             'similarity: ' || printf('%.2f', round(CAST(text_similarity AS DECIMAL(18,9)), 2)::DOUBLE),
+             'closes: ' || strftime(kalshi_close_time, '%Y-%m-%d') || ' / ' || strftime(polymarket_close_time, '%Y-%m-%d'),
+             'score: ' || printf('%.3f', round(CAST(worthiness AS DECIMAL(18,9)), 3)::DOUBLE),
+             'Answer as JSON with confidence_score, reasoning, semantic_similarity, arbitrage_viability, risk_assessment, recommended_action')
+           AS prompt FROM scored WHERE round(worthiness, 9) >= 0.6""", views=PAIR_VIEWS)
+def _(spark, root):
+    worthy = scored(spark, root).where(F.round("worthiness", 9) >= 0.6)
+    return worthy.select("kalshi_id", "polymarket_id", evaluate.pair_prompt().alias("prompt"))
+
+
 @query("b25_line_replies", """
     SELECT kalshi_id, polymarket_id, confidence_score, 'line ' || position AS reasoning, confidence_score >= 0.7 AS is_equivalent
     FROM numbered WHERE position <= 8""", views=BATCHES)
@@ -485,7 +511,10 @@ def _(spark, root):
 LEGS = """SELECT {keys} a.id AS buy_market_id, b.id AS sell_market_id, s.buy AS buy_outcome,
       CASE s.buy WHEN 'Yes' THEN 'No' ELSE 'Yes' END AS sell_outcome,
       CASE s.buy WHEN 'Yes' THEN a.yes_price ELSE a.no_price END AS buy_price,
-      CASE s.buy WHEN 'Yes' THEN b.no_price ELSE b.yes_price END AS sell_price"""
+      CASE s.buy WHEN 'Yes' THEN b.no_price ELSE b.yes_price END AS sell_price,
+      printf('Buy ''%s'' on %s for %.2f and ''%s'' on %s for %.2f.', s.buy, a.platform,
+             CASE s.buy WHEN 'Yes' THEN a.yes_price ELSE a.no_price END, CASE s.buy WHEN 'Yes' THEN 'No' ELSE 'Yes' END,
+             b.platform, CASE s.buy WHEN 'Yes' THEN b.no_price ELSE b.yes_price END) AS description"""
 LEG_SUM = "round(CASE s.buy WHEN 'Yes' THEN a.yes_price + b.no_price ELSE a.no_price + b.yes_price END, 6)"
 
 
@@ -502,7 +531,7 @@ def with_outcomes(df: DataFrame) -> DataFrame:
 def _(spark, root):
     m = with_outcomes(derived.markets(spark, root)).withColumnRenamed("id", "market_id")
     df = memberships(spark, root).select("market_id", "group_id").join(m, "market_id").withColumnRenamed("market_id", "id")
-    return arbitrage.group_legs(df).drop("description")
+    return arbitrage.group_legs(df)
 
 
 @query("d14_selected_legs", f"""
@@ -511,7 +540,7 @@ def _(spark, root):
       WHERE a.platform <> b.platform AND a.volume > 12000 AND b.volume > 12000 AND {LEG_SUM} < 0.99)""")
 def _(spark, root):
     m = with_outcomes(derived.markets(spark, root))
-    return arbitrage.selected_legs(m, m.where("volume > 12000").select("id")).drop("description")
+    return arbitrage.selected_legs(m, m.where("volume > 12000").select("id"))
 
 
 @query("d23_edge_legs", """

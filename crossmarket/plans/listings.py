@@ -89,17 +89,43 @@ def _(spark, root):
                                               "open_interest", "can_close_early")
 
 
-@query("a6_raw_table_rows", """
-    SELECT 'kalshi' AS platform, coalesce(nullif(ticker, ''), id) AS external_id, title AS label, true AS own_id,
+def json_sql(fields: dict[str, str]) -> str:
+    """A JSON object as text: the fields in order, missing ones left out."""
+    parts = " || ".join(f"coalesce(',\"{name}\":' || to_json({value})::VARCHAR, '')" for name, value in fields.items())
+    return f"'{{' || substring({parts}, 2) || '}}'"
+
+
+ISO_SQL = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%SZ')"
+SAME = lambda names: {c: f"r.{c}" for c in names.split()}
+MONEY = "printf('%.2f', round(m.volume * 100) / 100)"
+RAW_KALSHI_JSON = json_sql({
+    **SAME("ticker id event_ticker title subtitle category status open_time close_time"),
+    "created_time": f"""CASE WHEN n % 8 = 0 THEN strftime(r.open_ts, '%Y-%m-%d %H:%M:%S') WHEN n % 6 = 0 THEN strftime(r.open_ts, '%m/%d/%Y')
+        WHEN n % 14 = 0 THEN 'garbage' ELSE {ISO_SQL('r.open_ts')} END""",
+    **SAME("yes_bid yes_ask no_bid no_ask last_price volume volume_24h liquidity open_interest can_close_early")})
+RAW_POLYMARKET_JSON = json_sql({
+    **SAME("id conditionId question title description category slug outcomes"),
+    "outcomePrices": """CASE WHEN n % 51 = 0 THEN printf('["%.2f"]', r.cents / 100.0::DOUBLE)
+        ELSE printf('["%.2f","%.2f"]', r.cents / 100.0::DOUBLE, (100 - r.cents) / 100.0::DOUBLE) END""",
+    "clobTokenIds": """CASE WHEN n % 57 <> 0 THEN '["t' || n || 'a","t' || n || 'b"]' END""",
+    **SAME("lastTradePrice bestBid bestAsk"),
+    "volume": f"CASE WHEN n % 77 = 0 THEN 'abc' WHEN n % 7 = 0 THEN '$' || {MONEY} ELSE {MONEY} END",
+    **SAME("volumeNum liquidityNum"), "startDate": ISO_SQL("m.open_time"), "createdAt": ISO_SQL("m.open_time"),
+    "endDate": f"CASE WHEN n % 63 = 0 THEN NULL WHEN n % 69 = 0 THEN 'someday' ELSE {ISO_SQL('m.close_time')} END",
+    **SAME("active closed archived"),
+    "tags": """CASE WHEN n % 17 = 0 THEN NULL WHEN n % 4 = 1 THEN '["alpha","beta"]' ELSE 'plain' END"""})
+
+
+@query("a6_raw_table_rows", f"""
+    SELECT 'kalshi' AS platform, coalesce(nullif(r.ticker, ''), r.id) AS external_id, {RAW_KALSHI_JSON} AS raw_data, true AS own_id,
            'pending' AS processing_status
-    FROM raw_kalshi WHERE coalesce(nullif(ticker, ''), id) IS NOT NULL
-    UNION ALL SELECT 'polymarket', id, question, true, 'pending' FROM raw_polymarket WHERE id IS NOT NULL""")
+    FROM raw_kalshi r JOIN markets m USING (n) WHERE coalesce(nullif(r.ticker, ''), r.id) IS NOT NULL
+    UNION ALL SELECT 'polymarket', r.id, {RAW_POLYMARKET_JSON}, true, 'pending'
+    FROM raw_polymarket r JOIN markets m USING (n) WHERE r.id IS NOT NULL""")
 def _(spark, root):
+    """Whole envelopes; of the random id only its form can be checked."""
     both = kalshi_envelopes(spark, root).unionByName(polymarket_envelopes(spark, root)).withColumn("id", F.expr("uuid()"))
-    label = F.when(F.col("platform") == "kalshi", F.get_json_object("raw_data", "$.title")).otherwise(
-        F.get_json_object("raw_data", "$.question"))
-    return both.select("platform", "external_id", label.alias("label"), (F.length("id") == 36).alias("own_id"),
-                       "processing_status")
+    return both.select("platform", "external_id", "raw_data", (F.length("id") == 36).alias("own_id"), "processing_status")
 
 
 @query("a7_normalized_rows", """

@@ -605,6 +605,20 @@ def _(spark, root):
     return tables.seed_platforms(known, platforms(spark).select("name", F.lit(0).alias("listings")))
 
 
+@query("j12_platform_patch", """
+    SELECT platform AS name, count(*) AS listings, CASE platform WHEN 'kalshi' THEN 'syncing' ELSE 'idle' END AS sync_status,
+           max(CASE WHEN platform = 'kalshi' THEN close_time ELSE open_time END) AS last_sync
+    FROM markets GROUP BY platform""")
+def _(spark, root):
+    """What a sync reports replaces the columns it gives; what it leaves out stays."""
+    m = derived.markets(spark, root)
+    known = m.groupBy(F.col("platform").alias("name")).agg(F.count(F.lit(1)).alias("listings"), F.max("open_time").alias("last_sync"))
+    known = known.withColumn("sync_status", F.lit("idle"))
+    report = m.where("platform = 'kalshi'").groupBy(F.col("platform").alias("name")).agg(F.max("close_time").alias("last_sync"))
+    changes = report.withColumn("sync_status", F.lit("syncing")).withColumn("listings", F.lit(None).cast("bigint"))
+    return tables.patch(known, "name", changes)
+
+
 @query("j13_run_state", """
     SELECT platform, stage, arg_max(status, (started_at, run_id)) AS status, max(started_at) AS started_at FROM run_logs GROUP BY 1, 2""")
 def _(spark, root):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from crossmarket.config import ModelConfig
 from crossmarket.functions import vocab
-from crossmarket.operators import angle_index, candidates, enrich, groups, model, ranks, score_floor
+from crossmarket.operators import angle_index, arbitrage, candidates, enrich, groups, intervals, model, ranks, score_floor
 from crossmarket.operators.scoring import FEATURES
 
 LISTING = ("id string, platform string, title string, category string, yes_price double, volume double, liquidity double, "
@@ -144,3 +144,32 @@ def test_model_scores_and_measures(spark):
     assert measured["cross_validated_accuracy"] > 0.7 and measured["replaced_by_retraining"] == 0.0
     nothing = {r.measure: r.value for r in model.quality(None, train_rows.limit(5), test_rows.limit(5), cfg).collect()}
     assert nothing["fitted"] == 0.0 and nothing["held_out_roc_auc"] is None and nothing["importance_volume_ratio"] is None
+
+
+def test_legs_of_a_hot_group_form_few_pairs(spark):
+    chance = random.Random(6)
+    rows = [(f"m{i}", ("kalshi", "polymarket", "other")[i % 3], chance.randint(50, 99) / 100, chance.randint(48, 99) / 100)
+            for i in range(900)]
+    df = spark.createDataFrame([(i, p, [("Yes", y), ("No", n)], "g") for i, p, y, n in rows],
+                               "id string, platform string, outcomes array<struct<name:string,price:double>>, group_id string")
+    want = set()
+    for a, pa, ya, na in rows:
+        for b, pb, yb, nb in rows:
+            if a < b and pa != pb:
+                want |= {(a, b, "Yes")} if round(ya + nb, 6) < 1 else set()
+                want |= {(a, b, "No")} if round(na + yb, 6) < 1 else set()
+    got = {(r.buy_market_id, r.sell_market_id, r.buy_outcome) for r in arbitrage.group_legs(df).collect()}
+    assert got == want and 100 < len(want) < 5000
+    priced = arbitrage.with_yes_no(df)
+    assert arbitrage._cheap_pairs(priced, ["group_id"], 1.0).count() == len(want)
+    cells = spark.range(-2, 130).select(F.col("id").cast("int").alias("top"))
+    for r in cells.select("top", intervals.up_to(F.col("top")).alias("x")).collect():
+        near = [set(x) for x in around_all(spark)]
+        assert [len(s & set(r.x)) for s in near] == [int(c <= r.top) for c in range(128)]
+
+
+def around_all(spark, _kept=[]):
+    if not _kept:
+        cells = spark.range(128).select(F.col("id").cast("int").alias("cell"))
+        _kept.extend(r.x for r in cells.select("cell", intervals.around(F.col("cell")).alias("x")).orderBy("cell").collect())
+    return _kept
