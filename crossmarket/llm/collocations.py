@@ -1,8 +1,8 @@
 """Phrase collocations counted with double-array tries over word numbers.
 
 1. Tasks split texts into pieces and words once, number the words of a block, and count them. Counts are summed per
-   language and word; words that reach `min_count` get numbers without gaps and are sent back to the blocks that
-   hold them. From there on a block is an array of numbers, -1 where no phrase can go on.
+   language and word; words that reach `min_count` get numbers without gaps, and blocks take these over from broadcasts
+   of at most `words_size` words each. From there on a block is an array of numbers, -1 where no phrase can go on.
 2. A phrase can only reach `min_count` if its part without the last word and its part without the first word do. Blocks report
    the word sequences of which that is known, and how often; what reaches `min_count` over all blocks
    is a candidate.
@@ -12,18 +12,17 @@
    sequences one word longer.
 4. Counts of phrases and of their parts meet in joins; keys that many rows share are looked up by broadcast.
 
-What a task holds is a block and a trie; what the driver holds is one trie. More candidates mean more passes.
+What a task holds is a block and one broadcast, and so does the driver. More words or candidates mean more passes.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import count
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,11 +125,8 @@ class _Numbers(dict):
 
 
 def _blocks(rows: DataFrame, block_words: int) -> DataFrame:
-    """Two kinds of rows: blocks of word numbers of one language (-1 between pieces), and their words with counts."""
-    columns = ["block", "lang", "ids", "local", "word", "n"]
-
+    """Blocks of one language: word numbers of the block (-1 between pieces), its words, and their counts."""
     def number(batches) -> Iterator[pa.RecordBatch]:
-        first, blocks = TaskContext.get().partitionId() << 32, count()
         held: dict[str, tuple[_Numbers, list]] = {}
         words = 0
 
@@ -138,18 +134,12 @@ def _blocks(rows: DataFrame, block_words: int) -> DataFrame:
             for lang, (numbers, texts) in held.items():
                 ids = np.concatenate(texts)
                 ids = ids[ids != 1] - 2  # what was 0, the end of a piece, is -2
-                names, block = list(numbers)[2:], first + next(blocks)
-                counts = np.bincount(ids[ids >= 0], minlength=len(names))
+                names = list(numbers)[2:]
+                counts = np.bincount(ids[ids >= 0], minlength=len(names)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array([lang]), pa.array([np.maximum(ids, -1).tobytes()], pa.binary()),
-                     pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())], columns)
-                for low in range(0, len(names), ROWS):
-                    part = names[low:low + ROWS]
-                    w = len(part)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(w, block)), pa.array([lang] * w, pa.string()), pa.nulls(w, pa.binary()),
-                         pa.array(np.arange(low, low + w, dtype=np.int32)), pa.array(part, pa.string()),
-                         pa.array(counts[low:low + w], pa.int64())], columns)
+                    [pa.array([lang]), pa.array([np.maximum(ids, -1).tobytes()], pa.binary()),
+                     pa.array(["\n".join(names).encode()], pa.binary()), pa.array([counts.tobytes()], pa.binary()),
+                     pa.nulls(1, pa.binary())], ["lang", "ids", "words", "counts", "numbers"])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -168,48 +158,50 @@ def _blocks(rows: DataFrame, block_words: int) -> DataFrame:
                     held, words = {}, 0
         yield from flush()
 
-    return rows.mapInArrow(number, "block bigint, lang string, ids binary, local int, word string, n bigint")
+    return rows.mapInArrow(number, "lang string, ids binary, words binary, counts binary, numbers binary")
 
 
-def _renumbered(blocks: DataFrame, frequent: DataFrame, parts: int) -> DataFrame:
-    """Blocks with the numbers of frequent words. Words that stand alone between others are left out."""
-    mapping = (blocks.where("word IS NOT NULL").select("block", "lang", "local", "word")
-               .join(frequent.select("lang", "word", "number"), ["lang", "word"])
-               .select("block", "lang", "local", "number", F.lit(None).cast("binary").alias("ids")))
-    whole = blocks.where("ids IS NOT NULL").select("block", "lang", F.lit(None).cast("int").alias("local"),
-                                                   F.lit(None).cast("bigint").alias("number"), "ids")
+def _word_rows(blocks: DataFrame) -> DataFrame:
+    """The words of every block with their counts there."""
+    def listed(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, lang in enumerate(batch.column("lang").to_pylist()):
+                counts = np.frombuffer(batch.column("counts")[i].as_py(), np.int32).astype(np.int64)
+                names = batch.column("words")[i].as_py().decode().split("\n")[:len(counts)]
+                for low in range(0, len(names), ROWS):
+                    part = names[low:low + ROWS]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(part), pa.string()), pa.array(part, pa.string()),
+                         pa.array(counts[low:low + ROWS])], ["lang", "word", "n"])
+
+    return blocks.select("lang", "words", "counts").mapInArrow(listed, "lang string, word string, n bigint")
+
 
+def _renumbered(blocks: DataFrame, sent, last: bool) -> DataFrame:
+    """Blocks whose words take over the numbers of one broadcast; the last one gives them as arrays of these numbers.
+
+    Words that stand alone between others without a number are left out of the arrays.
+    """
     def renumber(batches) -> Iterator[pa.RecordBatch]:
-        local, number, block = [], [], None  # a block comes after its words
         for batch in batches:
-            names = batch.column("block").to_numpy()
-            ends = np.flatnonzero(batch.column("ids").is_valid().to_numpy(zero_copy_only=False))
-            start = 0
-            for end in [*ends, batch.num_rows]:
-                if end > start:
-                    if block != names[start]:
-                        local, number, block = [], [], names[start]
-                    part = batch.slice(start, end - start)
-                    local.append(part.column("local").to_numpy())
-                    number.append(part.column("number").to_numpy())
-                if end < batch.num_rows:
-                    if block != names[end]:
-                        local, number, block = [], [], names[end]
-                    ids = np.frombuffer(batch.column("ids")[int(end)].as_py(), np.int32)
-                    table = np.full(int(ids.max(initial=-1)) + 2, -1, np.int32)  # its last entry is for the ends of pieces
-                    if local:
-                        table[np.concatenate(local)] = np.concatenate(number)
-                    table[-1] = -1
-                    ids = table[ids]
+            for i, lang in enumerate(batch.column("lang").to_pylist()):
+                known, words = sent.value.get(lang, {}), batch.column("words")[i].as_py()
+                names = words.decode().split("\n") if words else []
+                found = np.fromiter(map(known.get, names, repeat(-1)), np.int32, len(names))
+                if (before := batch.column("numbers")[i].as_py()) is not None:
+                    found = np.where(found < 0, np.frombuffer(before, np.int32), found)
+                one = {"lang": batch.column("lang").slice(i, 1), "ids": batch.column("ids").slice(i, 1),
+                       "words": batch.column("words").slice(i, 1), "numbers": pa.array([found.tobytes()], pa.binary())}
+                if last:
+                    table = np.append(found, np.int32(-1))  # its last entry is for the ends of pieces
+                    ids = table[np.frombuffer(one["ids"][0].as_py(), np.int32)]
                     apart = np.concatenate([[-1], ids, [-1]]) < 0
                     kept = ~(apart[1:-1] & apart[2:]) & ~(apart[:-2] & apart[2:])
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("lang").slice(int(end), 1), pa.array([ids[kept].tobytes()], pa.binary()),
-                         pa.nulls(1, pa.binary())], ["lang", "ids", "state"])
-                start = end + 1
+                    one = {"lang": one["lang"], "ids": pa.array([ids[kept].tobytes()], pa.binary()), "state": pa.nulls(1, pa.binary())}
+                yield pa.RecordBatch.from_arrays(list(one.values()), list(one))
 
-    return (mapping.unionByName(whole).repartition(parts, "block")
-            .sortWithinPartitions("block", F.col("local").asc_nulls_last()).mapInArrow(renumber, "lang string, ids binary, state binary"))
+    rows = blocks.select("lang", "ids", "words", "numbers")
+    return rows.mapInArrow(renumber, "lang string, ids binary, " + ("state binary" if last else "words binary, numbers binary"))
 
 
 def _pass(blocks: DataFrame, sent, offset: int, digits: int, longer: bool, last: bool, most: int = 1_000_000) -> DataFrame:
@@ -287,7 +279,8 @@ def _pass(blocks: DataFrame, sent, offset: int, digits: int, longer: bool, last:
 
 
 def phrase_counts(docs: DataFrame, min_count: int = 100, most_words: int = 5, lang_col: str = "lang", text_col: str = "text",
-                  block_words: int = 1 << 20, part_size: int = 250_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+                  block_words: int = 1 << 20, part_size: int = 250_000,
+                  words_size: int = 500_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: counts of the phrases of 1 to `most_words` words that reach `min_count` (lang, phrase as big-endian word
     numbers, length, a), the words (lang, word, number, n), and all word occurrences of each language (lang, n)."""
     spark = docs.sparkSession
@@ -295,15 +288,21 @@ def phrase_counts(docs: DataFrame, min_count: int = 100, most_words: int = 5, la
     scratch = Scratch(spark, "phrases")
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                        F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
-    raw, raw_path = scratch.write(_blocks(rows, block_words))
-    counted = scratch.cut(raw.where("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    blocks, path = scratch.write(_blocks(rows, block_words))
+    counted = scratch.cut(_word_rows(blocks).groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = scratch.cut(dense_numbers(counted.where(F.col("n") >= min_count), scratch))
     many = frequent.count()
     digits = max(1, -(-max(many - 1, 1).bit_length() // BITS))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks, blocks_path = scratch.write(_renumbered(raw, frequent, parts))
-    scratch.drop(raw_path)
+    for offset in range(0, max(many, 1), words_size):
+        part = frequent.where(F.col("number").between(offset, offset + words_size - 1)).select("lang", "word", "number").toArrow()
+        numbers: dict[str, dict[str, int]] = {}
+        for lang, word, number in zip(*(part.column(c).to_pylist() for c in ("lang", "word", "number"))):  # at most words_size
+            numbers.setdefault(lang, {})[word] = number
+        last, done = offset + words_size >= many, path
+        blocks, path = scratch.write(_renumbered(blocks, spark.sparkContext.broadcast(numbers), last))
+        scratch.drop(done)
+    blocks_path = path
     number_bytes = F.unhex(F.lpad(F.hex("number"), 8, "0"))
     known = frequent.select("lang", number_bytes.alias("phrase"), F.lit(1).alias("length"), F.col("n").alias("a"))
     found = _pass(blocks, None, 0, digits, most_words > 1, True)  # read once

@@ -73,7 +73,7 @@ def table(spark, rows):
     return spark.createDataFrame([(*r, 1, 1, "x", "x", "x", "x") for r in rows], SCHEMA)
 
 
-@pytest.mark.parametrize("least,sizes", [(10, {}), (6, {"part_size": 60, "block_words": 50})])
+@pytest.mark.parametrize("least,sizes", [(10, {}), (6, {"part_size": 60, "block_words": 50, "words_size": 9})])
 def test_against_brute_force(table, rows, least, sizes):
     got = result(collocations(table, least, **sizes))
     assert got == brute(rows, least) and len(got) > 30
