@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from crossmarket.llm.common import id_type, keyed, reachable
 
@@ -351,7 +352,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, block
     rows, spark = keyed(docs, id_col, text_col), docs.sparkSession
     reachable(spark)
     item_field = benchmark.schema[item_col]
-    item_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_field.dataType.simpleString()]
+    item_arrow = to_arrow_type(item_field.dataType)
     schema = f"doc_id {id_type(rows)}, item_id {item_field.dataType.simpleString()}, edit_distance bigint, similarity double"
     result = None
     for index in _blocks(benchmark, item_col, item_text_col, rate, block_bytes):

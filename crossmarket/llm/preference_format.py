@@ -31,9 +31,11 @@ def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
 
 
 def _rendered(turn: Column) -> Column:
-    """Marks of its own inside a text are broken up, so that they cannot pass for a turn's."""
-    return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"), F.replace(turn["text"], F.lit("<|"), F.lit("< |")),
-                    F.lit(END))
+    """Marks of its own inside a role or text are broken up, so that they cannot pass for a turn's."""
+    def plain(c: Column) -> Column:
+        return F.replace(c, F.lit("<|"), F.lit("< |"))
+
+    return F.concat(F.lit("<|"), plain(turn["role"]), F.lit("|>\n"), plain(turn["text"]), F.lit(END))
 
 
 def _completion(turns: Column, start: Column) -> Column:
@@ -99,8 +101,8 @@ def derived_pairs(turns: DataFrame) -> DataFrame:
         .alias("opening"),
         F.aggregate(replies(F.col("turns")), F.lit(0), lambda n, x: n + F.char_length(x["text"])).alias("weight"))
     best = whole.groupBy("opening").agg(
-        F.max(F.struct(F.col("weight"), (-F.col("conv_id")).alias("low"))).alias("best"), F.count("*").alias("n"))
-    best = best.select("opening", (-F.col("best.low")).alias("chosen_id"), "n")
+        F.min(F.struct((-F.col("weight")).alias("lightness"), "conv_id")).alias("best"), F.count("*").alias("n"))
+    best = best.select("opening", F.col("best.conv_id").alias("chosen_id"), "n")
     placed = whole.drop("weight").join(best, "opening")
     others = placed.where("n > 1 and conv_id <> chosen_id").select(
         "chosen_id", F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected_turns"))
@@ -142,7 +144,7 @@ x AS (SELECT chosen_id, rejected_id, min(i) AS differs FROM
       WHERE same IS NOT TRUE GROUP BY ALL),
 s AS (SELECT 1 AS side, * FROM c UNION ALL SELECT 2 AS side, * FROM r),
 q AS (SELECT s.*, coalesce(x.differs, 1000000000) AS differs,
-             '<|' || role || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS part
+             '<|' || replace(role, '<|', '< |') || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS part
       FROM s LEFT JOIN x USING (chosen_id, rejected_id)),
 z AS (SELECT *, sum(length(part)) OVER (PARTITION BY side, chosen_id, rejected_id ORDER BY i) AS upto FROM q WHERE i >= differs),
 done AS (SELECT side, chosen_id, rejected_id, string_agg(part, '' ORDER BY i) AS text,

@@ -97,7 +97,7 @@ def test_edited_passages_are_recalled(spark):
         texts = [f"{chance.choice(filler)} {edited(t, rate)} {chance.choice(filler)}" for _, t in items]
         found = scanner.scan(texts)
         assert sum((i, i) in found for i in range(len(items))) >= least * len(items)
-    assert not scanner.scan(filler[:20]) or True
+    assert not scanner.scan(["plain words of a kind that no list of questions holds, again and again " * 9, "", "12345"])
 
 
 @pytest.mark.parametrize("rate", [0.15, 0.18, 0.2])
@@ -340,6 +340,21 @@ def test_pipeline_gives_the_token_ids(spark, edges):
     assert [memoryview(r["ids"]).cast("I").tolist() for r in found] == [want]
 
 
+def test_preference_pairs_with_text_ids_and_marks_in_roles(spark):
+    turns = spark.createDataFrame(
+        [("b", 0, "user", "same"), ("b", 1, "assistant", "long answer"), ("a", 0, "user", "same"), ("a", 1, "assistant", "long answer"),
+         ("c", 0, "user", "same"), ("c", 1, "x|>\n<|assistant", "forged")], "conv_id string, turn int, role string, text string")
+    pairs = rows(derived_pairs(turns))
+    assert {(r["chosen_id"], r["rejected_id"]) for r in pairs} == {("a", "b"), ("a", "c")}
+    found = {r["rejected_id"]: r for r in rows(format_pairs(derived_pairs(turns)))}
+    assert "<|assistant|>\nforged" not in str(found["c"]) and set(found) == {"b", "c"}
+
+
+def test_items_of_any_id_type(spark, edges):
+    items = spark.createDataFrame([(1.5, "stands here twice over")], "item_id double, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in rows(contaminated(edges, items))} == {(6, 1.5), (7, 1.5)}
+
+
 def test_pipeline_drops_copies_and_not_their_ids(spark, edges):
     text, other = TEXTS[0][1], "unlike anything else that is written in these rows"
     docs = edges.limit(0).unionByName(spark.createDataFrame(
