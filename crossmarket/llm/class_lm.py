@@ -2,11 +2,12 @@
 
 1. Tasks cut their documents into blocks and number the words of a block, so a text is split once and
    travels as numbers; a block's words are few beside its tokens.
-2. Word counts are summed over all blocks and sent back to the blocks that hold the word.
-3. Words with at least `min_share` of the training tokens - by that rule at most 1 / min_share words,
-   whatever the corpus - are clustered. Other words keep a class given by their last letters.
+2. Word counts are summed over all blocks and joined back to the blocks that hold the word.
+3. Words seen at least `min_count` times in training are clustered, so the clustering grows with the corpus. Their
+   classes are a Spark table, joined to the words of the blocks for each pass. Rarer words keep a class given by
+   their last letters.
 4. An exchange round counts, for every clustered word, the classes before and after it over all
-   training documents; words are spread over tasks, and each moves to the class that raises the
+   training documents, as sparse rows; words are spread over tasks, and each moves to the class that raises the
    likelihood of the class bigrams most. The clustering with the highest likelihood is kept.
 5. A text's score is the sum of log10 p(class | class before) p(word | class), end of text included.
 """
@@ -20,7 +21,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossmarket.llm.common import Scratch, held_out, id_type, keyed
@@ -79,81 +80,110 @@ def _numbered(rows: DataFrame, block_chars: int) -> DataFrame:
                                    "number int, word binary, n bigint")
 
 
-def _coded(numbered: DataFrame, counted: DataFrame, ranks, rare: int) -> DataFrame:
-    """Documents with their word codes (a clustered word's rank, or -1 - the class of another word), the sum
-    of log10(count + 0.1) over their tokens, and how many tokens were seen in training."""
-    id_kind = id_type(numbered)
-
+def _class_of(words: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a block's words in the order of their numbers, and the class of each number."""
+    order = np.argsort(words.column("number").to_numpy())
+    return order, words.column("class").to_numpy()[order].astype(np.int64)
+
+
+def _contexts(documents: DataFrame, labelled: DataFrame, classes: int) -> DataFrame:
+    """Rows (id, slot, n), summed: how often the word stands after class `slot`, before class `slot - classes`, and
+    (slot 2 * classes) after itself. Id -1 - a is row a of the class bigram matrix: n tokens of class `slot` follow a."""
+    end, wide = classes - 1, 2 * classes + 1
+
+    def tally(documents: pa.Table, words: pa.Table) -> pa.Table:
+        order, class_of = _class_of(words)
+        ids = words.column("id").to_numpy()[order]  # -1: not clustered
+        stop, matrix, parts = len(ids) - 1, np.zeros(classes * classes, np.int64), []
+        for flat in _slices(documents.column("ids"), stop):
+            now = class_of[flat]
+            before = np.append(end, now[:-1])
+            matrix += np.bincount(before * classes + now, minlength=classes * classes)
+            mine = ids[flat] >= 0
+            row = flat.astype(np.int64) * wide
+            same = mine[1:] & (flat[1:] == flat[:-1])
+            keys = np.concatenate([(row + before)[mine], row[:-1][mine[:-1]] + classes + now[1:][mine[:-1]],
+                                   row[1:][same] + 2 * classes])
+            parts.append(np.unique(keys, return_counts=True))
+        keys, n = (np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2, *parts))
+        keys, at = np.unique(keys, return_inverse=True)
+        n = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+        cells = np.flatnonzero(matrix)
+        return pa.table({"id": np.append(ids[keys // wide], -1 - cells // classes),
+                         "slot": np.append(keys % wide, cells % classes).astype(np.int32),
+                         "n": np.append(n, matrix[cells])})
+
+    return (documents.where("not held_out").groupBy("block").cogroup(labelled.groupBy("block"))
+            .applyInArrow(tally, "id bigint, slot int, n bigint").groupBy("id", "slot").agg(F.sum("n").alias("n")))
+
+
+def _slices(texts: pa.ChunkedArray, stop: int, tokens: int = 1_000_000):
+    """Word numbers of whole texts in a row, each text closed by `stop`, about so many tokens at a time."""
+    part, size = [], 0
+    for text in texts.to_pylist():
+        part += [np.frombuffer(text, np.int32), np.array([stop], np.int32)]
+        size += len(text) // 4 + 1
+        if size >= tokens:
+            yield np.concatenate(part)
+            part, size = [], 0
+    if part:
+        yield np.concatenate(part)
+
+
+def _coded(documents: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Documents as the classes of their words, a byte each, with the sum of log10(count + 0.1) over their tokens and
+    how many tokens were seen in training."""
     def code(documents: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words.column("number").to_numpy())
-        seen = words.column("c").to_numpy()[order]
-        rank, kinds = ranks.value, words.column("rare").to_numpy()[order]
-        codes = -1 - kinds.astype(np.int32)
-        number, names = words.column("number").to_numpy(), words.column("frequent").combine_chunks()
-        for row in np.flatnonzero(names.is_valid().to_numpy(zero_copy_only=False)):
-            codes[number[row]] = rank[names[row].as_py()]
+        order, class_of = _class_of(words)
+        seen, short = words.column("c").to_numpy()[order], class_of.astype(np.uint8)
         value, known, end = np.log10(seen + 0.1), seen > 0, len(seen) - 1
-        out = {"n_tokens": [], "n_known": [], "log_sum": [], "codes": []}
+        out = {"n_tokens": [], "n_known": [], "log_sum": [], "classes": []}
         for ids in documents.column("ids").to_pylist():
             ids = np.frombuffer(ids, np.int32)
             out["n_tokens"].append(len(ids) + 1)
             out["n_known"].append(int(known[ids].sum()) + int(known[end]))
             out["log_sum"].append(float(value[ids].sum() + value[end]))
-            out["codes"].append(codes[ids].tobytes())
+            out["classes"].append(short[ids].tobytes())
         return pa.table({"doc_id": documents.column("doc_id"), "held_out": documents.column("held_out"),
                          "n_tokens": pa.array(out["n_tokens"], pa.int64()),
                          "n_known": pa.array(out["n_known"], pa.int64()),
                          "log_sum": pa.array(out["log_sum"], pa.float64()),
-                         "codes": pa.array(out["codes"], pa.binary())})
-
-    documents = numbered.where("number is null").select("block", "doc_id", "held_out", "ids")
-    return (documents.groupBy("block").cogroup(counted.groupBy("block"))
-            .applyInArrow(code, f"doc_id {id_kind}, held_out boolean, n_tokens bigint, n_known bigint, "
-                                "log_sum double, codes binary"))
+                         "classes": pa.array(out["classes"], pa.binary())})
 
+    return (documents.groupBy("block").cogroup(labelled.groupBy("block"))
+            .applyInArrow(code, f"doc_id {id_type(documents)}, held_out boolean, n_tokens bigint, n_known bigint, "
+                                "log_sum double, classes binary"))
 
-def _streams(batch: pa.RecordBatch, class_of: np.ndarray, end: int):
-    """Codes of all texts in a row, the class of each token and of the one before; an end closes each text."""
-    codes = [np.frombuffer(x, np.int32) for x in batch.column("codes").to_pylist()]
-    lengths = np.array([len(x) + 1 for x in codes])
-    stop = np.array([len(class_of)], np.int32)  # beyond the last word: the end
-    flat = np.concatenate([part for x in codes for part in (x, stop)])
-    now = np.append(class_of, end)[np.where(flat < 0, flat + len(class_of), flat)]
-    before = np.empty_like(now)
-    before[0], before[1:] = end, now[:-1]
-    return flat, now, before, lengths
 
+def _steps(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class of each token of all texts in a row, of the token before, and the lengths; an end closes each text."""
+    texts = [np.frombuffer(x, np.uint8) for x in batch.column("classes").to_pylist()]
+    stop = np.array([end], np.uint8)
+    now = np.concatenate([part for x in texts for part in (x, stop)]).astype(np.int64)
+    return now, np.append(end, now[:-1]), np.array([len(x) + 1 for x in texts])
 
-def _context_counts(coded: DataFrame, class_of: np.ndarray, words: int, classes: int, vectors: bool) -> DataFrame:
-    """Rows (word, l0.., r0.., self): neighbours' classes of each clustered word; word -1 - a: row a of the
-    class bigram matrix, in the r columns. Summed inside the task, then by Spark."""
-    end = classes - 1
 
+def _bigrams(coded: DataFrame, classes: int) -> DataFrame:
+    """The class bigram matrix of coded texts as rows like those of `_contexts`."""
     def tally(batches):
-        matrix = np.zeros((classes, classes), np.int64)
-        left, right, own = np.zeros(words * classes, np.int64), np.zeros(words * classes, np.int64), np.zeros(words, np.int64)
+        matrix = np.zeros(classes * classes, np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat, now, before, _ = _streams(batch, class_of, end)
-            matrix += np.bincount(before * classes + now, minlength=classes * classes).reshape(classes, classes)
-            if vectors and words:
-                mine = (flat >= 0) & (flat < words)
-                left += np.bincount(flat[mine] * classes + before[mine], minlength=words * classes)
-                first = mine[:-1]
-                right += np.bincount(flat[:-1][first] * classes + now[1:][first], minlength=words * classes)
-                same = flat[1:][(flat[1:] == flat[:-1]) & mine[1:]]
-                own += np.bincount(same, minlength=words)
-        left, right = left.reshape(words, classes), right.reshape(words, classes)
-        some = np.flatnonzero(left.any(1) | right.any(1))
-        rows = np.concatenate([np.column_stack([some, left[some], right[some], own[some]]),
-                               np.column_stack([-1 - np.arange(classes), np.zeros((classes, classes), np.int64),
-                                                matrix, np.zeros(classes, np.int64)])])
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names)
-
-    names = ["word", *(f"l{i}" for i in range(classes)), *(f"r{i}" for i in range(classes)), "own"]
-    rows = coded.select("codes").mapInArrow(tally, ", ".join(f"{n} bigint" for n in names))
-    return rows.groupBy("word").agg(*(F.sum(n).alias(n) for n in names[1:]))
+            if batch.num_rows:
+                now, before, _ = _steps(batch, classes - 1)
+                matrix += np.bincount(before * classes + now, minlength=classes * classes)
+        cells = np.flatnonzero(matrix)
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - cells // classes), pa.array((cells % classes).astype(np.int32)),
+                                          pa.array(matrix[cells])], ["id", "slot", "n"])
+
+    return (coded.where("not held_out").select("classes").mapInArrow(tally, "id bigint, slot int, n bigint")
+            .groupBy("id", "slot").agg(F.sum("n").alias("n")))
+
+
+def _matrix(counts: DataFrame, classes: int) -> np.ndarray:
+    matrix = np.zeros((classes, classes), np.int64)
+    for a, b, n in counts.where("id < 0").collect():  # a row per cell of the matrix
+        matrix[-1 - a, b] = n
+    return matrix
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -180,9 +210,9 @@ def move(matrix: np.ndarray, now: int, left: np.ndarray, right: np.ndarray, own:
     l, r = left.copy(), right.copy()
     l[now] -= own
     r[now] -= own
-    rows, columns = matrix[:clustered], matrix[:, :clustered].T
-    at = np.arange(clustered)
-    gain = ((_xlogx(rows + r) - _xlogx(rows)).sum(1) + (_xlogx(columns + l) - _xlogx(columns)).sum(1))
+    some_r, some_l, at = np.flatnonzero(r), np.flatnonzero(l), np.arange(clustered)  # other cells don't change
+    rows, columns = matrix[:clustered, some_r], matrix[some_l, :clustered].T
+    gain = ((_xlogx(rows + r[some_r]) - _xlogx(rows)).sum(1) + (_xlogx(columns + l[some_l]) - _xlogx(columns)).sum(1))
     corner = matrix[at, at]
     gain += (_xlogx(corner + r[at] + l[at] + own) + _xlogx(corner) - _xlogx(corner + r[at]) - _xlogx(corner + l[at]))
     for total, extra in ((matrix.sum(1)[:clustered], r.sum() + own), (matrix.sum(0)[:clustered], l.sum() + own)):
@@ -194,26 +224,104 @@ def move(matrix: np.ndarray, now: int, left: np.ndarray, right: np.ndarray, own:
     return best
 
 
-def _exchange(vectors: DataFrame, matrix: np.ndarray, class_of: np.ndarray, clustered: int) -> np.ndarray:
-    """New classes of the clustered words: spread over tasks, each task moving its words one after another."""
+def _exchange(counts: DataFrame, labels: DataFrame, matrix: np.ndarray, clustered: int) -> DataFrame:
+    """New classes of the clustered words: spread over tasks, each task moving its words one after another, frequent
+    ones first. A word has at most 2 * classes + 1 counts, so its row is small."""
     classes = len(matrix)
 
     def moves(batches):
         local = matrix.astype(np.float64)
         for batch in batches:
-            rows = np.column_stack([c.to_numpy() for c in batch.columns])
-            found = [move(local, int(class_of[w[0]]), w[1:1 + classes], w[1 + classes:1 + 2 * classes], int(w[-1]),
-                          clustered) for w in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(found, pa.int64())], ["word", "class"])
-
-    result = class_of.copy()
-    for word, new in vectors.where("word >= 0").repartition(8, "word").mapInArrow(
-            moves, "word bigint, class bigint").collect():  # at most 1 / min_share rows
-        result[word] = new
-    return result
+            ids, now, cells = batch.column("id"), batch.column("class").to_numpy(), batch.column("cells")
+            bounds, flat = cells.offsets.to_numpy(), cells.values
+            slot, n = flat.field("slot").to_numpy(), flat.field("n").to_numpy()
+            new = np.empty(len(now), np.int32)
+            for i, (low, high) in enumerate(zip(bounds[:-1], bounds[1:])):
+                vector = np.zeros(2 * classes + 1)
+                vector[slot[low:high]] = n[low:high]
+                new[i] = move(local, int(now[i]), vector[:classes], vector[classes:-1], int(vector[-1]), clustered)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(new)], ["id", "class"])
+
+    vectors = (counts.where("id >= 0").groupBy("id")
+               .agg(F.collect_list(F.struct("slot", "n")).alias("cells"), F.sum("n").alias("weight")))
+    return (vectors.join(labels, "id").sortWithinPartitions(F.desc("weight"), "id").select("id", "class", "cells")
+            .mapInArrow(moves, "id bigint, class int"))
+
+
+class _Model:
+    """What training gives: coded texts, the classes of the clustered words, and the class bigram matrix."""
+
+    def __init__(self, docs: DataFrame, classes: int, rounds: int, min_count: int, folds: int, block_chars: int,
+                 id_col: str, text_col: str):
+        if classes + RARE >= 256:
+            raise ValueError(f"at most {255 - RARE} classes")
+        scratch = Scratch(docs.sparkSession, "class-lm")
+        rows = keyed(docs, id_col, text_col)
+        rows = rows.select("doc_id", "text", held_out(F.col("doc_id"), folds).alias("held_out"))
+        self.end = end = classes + RARE
+        numbered, numbered_path = scratch.write(_numbered(rows, block_chars))
+        documents = numbered.where("number is null").select("block", "doc_id", "held_out", "ids")
+        words = numbered.where("number is not null").select("block", "number", "word", "n")
+        is_end = F.octet_length("word") == 0
+        kind = F.when(is_end, end).otherwise(classes + F.crc32(F.expr("right(word, 3)")) % RARE).cast("int")
+        frequent = (F.col("c") >= min_count) & ~is_end
+        self.vocabulary = scratch.cut(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0").select(
+            "word", "c", kind.alias("kind"), F.when(frequent, F.monotonically_increasing_id()).alias("id")))
+        self.total = self.vocabulary.agg(F.sum("c")).first()[0] or 0
+        types = self.vocabulary.where("id is null").groupBy("kind").count().collect()  # a row per class
+        words, words_path = scratch.write(
+            words.join(self.vocabulary.select("word", "c", "id"), "word", "left")
+            .select("block", "number", kind.alias("kind"), F.coalesce("c", F.lit(0)).alias("c"), "id"))
+
+        def labelled(labels: DataFrame) -> DataFrame:
+            other = words.where("id is null").select("block", "number", "c", F.lit(-1).cast("bigint").alias("id"),
+                                                     F.col("kind").alias("class"))
+            return other.unionByName(words.where("id is not null").join(labels, "id")
+                                     .select("block", "number", "c", "id", "class"))
+
+        self.labels = scratch.cut(self.vocabulary.where("id is not null").select(
+            "id", F.pmod(F.xxhash64("word"), F.lit(classes)).cast("int").alias("class")))
+        best = None
+        for _ in range(rounds):
+            counts, path = scratch.write(_contexts(documents, labelled(self.labels), end + 1))
+            matrix = _matrix(counts, end + 1)
+            if best is None or likelihood(matrix) > best[0]:
+                best = likelihood(matrix), self.labels
+            self.labels = scratch.cut(_exchange(counts, self.labels, matrix, classes))
+            scratch.drop(path)
+        self.coded, coded_path = scratch.write(_coded(documents, labelled(self.labels)))
+        self.matrix = _matrix(_bigrams(self.coded, end + 1), end + 1)
+        if best and best[0] > likelihood(self.matrix):  # the last round made it worse
+            scratch.drop(coded_path)
+            self.labels = best[1]
+            self.coded = scratch.cut(_coded(documents, labelled(self.labels)))
+            self.matrix = _matrix(_bigrams(self.coded, end + 1), end + 1)
+        scratch.drop(numbered_path)
+        scratch.drop(words_path)
+        self.types = np.zeros(end + 1)
+        for at, many in [*types, *self.labels.groupBy("class").count().collect()]:
+            self.types[at] += many
+        self.distinct = int(self.types.sum())
+        self.types[classes:end] += 1  # words never seen
+        self.types[end] = 1
+
+
+def word_classes(docs: DataFrame, classes: int = 48, rounds: int = 3, min_count: int = 5, folds: int = 10,
+                 block_chars: int = 24_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per word of the training rows: word, its count, class, and whether it was clustered.
+
+    Words below `min_count` keep one of the `RARE` classes after the clustered ones; the end of a text is the empty word
+    and has the last class.
+    """
+    model = _Model(docs, classes, rounds, min_count, folds, block_chars, id_col, text_col)
+    name = F.col("word").cast("string").alias("word")
+    other = model.vocabulary.where("id is null").select(name, "c", F.col("kind").alias("class"), F.lit(False).alias("clustered"))
+    return (model.vocabulary.where("id is not null").join(model.labels, "id")
+            .select(name, "c", "class", F.lit(True).alias("clustered")).unionByName(other)
+            .withColumnRenamed("c", "count"))
 
 
-def score_texts(docs: DataFrame, classes: int = 48, rounds: int = 3, min_share: float = 2e-5, folds: int = 10,
+def score_texts(docs: DataFrame, classes: int = 48, rounds: int = 3, min_count: int = 5, folds: int = 10,
                 block_chars: int = 24_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
@@ -221,67 +329,17 @@ def score_texts(docs: DataFrame, classes: int = 48, rounds: int = 3, min_share:
     empty: its only token is the end. Repeated rows each count and are each scored; a missing id is a
     training row. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "class-lm")
-    rows = keyed(docs, id_col, text_col)
-    rows = rows.select("doc_id", "text", held_out(F.col("doc_id"), folds).alias("held_out"))
-    numbered, numbered_path = scratch.write(_numbered(rows, block_chars))
-    words = numbered.where("number is not null").select("block", "number", "word", "n")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    least = max(1, math.ceil(min_share * total))
-    same = Window.partitionBy("word")
-    counted, counted_path = scratch.write(
-        words.select("block", "number", "word", F.sum("n").over(same).alias("c"),
-                     (F.min("block").over(same) == F.col("block")).alias("first"))
-        .select("block", "number", (F.crc32(F.expr("right(word, 3)")) % RARE).cast("int").alias("rare"), "c", "first",
-                F.when((F.col("c") >= least) & (F.octet_length("word") > 0), F.col("word")).alias("frequent")))
-    kinds = dict(counted.where("first and c > 0 and frequent is null").groupBy("rare").count().collect())
-    seen_end = words.where(F.octet_length("word") == 0).agg(F.sum("n")).first()[0] or 0
-    frequent = sorted(((-c, w) for w, c in counted.where("first and frequent is not null")
-                       .select("frequent", "c").collect()))  # at most 1 / min_share rows
-    ranks = {bytes(w): i for i, (_, w) in enumerate(frequent)}
-    if seen_end:
-        kinds[0] -= 1  # the end, whose checksum is 0, has a class of its own
-    distinct = len(ranks) + sum(kinds.values()) + (seen_end > 0)
-    coded, coded_path = scratch.write(_coded(numbered, counted, spark.sparkContext.broadcast(ranks), RARE))
-    scratch.drop(numbered_path)
-    scratch.drop(counted_path)
-
-    size, end = len(ranks), classes + RARE
-    rare = end - 1 - np.arange(RARE)  # code -1 is the last entry, so rare class 0 stands last
-    now = np.arange(size) % classes
-    train, best, old_path = coded.where(~F.col("held_out")), None, None
-    for step in range(rounds + 1):
-        class_of = np.concatenate([now, rare]).astype(np.int64)
-        last = step == rounds
-        counts, path = scratch.write(_context_counts(train, class_of, size, end + 1, not last))
-        scratch.drop(old_path)
-        old_path = path
-        matrix = np.zeros((end + 1, end + 1), np.int64)
-        for row in counts.where("word < 0").collect():  # one row per class
-            matrix[-1 - row["word"]] = [row[f"r{i}"] for i in range(end + 1)]
-        if best is None or likelihood(matrix) > best[0]:
-            best = (likelihood(matrix), matrix, class_of)
-        if not last:
-            now = _exchange(counts, matrix, now, classes)
-    scratch.drop(old_path)
-    _, matrix, class_of = best
-
-    types = np.bincount(class_of[:size], minlength=end + 1).astype(np.float64)
-    for kind, many in kinds.items():
-        types[rare_at(kind, end)] += many + 1  # one more for words never seen
-    for kind in range(RARE):
-        types[rare_at(kind, end)] += kind not in kinds
-    types[end] += 1
-    mass = np.log10(np.maximum(matrix.sum(0) + 0.1 * types, 0.1))
+    model = _Model(docs, classes, rounds, min_count, folds, block_chars, id_col, text_col)
+    end, total, matrix = model.end, model.total, model.matrix
+    mass = np.log10(np.maximum(matrix.sum(0) + 0.1 * model.types, 0.1))
     steps = np.log10((matrix + 0.1) / (matrix.sum(1, keepdims=True) + 0.1 * (end + 1)))
-    base = math.log10(total + 0.1 * (distinct + 1))
+    base = math.log10(total + 0.1 * (model.distinct + 1))
 
     def score(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            _, now, before, lengths = _streams(batch, class_of, end)
+            now, before, lengths = _steps(batch, end)
             value = steps[before, now] - mass[now]
             sums = np.add.reduceat(value, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
             logs, n = batch.column("log_sum").to_numpy(), batch.column("n_tokens").to_numpy()
@@ -292,10 +350,6 @@ def score_texts(docs: DataFrame, classes: int = 48, rounds: int = 3, min_share:
                  pa.array(10.0 ** (-result / n))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return coded.mapInArrow(score, f"doc_id {id_type(rows)}, held_out boolean, n_tokens bigint, n_known bigint, "
-                                   "train_tokens bigint, base_score double, score double, perplexity double")
-
-
-def rare_at(kind: int, end: int) -> int:
-    """The class number of words outside the clustering whose last letters fall into this kind."""
-    return end - RARE + kind
+    return model.coded.mapInArrow(score, f"doc_id {id_type(model.coded)}, held_out boolean, n_tokens bigint, "
+                                         "n_known bigint, train_tokens bigint, base_score double, score double, "
+                                         "perplexity double")

@@ -1,12 +1,15 @@
 """Defined results of every operator for missing, empty, very long, repeated and tied rows and clashing columns."""
 
+import math
 import random
+import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import Row
 
 import corpus_pipeline
-from crossmarket.llm.class_lm import score_texts
+from crossmarket.llm.class_lm import RARE, score_texts, word_classes
 from crossmarket.llm.decontamination import best_edit_distance, build_index, contaminated, decontaminate, normal_words, Scanner
 from crossmarket.llm.encoders import WordIds, SpacedCounts, library
 from crossmarket.llm.language_id import _sample, identify
@@ -135,6 +138,56 @@ def test_class_lm_edges(edges, none):
     assert score_texts(none).count() == 0
 
 
+def test_class_lm_against_brute_force(spark):
+    """Scores recomputed from the table of word classes alone, over several blocks and a clustering by count."""
+    chance = random.Random(5)
+    verbs, nouns, endings = ["runs", "sits", "eats"], ["dog", "cat", "cow", "fox"], ["now", "here"]
+    texts = {i: " ".join(f"the {chance.choice(nouns)} {chance.choice(verbs)} {chance.choice(endings)}"
+                         for _ in range(chance.randrange(4))) + f" odd{i}" * (i % 3) for i in range(400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    options = dict(classes=4, rounds=3, block_chars=900)
+    table = {r["word"]: r for r in rows(word_classes(docs, **options))}
+    got = {r["doc_id"]: r for r in rows(score_texts(docs, **options))}
+    train = {i: t.split() for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10}
+    counts = Counter(w for t in train.values() for w in [*t, ""])
+    assert {w: r["count"] for w, r in table.items()} == counts
+    assert all(r["clustered"] == (r["count"] >= 5 and w != "") for w, r in table.items())
+    end = 4 + RARE
+
+    def class_of(word):
+        return table[word]["class"] if word in table else 4 + zlib.crc32(word.encode()[-3:]) % RARE
+
+    steps, types = Counter(), Counter(r["class"] for r in table.values())
+    types.update(range(4, end))
+    for t in train.values():
+        path = [end, *(class_of(w) for w in t), end]
+        steps.update(zip(path, path[1:]))
+    out, into = Counter(), Counter()
+    for (a, b), n in steps.items():
+        out[a] += n
+        into[b] += n
+    for i, text in texts.items():
+        score, before = 0.0, end
+        for word in [*text.split(), ""]:
+            now = class_of(word)
+            score += math.log10((steps[before, now] + 0.1) / (out[before] + 0.1 * (end + 1)))
+            score += math.log10((counts[word] + 0.1) / (into[now] + 0.1 * types[now]))
+            before = now
+        assert math.isclose(got[i]["score"], score, rel_tol=1e-9)
+        assert math.isclose(got[i]["perplexity"], 10 ** (-score / got[i]["n_tokens"]), rel_tol=1e-9)
+
+
+def test_exchange_finds_kinds_of_words(spark):
+    """Words that stand in the same places end in one class, whatever the order of the moves."""
+    chance = random.Random(8)
+    kinds = [["dog", "cat", "cow", "fox"], ["runs", "sits", "eats"], ["now", "here", "soon"]]
+    texts = [(i, " ".join(chance.choice(k) for _ in range(6) for k in kinds)) for i in range(200)]
+    found = {r["word"]: r["class"] for r in rows(word_classes(spark.createDataFrame(texts, "doc_id bigint, text string"),
+                                                              classes=6, rounds=6))}
+    groups = [{found[w] for w in kind} for kind in kinds]
+    assert not groups[0] & groups[1] and not groups[1] & groups[2] and not groups[0] & groups[2]
+
+
 def test_language_edges(edges, none):
     found = {r["doc_id"]: r for r in rows(identify(edges))}
     assert {found[i]["lang_pred"] for i in (2, 3, 4, 9)} == {"und"} and found[5]["lang_pred"] == "en"
