@@ -87,8 +87,9 @@ def _class_of(words: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(documents: DataFrame, labelled: DataFrame, classes: int) -> DataFrame:
-    """Rows (id, slot, n), summed: how often the word stands after class `slot`, before class `slot - classes`, and
-    (slot 2 * classes) after itself. Id -1 - a is row a of the class bigram matrix: n tokens of class `slot` follow a."""
+    """Rows (id, class, cells), one per block and clustered word: cells are pairs (slot, n) of 32-bit integers that say how
+    often the word stands after class `slot`, before class `slot - classes`, and (slot 2 * classes) after itself.
+    The row with id -1 holds the block's class bigram matrix, n tokens of class slot % classes after slot // classes."""
     end, wide = classes - 1, 2 * classes + 1
 
     def tally(documents: pa.Table, words: pa.Table) -> pa.Table:
@@ -106,15 +107,27 @@ def _contexts(documents: DataFrame, labelled: DataFrame, classes: int) -> DataFr
                                    row[1:][same] + 2 * classes])
             parts.append(np.unique(keys, return_counts=True))
         keys, n = (np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2, *parts))
-        keys, at = np.unique(keys, return_inverse=True)
-        n = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
-        cells = np.flatnonzero(matrix)
-        return pa.table({"id": np.append(ids[keys // wide], -1 - cells // classes),
-                         "slot": np.append(keys % wide, cells % classes).astype(np.int32),
-                         "n": np.append(n, matrix[cells])})
+        if len(parts) > 1:
+            keys, at = np.unique(keys, return_inverse=True)
+            n = np.bincount(at, weights=n, minlength=len(keys))
+        word, cells = keys // wide, np.flatnonzero(matrix)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        word = word[first]
+        pairs = np.concatenate([np.column_stack([keys % wide, n]), np.column_stack([cells, matrix[cells]])]).astype("<i4")
+        bounds = np.concatenate([first, [len(keys), len(pairs)]]).astype(np.int32) * 8
+        packed = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(pairs)])
+        return pa.table({"id": np.append(ids[word], -1), "class": np.append(class_of[word], -1).astype(np.int32),
+                         "cells": packed})
 
     return (documents.where("not held_out").groupBy("block").cogroup(labelled.groupBy("block"))
-            .applyInArrow(tally, "id bigint, slot int, n bigint").groupBy("id", "slot").agg(F.sum("n").alias("n")))
+            .applyInArrow(tally, "id bigint, class int, cells binary"))
+
+
+def _pairs(cells: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, slot and n of all pairs in a column of cells."""
+    held = cells.to_pylist()
+    pairs = np.frombuffer(b"".join(held), "<i4").reshape(-1, 2)
+    return np.repeat(np.arange(len(held)), [len(x) // 8 for x in held]), pairs[:, 0].astype(np.int64), pairs[:, 1]
 
 
 def _slices(texts: pa.ChunkedArray, stop: int, tokens: int = 1_000_000):
@@ -163,27 +176,36 @@ def _steps(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray, np.
     return now, np.append(end, now[:-1]), np.array([len(x) + 1 for x in texts])
 
 
-def _bigrams(coded: DataFrame, classes: int) -> DataFrame:
-    """The class bigram matrix of coded texts as rows like those of `_contexts`."""
+def _matrix(rows: DataFrame, classes: int, flat_counts) -> np.ndarray:
+    """The class bigram matrix, summed in tasks, then by Spark; `flat_counts` gives a batch's part of it."""
     def tally(batches):
         matrix = np.zeros(classes * classes, np.int64)
         for batch in batches:
             if batch.num_rows:
-                now, before, _ = _steps(batch, classes - 1)
-                matrix += np.bincount(before * classes + now, minlength=classes * classes)
+                matrix += flat_counts(batch)
         cells = np.flatnonzero(matrix)
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - cells // classes), pa.array((cells % classes).astype(np.int32)),
-                                          pa.array(matrix[cells])], ["id", "slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(matrix[cells])], ["cell", "n"])
+
+    result = np.zeros(classes * classes, np.int64)
+    for cell, n in rows.mapInArrow(tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():
+        result[cell] = n  # a row per cell of the matrix
+    return result.reshape(classes, classes)
+
 
-    return (coded.where("not held_out").select("classes").mapInArrow(tally, "id bigint, slot int, n bigint")
-            .groupBy("id", "slot").agg(F.sum("n").alias("n")))
+def _matrix_of_contexts(contexts: DataFrame, classes: int) -> np.ndarray:
+    def flat_counts(batch):
+        _, slot, n = _pairs(batch.column("cells"))
+        return np.bincount(slot, weights=n, minlength=classes * classes).astype(np.int64)
 
+    return _matrix(contexts.where("id < 0").select("cells"), classes, flat_counts)
 
-def _matrix(counts: DataFrame, classes: int) -> np.ndarray:
-    matrix = np.zeros((classes, classes), np.int64)
-    for a, b, n in counts.where("id < 0").collect():  # a row per cell of the matrix
-        matrix[-1 - a, b] = n
-    return matrix
+
+def _matrix_of_texts(coded: DataFrame, classes: int) -> np.ndarray:
+    def flat_counts(batch):
+        now, before, _ = _steps(batch, classes - 1)
+        return np.bincount(before * classes + now, minlength=classes * classes)
+
+    return _matrix(coded.where("not held_out").select("classes"), classes, flat_counts)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -195,56 +217,93 @@ def likelihood(matrix: np.ndarray) -> float:
     return float(_xlogx(matrix).sum() - _xlogx(matrix.sum(0)).sum() - _xlogx(matrix.sum(1)).sum())
 
 
-def move(matrix: np.ndarray, now: int, left: np.ndarray, right: np.ndarray, own: int, clustered: int) -> int:
-    """The class the word gains most in; `matrix` is updated for the move."""
-    def shift(to, sign):
-        l, r = left.copy(), right.copy()
-        l[now] -= own
-        r[now] -= own
-        matrix[to] += sign * r
-        matrix[:, to] += sign * l
-        matrix[to, to] += sign * own
-
-    left, right = left.astype(np.float64), right.astype(np.float64)
-    shift(now, -1)
-    l, r = left.copy(), right.copy()
-    l[now] -= own
-    r[now] -= own
-    some_r, some_l, at = np.flatnonzero(r), np.flatnonzero(l), np.arange(clustered)  # other cells don't change
-    rows, columns = matrix[:clustered, some_r], matrix[some_l, :clustered].T
-    gain = ((_xlogx(rows + r[some_r]) - _xlogx(rows)).sum(1) + (_xlogx(columns + l[some_l]) - _xlogx(columns)).sum(1))
-    corner = matrix[at, at]
-    gain += (_xlogx(corner + r[at] + l[at] + own) + _xlogx(corner) - _xlogx(corner + r[at]) - _xlogx(corner + l[at]))
-    for total, extra in ((matrix.sum(1)[:clustered], r.sum() + own), (matrix.sum(0)[:clustered], l.sum() + own)):
-        gain -= _xlogx(total + extra) - _xlogx(total)
-    best = int(gain.argmax())
-    if gain[best] <= gain[now] + 1e-9:
-        best = now
-    shift(best, 1)
-    return best
-
-
-def _exchange(counts: DataFrame, labels: DataFrame, matrix: np.ndarray, clustered: int) -> DataFrame:
-    """New classes of the clustered words: spread over tasks, each task moving its words one after another, frequent
-    ones first. A word has at most 2 * classes + 1 counts, so its row is small."""
-    classes = len(matrix)
-
+def gains(matrix: np.ndarray, now: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray,
+          clustered: int) -> np.ndarray:
+    """Likelihood of each class for each word, up to a constant of the word: what adding it there gains once it is
+    taken out of its class `now`. `left` and `right` (a row per word) leave the word's own repetitions out."""
+    words = np.arange(len(now))
+    total = np.zeros((len(now), clustered))
+    for cells, outer, inner in ((matrix, right, left), (matrix.T, left, right)):
+        b, slot = np.nonzero(outer)
+        n = outer[b, slot][:, None]
+        without = cells[:clustered, slot].T.copy()
+        without[np.arange(len(b)), now[b]] -= n[:, 0]
+        here = np.flatnonzero(slot == now[b])  # the word's own class, as its neighbour, loses it too
+        without[here] -= inner[b[here], :clustered]
+        without[here, now[b[here]]] -= own[b[here]]
+        first = np.flatnonzero(np.diff(b, prepend=-1))
+        if len(first):
+            total[b[first]] += np.add.reduceat(_xlogx(without + n) - _xlogx(without), first)
+        sums, extra = np.tile(cells.sum(1)[:clustered], (len(now), 1)), outer.sum(1) + own
+        sums[words, now] -= extra
+        total -= _xlogx(sums + extra[:, None]) - _xlogx(sums)
+    corner = np.tile(matrix.diagonal()[:clustered], (len(now), 1))
+    corner[words, now] -= right[words, now] + left[words, now] + own
+    r, l, o = right[:, :clustered], left[:, :clustered], own[:, None]
+    return total + _xlogx(corner + r + l + o) + _xlogx(corner) - _xlogx(corner + r) - _xlogx(corner + l)
+
+
+def move(matrix: np.ndarray, now: np.ndarray, vectors: np.ndarray, clustered: int) -> np.ndarray:
+    """The class each word gains most in, all against the same matrix, which is then updated for the moves."""
+    words, classes = np.arange(len(now)), len(matrix)
+    left, right, own = vectors[:, :classes].copy(), vectors[:, classes:-1].copy(), vectors[:, -1]
+    left[words, now] -= own
+    right[words, now] -= own
+    gain = gains(matrix, now, left, right, own, clustered)
+    new = gain.argmax(1)
+    new = np.where(gain[words, new] > gain[words, now] + 1e-9, new, now)
+    change = np.zeros((len(now), classes))
+    np.add.at(change, (words, new), 1)
+    np.add.at(change, (words, now), -1)
+    matrix += change.T @ right + left.T @ change + np.diag(change.T @ own)
+    return new
+
+
+def _whole_words(batches, wide: int):
+    """Ids, classes and summed vectors of words whose rows, from one or more blocks, follow one another."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, now = (batch.column(c).to_numpy() for c in ("id", "class"))
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
+        row, slot, n = _pairs(batch.column("cells"))
+        vectors = np.bincount(word[row] * wide + slot, weights=n, minlength=len(first) * wide).reshape(-1, wide)
+        ids, now = ids[first], now[first].astype(np.int64)
+        if held and held[0][0] == ids[0]:
+            vectors[0] += held[2][0]
+        elif held:
+            yield held
+        if len(ids) > 1:
+            yield ids[:-1], now[:-1], vectors[:-1]
+        held = ids[-1:], now[-1:], vectors[-1:].copy()
+    if held:
+        yield held
+
+
+def _groups(weights: np.ndarray, most: float, at_once: int):
+    """Slices of at most so many words and so much weight; a heavier word is alone."""
+    sums, start = np.append(0, np.cumsum(weights)), 0
+    while start < len(weights):
+        stop = int(np.searchsorted(sums, sums[start] + most, side="right")) - 1
+        stop = min(max(stop, start + 1), start + at_once)
+        yield slice(start, stop)
+        start = stop
+
+
+def _exchange(contexts: DataFrame, matrix: np.ndarray, clustered: int, at_once: int = 64) -> DataFrame:
+    """New classes of the clustered words: spread over tasks, each task moving its words in small groups, one group
+    after another; a group has at most a hundredth of all tokens, so frequent words move alone. A word has a row per
+    block at most; they are summed as they pass."""
     def moves(batches):
         local = matrix.astype(np.float64)
-        for batch in batches:
-            ids, now, cells = batch.column("id"), batch.column("class").to_numpy(), batch.column("cells")
-            bounds, flat = cells.offsets.to_numpy(), cells.values
-            slot, n = flat.field("slot").to_numpy(), flat.field("n").to_numpy()
-            new = np.empty(len(now), np.int32)
-            for i, (low, high) in enumerate(zip(bounds[:-1], bounds[1:])):
-                vector = np.zeros(2 * classes + 1)
-                vector[slot[low:high]] = n[low:high]
-                new[i] = move(local, int(now[i]), vector[:classes], vector[classes:-1], int(vector[-1]), clustered)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(new)], ["id", "class"])
-
-    vectors = (counts.where("id >= 0").groupBy("id")
-               .agg(F.collect_list(F.struct("slot", "n")).alias("cells"), F.sum("n").alias("weight")))
-    return (vectors.join(labels, "id").sortWithinPartitions(F.desc("weight"), "id").select("id", "class", "cells")
+        for ids, now, vectors in _whole_words(batches, 2 * len(matrix) + 1):
+            new = [move(local, now[part], vectors[part], clustered)
+                   for part in _groups(vectors[:, :len(matrix)].sum(1), matrix.sum() / 100, at_once)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(new).astype(np.int32))], ["id", "class"])
+
+    return (contexts.where("id >= 0").repartition("id").sortWithinPartitions("id")
             .mapInArrow(moves, "id bigint, class int"))
 
 
@@ -283,19 +342,19 @@ class _Model:
             "id", F.pmod(F.xxhash64("word"), F.lit(classes)).cast("int").alias("class")))
         best = None
         for _ in range(rounds):
-            counts, path = scratch.write(_contexts(documents, labelled(self.labels), end + 1))
-            matrix = _matrix(counts, end + 1)
+            contexts, path = scratch.write(_contexts(documents, labelled(self.labels), end + 1))
+            matrix = _matrix_of_contexts(contexts, end + 1)
             if best is None or likelihood(matrix) > best[0]:
                 best = likelihood(matrix), self.labels
-            self.labels = scratch.cut(_exchange(counts, self.labels, matrix, classes))
+            self.labels = scratch.cut(_exchange(contexts, matrix, classes))
             scratch.drop(path)
         self.coded, coded_path = scratch.write(_coded(documents, labelled(self.labels)))
-        self.matrix = _matrix(_bigrams(self.coded, end + 1), end + 1)
+        self.matrix = _matrix_of_texts(self.coded, end + 1)
         if best and best[0] > likelihood(self.matrix):  # the last round made it worse
             scratch.drop(coded_path)
             self.labels = best[1]
             self.coded = scratch.cut(_coded(documents, labelled(self.labels)))
-            self.matrix = _matrix(_bigrams(self.coded, end + 1), end + 1)
+            self.matrix = _matrix_of_texts(self.coded, end + 1)
         scratch.drop(numbered_path)
         scratch.drop(words_path)
         self.types = np.zeros(end + 1)

@@ -5,11 +5,12 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 
 import corpus_pipeline
-from crossmarket.llm.class_lm import RARE, score_texts, word_classes
+from crossmarket.llm.class_lm import RARE, gains, likelihood, move, score_texts, word_classes
 from crossmarket.llm.decontamination import best_edit_distance, build_index, contaminated, decontaminate, normal_words, Scanner
 from crossmarket.llm.encoders import WordIds, SpacedCounts, library
 from crossmarket.llm.language_id import _sample, identify
@@ -177,6 +178,37 @@ def test_class_lm_against_brute_force(spark):
         assert math.isclose(got[i]["perplexity"], 10 ** (-score / got[i]["n_tokens"]), rel_tol=1e-9)
 
 
+def test_gains_are_those_of_the_likelihood():
+    """Against the likelihood of the whole matrix recounted with the word in each class."""
+    chance = random.Random(3)
+    text = [chance.choice("aabbcdefgh") for _ in range(400)]
+    classes = {w: i % 3 for i, w in enumerate("abcdefgh")}
+    path = lambda held: [4, *(held[w] for w in text), 4]
+
+    def recounted(held):
+        matrix = np.zeros((5, 5))
+        np.add.at(matrix, (path(held)[:-1], path(held)[1:]), 1)
+        return matrix
+
+    for word in classes:
+        left, right, own = np.zeros(5), np.zeros(5), 0
+        for i, w in enumerate(text):
+            if w == word:
+                left[path(classes)[i]] += 1
+                right[path(classes)[i + 2]] += 1
+                own += i > 0 and text[i - 1] == word
+        now, vectors = np.array([classes[word]]), np.append(np.append(left, right), own)[None, :].astype(float)
+        outer = [v.copy() for v in (left, right)]
+        for v in outer:
+            v[now[0]] -= own
+        gain = gains(recounted(classes), now, outer[0][None], outer[1][None], np.array([float(own)]), 3)[0]
+        whole = np.array([likelihood(recounted(classes | {word: c})) for c in range(3)])
+        assert np.allclose(gain - gain[0], whole - whole[0])
+        matrix = recounted(classes)
+        new = move(matrix, now, vectors, 3)[0]
+        assert new == whole.argmax() and np.allclose(matrix, recounted(classes | {word: new}))
+
+
 def test_exchange_finds_kinds_of_words(spark):
     """Words that stand in the same places end in one class, whatever the order of the moves."""
     chance = random.Random(8)
