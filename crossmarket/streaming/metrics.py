@@ -148,10 +148,14 @@ def volume_spikes(history: DataFrame, width: str = "1 day", sigmas: float = 2.0,
 
 
 def window_correlation(history: DataFrame, left: str, right: str, width: str = "1 hour") -> DataFrame:
-    """Correlation of two outcomes' mean prices per market over shared windows."""
+    """Correlation of two outcomes' mean prices per market over shared windows; null where either mean never moves.
+
+    Written out, because the built-in one fails on a group without variance, short groups that are dropped below included.
+    """
     means = history.where(F.col("outcome").isin(left, right)).groupBy(
         "market_id", F.window("timestamp", width).alias("w")).agg(
         F.avg(F.when(F.col("outcome") == left, F.col("price"))).alias("a"),
         F.avg(F.when(F.col("outcome") == right, F.col("price"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    return means.groupBy("market_id").agg(F.count(F.lit(1)).alias("windows"), F.corr("a", "b").alias("correlation")).where(
+    return means.groupBy("market_id").agg(F.count(F.lit(1)).alias("windows"), F.try_divide(
+        F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("correlation")).where(
         F.col("windows") >= 3)

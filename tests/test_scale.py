@@ -13,6 +13,7 @@ from crossmarket.config import ModelConfig
 from crossmarket.functions import vocab
 from crossmarket.operators import angle_index, arbitrage, candidates, enrich, groups, intervals, model, ranks, score_floor
 from crossmarket.operators.scoring import FEATURES
+from crossmarket.streaming import metrics
 
 LISTING = ("id string, platform string, title string, category string, yes_price double, volume double, liquidity double, "
            "title_normalized string, title_hash string, is_active boolean")
@@ -173,3 +174,15 @@ def around_all(spark, _kept=[]):
         cells = spark.range(128).select(F.col("id").cast("int").alias("cell"))
         _kept.extend(r.x for r in cells.select("cell", intervals.around(F.col("cell")).alias("x")).orderBy("cell").collect())
     return _kept
+
+
+def test_window_correlation_without_variance(spark):
+    """Markets whose mean price never moves, with enough windows and with too few, next to one that moves."""
+    rows = [(m, o, day, p) for m, prices in {"flat": [(.5, .2), (.5, .4), (.5, .7)], "short": [(.5, .5), (.5, .5)],
+                                             "moving": [(.1, .9), (.2, .8), (.4, .1)]}.items()
+            for day, pair in enumerate(prices, 1) for o, p in zip(("view", "click"), pair)]
+    history = spark.createDataFrame(rows, "market_id string, outcome string, day int, price double").withColumn(
+        "timestamp", F.make_timestamp(F.lit(2024), F.lit(1), "day", F.lit(0), F.lit(0), F.lit(0)))
+    got = {r.market_id: r.correlation for r in metrics.window_correlation(history, "view", "click", "1 day").collect()}
+    assert set(got) == {"flat", "moving"} and got["flat"] is None
+    assert got["moving"] == pytest.approx(np.corrcoef([.1, .2, .4], [.9, .8, .1])[0, 1])
