@@ -9,9 +9,11 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from crossmarket.config import ModelConfig
-from crossmarket.functions import vocab
-from crossmarket.operators import angle_index, arbitrage, candidates, enrich, groups, intervals, model, ranks, score_floor
+from crossmarket.functions import text, vocab
+from crossmarket.operators import (angle_index, arbitrage, candidates, enrich, groups, intervals, model, ranks, score_floor, scoring,
+                                   similarity_join, staged_filter)
 from crossmarket.operators.scoring import FEATURES
 from crossmarket.streaming import metrics
 
@@ -186,3 +188,40 @@ def test_window_correlation_without_variance(spark):
     got = {r.market_id: r.correlation for r in metrics.window_correlation(history, "view", "click", "1 day").collect()}
     assert set(got) == {"flat", "moving"} and got["flat"] is None
     assert got["moving"] == pytest.approx(np.corrcoef([.1, .2, .4], [.9, .8, .1])[0, 1])
+
+
+PAIRABLE = ("id string, platform string, title string, category string, bucket string, yes_price double, volume double, "
+            "close_time timestamp")
+
+
+def pairable(spark, n=40):
+    chance = random.Random(5)
+    words = ("trump", "will", "senate", "the", "win", "is", "fed", "cut", "of", "")
+    rows = [(f"{v}-{i}", v, " ".join(chance.choices(words, k=chance.randint(1, 6))), chance.choice(("A", "a", "B")), chance.choice("XY"),
+             chance.randint(500, 9500) / 10_000, 100.0 + chance.randint(0, 4000)) for v in ("kalshi", "polymarket") for i in range(n)]
+    return spark.createDataFrame([(*r, None) for r in rows], PAIRABLE).withColumn(
+        "close_time", F.timestamp_seconds(F.lit(1_000_000_000) + F.pmod(F.xxhash64("id"), F.lit(4_000_000))))
+
+
+@pytest.mark.parametrize("name", ["b23_pair_prompts", "c23_worthy_pairs", "f2_best_pairs_per_bucket", "k10_heuristic_worthiness",
+                                  "k9_pair_features", "k11_explanations"])
+def test_titles_are_not_compared_inside_the_pair_join(spark, name):
+    """Filters on scores must not carry the splitting and comparing of titles into the join, where every candidate pays for it."""
+    df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [line for line in plan if "Join Inner" in line]
+    assert joins and not [line for line in joins if "array_intersect" in line or "split(" in line]
+
+
+def test_features_of_counted_words_equal_those_of_whole_titles(spark):
+    pairs = staged_filter.filter_pairs(pairable(spark), "2001-10-15 00:00:00")
+    k, p = text.tokens(F.col("kalshi_title")), text.tokens(F.col("polymarket_title"))
+    keys = ["kalshi_id", "polymarket_id"]
+    whole = pairs.select(*keys, text.set_cosine(k, p).alias("cosine"), text.overlap_count(k, p).alias("overlap"),
+                         (text.title_jaccard(F.col("kalshi_title"), F.col("polymarket_title")) * 0.7).alias("jaccard"))
+    found = scoring.with_features(pairs, "2001-10-15 00:00:00").join(whole, keys).select(
+        "cosine", "cosine_similarity", "overlap", "keyword_overlap_count", "jaccard", "jaccard_similarity").collect()
+    assert len(found) > 50 and len({r.overlap for r in found}) > 2
+    assert all(r[0] == r[1] and r[2] == r[3] and r[4] == r[5] for r in found)
+    unmeasured = staged_filter.filter_pairs(pairable(spark), "2001-10-15 00:00:00", measured=False)
+    assert {tuple(r) for r in unmeasured.select(keys).collect()} == {tuple(r) for r in pairs.select(keys).collect()}
