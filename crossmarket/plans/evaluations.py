@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from crossmarket.config import ArbitrageConfig, ModelConfig
 from crossmarket.functions import prices, replies, text, vocab
-from crossmarket.operators import arbitrage, browse, buckets, evaluate, groups, model, reports, scoring
+from crossmarket.operators import arbitrage, browse, buckets, evaluate, groups, model, reports, scoring, staged_filter
 from crossmarket.plans import sqltext as sq
 from crossmarket.plans.oracle_views import T
-from crossmarket.plans.pairing import PAIR_VIEWS, scored, staged
+from crossmarket.plans.pairing import PAIR_VIEWS, blocked, scored, staged
 from crossmarket.plans.registry import query
 from crossmarket.sources import derived, sinks
 from crossmarket.sources.checkpoints import cut
@@ -687,8 +687,8 @@ def _(spark, root):
     SELECT bucket, avg(CASE WHEN confidence_score >= 0.8 THEN 1.0 ELSE 0.0 END) AS success_rate, count(*) AS evaluations
     FROM staged JOIN evals USING (kalshi_id, polymarket_id) GROUP BY bucket""", r="success_rate", views=PAIR_VIEWS)
 def _(spark, root):
-    joined = staged(spark, root).join(derived.evaluations(spark, root), ["kalshi_id", "polymarket_id"])
-    return model.bucket_success(joined)
+    evaluated = derived.evaluations(spark, root).select("kalshi_id", "polymarket_id", "confidence_score")
+    return model.bucket_success(staged_filter.filter_given(evaluated, blocked(spark, root), AS_OF))
 
 
 def training_rows(spark: SparkSession, root: str) -> DataFrame:

@@ -225,3 +225,14 @@ def test_features_of_counted_words_equal_those_of_whole_titles(spark):
     assert all(r[0] == r[1] and r[2] == r[3] and r[4] == r[5] for r in found)
     unmeasured = staged_filter.filter_pairs(pairable(spark), "2001-10-15 00:00:00", measured=False)
     assert {tuple(r) for r in unmeasured.select(keys).collect()} == {tuple(r) for r in pairs.select(keys).collect()}
+
+
+def test_given_pairs_are_filtered_as_all_pairs_are(spark):
+    df, as_of, keys = pairable(spark), "2001-10-15 00:00:00", ["kalshi_id", "polymarket_id"]
+    every = df.where("platform = 'kalshi'").select(F.col("id").alias("kalshi_id")).crossJoin(
+        df.where("platform = 'polymarket'").select(F.col("id").alias("polymarket_id")))
+    given = every.where(F.pmod(F.xxhash64(*keys), F.lit(3)) > 0)
+    want = staged_filter.filter_pairs(df, as_of).join(given, keys)
+    got = staged_filter.filter_given(given, df, as_of)
+    rows = lambda x: sorted(map(str, x.select(*sorted(want.columns)).collect()))
+    assert rows(got) == rows(want) and len(rows(got)) > 30
