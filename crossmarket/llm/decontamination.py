@@ -86,8 +86,11 @@ class Index:
     seed: int = 5
     grams: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # distinct, in order
     runs: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # where the places of each gram start
-    gram_places: np.ndarray = field(default_factory=lambda: np.empty((0, 2), np.int64))  # item, offset
+    gram_items: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))  # item and offset of each place
+    gram_offsets: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
     least: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # shared grams that make a candidate
+    slots: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))  # a gram of each mixed code, -1: none
+    crowded: np.ndarray = field(default_factory=lambda: np.empty(0, bool))  # mixed codes of several grams
 
     def walks(self):
         """Random bits for each walk, step and byte, and the sampled steps of each class and table."""
@@ -135,6 +138,11 @@ def gram_codes(text: bytes) -> np.ndarray:
     return codes
 
 
+def mixed(codes: np.ndarray, bits: int) -> np.ndarray:
+    """The upper bits of the codes times an odd number: places in a table of 2^bits."""
+    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def least_shared(length: int, allowed: int, rate: float) -> int:
     """Grams that survive when `rate` of an item's bytes are edited at random: their mean less SPREAD deviations."""
     n = length - GRAM + 1
@@ -149,10 +157,16 @@ def _add_grams(index: Index, rate: float) -> None:
     codes = [gram_codes(t) for t in index.texts]
     joined = np.concatenate(codes or [np.empty(0, np.uint64)])
     order = np.argsort(joined, kind="stable")
-    places = [np.column_stack([np.full(len(c), i), np.arange(len(c))]) for i, c in enumerate(codes)]
-    index.gram_places = np.concatenate(places or [np.empty((0, 2), np.int64)])[order]
+    lengths = [len(c) for c in codes]
+    index.gram_items = np.repeat(np.arange(len(codes), dtype=np.int32), lengths)[order]
+    index.gram_offsets = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths] or [np.empty(0, np.int32)])[order]
     index.grams, first = np.unique(joined[order], return_index=True)
     index.runs = np.append(first, len(joined))
+    bits = max(16, len(index.grams).bit_length() + 3)
+    places = mixed(index.grams, bits)
+    index.slots = np.full(1 << bits, -1, np.int32)
+    index.slots[places] = np.arange(len(places))
+    index.crowded = np.bincount(places, minlength=1 << bits) > 1
     index.least = np.array([least_shared(len(t), a, rate) for t, a in zip(index.texts, index.allowed)], np.int64)
 
 
@@ -212,7 +226,7 @@ class Scanner:
         self.places: dict[int, dict[int, int]] = {}
         self.longest = max(map(len, index.texts), default=0)
         # Bytes of text looked at at once: bands times items stay bounded.
-        self.step = max(4 * self.longest, min(1 << 16, (1 << 26) // max(1, len(index.texts))))
+        self.step = max(4 * self.longest, min(1 << 15, (1 << 26) // max(1, len(index.texts))))
 
     def _places(self, item: int) -> dict[int, int]:
         if item not in self.places:
@@ -254,22 +268,39 @@ class Scanner:
                     pieces, size = [], 0
         self._match_pieces(pieces, best)
 
+    def _known_grams(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the codes are grams of items, and which; only codes that share a slot are searched for."""
+        index = self.index
+        slot = mixed(codes, len(index.slots).bit_length() - 1)
+        gram = index.slots[slot]
+        at = np.flatnonzero(gram >= 0)
+        gram, slot, codes = gram[at], slot[at], codes[at]
+        held = index.grams[gram] == codes
+        again = np.flatnonzero(~held & index.crowded[slot])
+        other = np.minimum(np.searchsorted(index.grams, codes[again]), len(index.grams) - 1)
+        right = index.grams[other] == codes[again]
+        gram[again[right]], held[again[right]] = other[right], True
+        return at[held], gram[held]
+
     def _match_pieces(self, pieces: list[tuple[int, bytes]], best) -> None:
         index = self.index
         text = b"\n".join(piece for _, piece in pieces)
         codes = gram_codes(text)
         if not len(codes) or not len(index.grams):
             return
-        gram = np.minimum(np.searchsorted(index.grams, codes), len(index.grams) - 1)
-        at = np.flatnonzero(index.grams[gram] == codes)
-        gram = gram[at]
-        many = index.runs[gram + 1] - index.runs[gram]
-        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        item, offset = index.gram_places[np.repeat(index.runs[gram], many) + within].T
+        at, gram = self._known_grams(codes)
+        first = index.runs[gram]
+        many = index.runs[gram + 1] - first
+        place = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
         bands = ((len(text) + self.longest) >> BAND) + 2
-        shared = np.bincount(item * bands + ((np.repeat(at, many) - offset + self.longest) >> BAND),
-                             minlength=bands * len(index.texts)).reshape(-1, bands)
-        items, found = np.nonzero(shared[:, :-1] + shared[:, 1:] >= index.least[:, None])
+        shared = np.bincount(index.gram_items[place].astype(np.int64) * bands
+                             + ((np.repeat(at + self.longest, many) - index.gram_offsets[place]) >> BAND),
+                             minlength=bands * len(index.texts))
+        # Two neighbouring bands reach the least number only where one of them has half of it.
+        half = np.flatnonzero(shared >= -(-int(index.least.min()) // 2))
+        both = np.union1d(half[half % bands > 0] - 1, half[half % bands < bands - 1])
+        both = both[shared[both] + shared[both + 1] >= index.least[both // bands]]
+        items, found = np.divmod(both, bands)
         if not len(items):
             return
         ends = np.cumsum([len(piece) + 1 for _, piece in pieces])
