@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from crossmarket.llm.common import Scratch, read
+from crossmarket.llm.common import Scratch, bounded_batches, read
 from crossmarket.llm.decontamination import decontaminate
 from crossmarket.llm.near_dup import near_duplicates
 from crossmarket.llm.packing import packed_documents
@@ -29,6 +29,7 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without a word are linked with nothing and stay, and so do rows without an id. Rows that repeat an id
     are told apart by a checksum of their text, so only those that are copies go; rows that repeat both are one document.
     """
+    bounded_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     if isinstance(docs.schema["doc_id"].dataType, IntegralType):  # ordered by the id
         key = (F.col("doc_id").cast("decimal(20,0)") * F.lit(10 ** 18).cast("decimal(19,0)")
@@ -42,11 +43,13 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no item of the benchmark."""
+    bounded_batches(spark)
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by its kind; `n_chars` follows the text."""
+    bounded_batches(spark)
     clean = redact(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -56,7 +59,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens, one row per piece, with its token ids as 32-bit integers."""
-    return packed_documents(docs, with_ids=True)
+    bounded_batches(spark)
+    return packed_documents(docs, with_ids=True, most_words=400_000)
 
 
 STAGES = [("quality", quality), ("near_dup", near_dup), ("benchmark", benchmark), ("pii", personal_data),

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from crossmarket.llm.common import id_type, keyed, reachable
+from crossmarket.llm.common import id_type, keeps, keyed, reachable
 
 _PUNCTUATION = bytes(c if not 33 <= c < 127 or chr(c).isalnum() else 32 for c in range(256))
 ANCHORS, WALKS, TABLES, COORDINATES = 8, 4, 8, 6
@@ -390,6 +390,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, block
         sent = spark.sparkContext.broadcast(index)  # bounded by block_bytes
 
         def scan(batches, sent=sent):
+            keeps("decontamination")
             scanner = Scanner(sent.value)
             for batch in batches:
                 found = sorted(scanner.scan(batch.column("text").to_pylist()).items())
@@ -415,6 +416,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, bloc
         sent = spark.sparkContext.broadcast(index)
 
         def clean(batches, sent=sent):
+            keeps("decontamination")
             scanner = Scanner(sent.value)
             for batch in batches:
                 dirty = {row for row, _ in scanner.scan(batch.column(text_col).to_pylist())}

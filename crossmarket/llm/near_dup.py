@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossmarket.llm.common import Scratch, id_type, keyed
+from crossmarket.llm.common import Scratch, id_type, keeps, keyed
 from crossmarket.llm.encoders import slices
 
 _MIX = np.random.default_rng(20_240_607).integers(1, 2**63, 64, np.uint64) | np.uint64(1)
@@ -103,6 +103,7 @@ def signatures(rows: DataFrame, shingle: int, bands: int, per_band: int, seed: i
     """Per row: doc_id, text_key, n_shingles, set_key, buckets, and the low byte of every minimum."""
 
     def sign(batches):
+        keeps("near_dup", _hashes.cache_clear)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for low, high in slices(texts):
@@ -177,6 +178,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: i
     texts = _texts(ends, classes, rows)
 
     def check(batches):
+        keeps("near_dup", _hashes.cache_clear)
         last, kept = None, None
         for batch in batches:
             left, text = batch.column("a").to_pylist(), batch.column("text_a")
@@ -237,6 +239,7 @@ def _rest_of_buckets(members: DataFrame, components_now: DataFrame, classes: Dat
     placed = scratch.cut(placed.join(open_buckets, "bucket"))
 
     def to_sets(batches):
+        keeps("near_dup", _hashes.cache_clear)
         for batch in batches:
             sets = [shingle_set(t, shingle).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array(sets, pa.binary())], ["set_key", "hashes"])

@@ -19,22 +19,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossmarket.llm import encoders
-from crossmarket.llm.common import Scratch, id_type, keyed
+from crossmarket.llm.common import Scratch, id_type, keeps, keyed
 
 
 def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = 4096,
-                 id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+                 most_words: int = 1_500_000) -> DataFrame:
     """One row per piece of at most `capacity` tokens: its document, number, start, length and checksum.
 
     A document is its ids and the end id. An empty or missing text is the end id alone. Only documents
     above the capacity are cut, and only their last piece is shorter. `with_ids` adds the ids as bytes.
+    A Python worker remembers the ids of at most `most_words` words.
     """
     rows = keyed(docs, id_col, text_col)
     end = np.array([end_id], "<u4").tobytes()
     width = 4 * capacity
 
     def pieces(batches):
-        encoder = encoders.word_ids(tokenizer)
+        keeps("encoders", encoders.forget)
+        encoder = encoders.word_ids(tokenizer, most_words)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for low, high in encoders.slices(texts):
@@ -152,6 +155,7 @@ def _placed(pieces: DataFrame, capacity: int, rows_per_share: int) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = 4096,
-                     id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+                     id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+                     most_words: int = 1_500_000) -> DataFrame:
     """Whole documents, tokenized and packed; see `token_pieces` and `pack`."""
-    return pack(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids), capacity)
+    return pack(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids, most_words), capacity)

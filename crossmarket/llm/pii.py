@@ -15,7 +15,7 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from crossmarket.llm.common import id_type, keyed, reachable
+from crossmarket.llm.common import id_type, keeps, keyed, reachable
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "secret")
@@ -171,6 +171,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = keyed(docs, id_col, text_col)
 
     def find(batches):
+        keeps("pii", _automaton.cache_clear)
         for batch in batches:
             found = [find_spans(text) for text in batch.column("text").to_pylist()]
             counts = [pa.array([len(s[kind]) for s in found], pa.int64()) for kind in BASE]
@@ -202,6 +203,7 @@ def redacted_text(text: str | None) -> str | None:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with personal data in the text replaced; missing texts stay missing."""
     def replace(batches):
+        keeps("pii", _automaton.cache_clear)
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             changed = pa.array([redacted_text(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)

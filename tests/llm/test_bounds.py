@@ -1,9 +1,12 @@
-"""The gram slots of op1."""
+"""What a worker holds: batches bounded by bytes, tables of one operator at a time; and the gram slots of op1."""
 
 import random
 
 import numpy as np
+import pyarrow as pa
 
+import corpus_pipeline
+from crossmarket.llm import common
 from crossmarket.llm.decontamination import Scanner, build_index, gram_codes
 
 
@@ -17,3 +20,29 @@ def test_gram_slots_tell_what_a_search_tells():
     at, gram = Scanner(index)._known_grams(codes)
     want = np.flatnonzero(np.isin(codes, index.grams))
     assert at.tolist() == want.tolist() and (index.grams[gram] == codes[want]).all() and len(at) > 1000
+
+
+def test_a_worker_keeps_the_tables_of_one_operator(monkeypatch):
+    monkeypatch.setattr(common, "_kept", {})
+    gone = []
+    common.keeps("a", lambda: gone.append("a"))
+    common.keeps("a", lambda: gone.append("a"))
+    assert gone == []
+    common.keeps("b")
+    assert gone == ["a"] and list(common._kept) == ["b"]
+
+
+def test_stages_take_batches_of_bounded_bytes(spark):
+    before = spark.conf.get(common.ARROW_BYTES, None)
+    docs = spark.range(0, 9000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 800) AS text")
+    try:
+        corpus_pipeline.personal_data(spark, docs, "")
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["bytes"])
+
+        assert docs.mapInArrow(sizes, "bytes bigint").agg({"bytes": "max"}).first()[0] < 6_000_000
+    finally:
+        if before is None:
+            spark.conf.unset(common.ARROW_BYTES)
