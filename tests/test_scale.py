@@ -87,6 +87,15 @@ def test_angle_pairs_against_all_pairs(clusters):
     assert len(want) <= compared < every / 3
 
 
+def test_vectors_meet_in_parts_of_bounded_size(clusters):
+    rows, df = clusters
+    whole = {(r.left_id, r.right_id, round(r.similarity, 9)) for r in angle_index.block_pairs(df, "label", "vec_id", "embedding", 0.7).collect()}
+    for size in (7, 100):
+        found = angle_index.block_pairs(df, "label", "vec_id", "embedding", 0.7, size).collect()
+        assert {(r.left_id, r.right_id, round(r.similarity, 9)) for r in found} == whole and len(found) == len(whole) > 5000
+        assert all(r.left_id < r.right_id for r in found)
+
+
 def test_median_and_auc(spark):
     chance = random.Random(2)
     for n in (1, 2, 501, 1000):
