@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossmarket.config import ModelConfig
 from crossmarket.operators.ranks import rank_auc
 from crossmarket.operators.scoring import FEATURES, explanation, heuristic_score
+from crossmarket.sources.checkpoints import cut
 
 
 def labelled(scored: DataFrame, cfg: ModelConfig = ModelConfig()) -> DataFrame:
@@ -33,6 +34,16 @@ def split(df: DataFrame, cfg: ModelConfig = ModelConfig()) -> tuple[DataFrame, D
     return df.where(~is_held_out(cfg)), df.where(is_held_out(cfg))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows, written once in as many even files as there are shuffle partitions.
+
+    Fitting reads them once per level of the trees, in as many tasks as there are files. They are few bytes a row, so
+    adaptive execution alone would leave them in a few files, whatever the cost of a row.
+    """
+    many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(rows.repartition(many, "kalshi_id", "polymarket_id"))
+
+
 def estimator(cfg: ModelConfig = ModelConfig()) -> Pipeline:
     if cfg.kind == "gradient_boosting":
         classifier = GBTClassifier(maxIter=cfg.trees, maxDepth=cfg.depth, stepSize=cfg.step, seed=cfg.seed,
@@ -88,12 +99,19 @@ def roc_auc(predictions: DataFrame) -> float | None:
     return rank_auc(predictions).first()["roc_auc"]
 
 
-def cross_validated(training: DataFrame, cfg: ModelConfig = ModelConfig()) -> float:
-    """Mean accuracy over the folds."""
-    evaluator = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
-    validator = CrossValidator(estimator=estimator(cfg), estimatorParamMaps=ParamGridBuilder().build(),
-                               evaluator=evaluator, numFolds=cfg.folds, seed=cfg.seed, parallelism=2)
-    return validator.fit(training).avgMetrics[0]
+def cross_validated(training: DataFrame, cfg: ModelConfig = ModelConfig()) -> float | None:
+    """Mean accuracy over the folds, which a hash of the pair deals; only the models of the folds are fitted.
+
+    A fold whose other rows are too few or of one label has no model and does not count; None if none has.
+    """
+    fold = F.pmod(F.xxhash64("kalshi_id", "polymarket_id", F.lit(cfg.seed + 1)), F.lit(cfg.folds))
+    found = []
+    for k in range(cfg.folds):
+        held = training.where(fold == k)
+        fitted = train(training.where(fold != k), replace(cfg, min_rows=1))
+        if fitted is not None and not held.isEmpty():
+            found.append(metrics(fitted.transform(held)).first()["accuracy"])
+    return sum(found) / len(found) if found else None
 
 
 def importances(model: PipelineModel) -> dict[str, float]:
@@ -105,7 +123,7 @@ def quality(fitted: PipelineModel | None, train_rows: DataFrame, test_rows: Data
     """(measure, value): counts, held-out metrics and AUC, cross-validated accuracy, importances, and whether retraining on
     the same rows replaces the model. What needs a model is null where none could be fitted.
     """
-    held = predict(fitted, test_rows)
+    held = cut(predict(fitted, test_rows).select("label", "prediction", "worthiness"))  # predicted once, read by every measure
     tested = metrics(held).first().asDict()
     found: dict[str, float | None] = {"train_rows": train_rows.count(), "test_rows": test_rows.count(),
                                       "fitted": float(fitted is not None)}

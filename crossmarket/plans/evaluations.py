@@ -700,7 +700,7 @@ def training_rows(spark: SparkSession, root: str) -> DataFrame:
              .withColumn("text_similarity", text.jaccard(text.tokens(F.col("kalshi_title"), stops),
                                                          text.tokens(F.col("polymarket_title"), stops)))
              .withColumn("liquidity_score", (liquidity[0] + liquidity[1]) / 2))
-    return cut(model.labelled(scoring.with_features(pairs, AS_OF)))
+    return model.dealt(model.labelled(scoring.with_features(pairs, AS_OF)))
 
 
 FOREST = ModelConfig(kind="random_forest")

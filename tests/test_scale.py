@@ -271,3 +271,11 @@ def test_selected_pairs_are_dealt_into_even_cells(spark):
     got = [(r.market1_id, r.market2_id) for r in candidates.selected_pairs(df, df, edge=40).select("market1_id", "market2_id").collect()]
     ids = [f"m{i}" for i in range(300)]
     assert len(got) == len(set(got)) == 300 * 299 // 2 and set(got) == {(a, b) for a in ids for b in ids if a < b}
+
+
+def test_training_rows_are_dealt_into_even_files(spark):
+    rows = spark.range(4000).selectExpr("concat('k', id) AS kalshi_id", "concat('p', id) AS polymarket_id", "id / 2.0 AS x").coalesce(1)
+    dealt = model.dealt(rows)
+    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = [r["count"] for r in dealt.groupBy(F.input_file_name()).count().collect()]
+    assert dealt.count() == 4000 and len(sizes) == many and max(sizes) < 2 * 4000 / many
