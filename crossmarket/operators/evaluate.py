@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crossmarket.config import EvaluationConfig
 from crossmarket.functions import prices, replies, text, vocab
+from crossmarket.operators import staged_filter
 from crossmarket.sources.checkpoints import cut
 
 Evaluator = Callable[[DataFrame], DataFrame]
@@ -113,7 +114,22 @@ def parse_line_replies(batched: DataFrame, reply_table: DataFrame,
 
 def with_fallback(pairs: DataFrame, parsed: DataFrame, error: str = "no reply") -> DataFrame:
     """Every pair gets an evaluation; pairs without a reply a zero-confidence fallback."""
-    joined = pairs.join(parsed, ["kalshi_id", "polymarket_id"], "left")
+    return _filled(pairs.join(parsed, ["kalshi_id", "polymarket_id"], "left"), error)
+
+
+def staged_with_fallback(bucketed: DataFrame, parsed: DataFrame, as_of: str, error: str = "no reply") -> DataFrame:
+    """`with_fallback` of the pairs that pass the stages.
+
+    Pairs with an evaluation are looked up from it, all others are told apart while they are formed, so only listings and
+    evaluations are shuffled, not pairs.
+    """
+    answered = staged_filter.filter_given(parsed, bucketed, as_of)
+    none = {f.name: F.lit(None).cast(f.dataType) for f in parsed.schema if f.name not in ("kalshi_id", "polymarket_id")}
+    others = staged_filter.filter_unlisted(bucketed, parsed, as_of).withColumns(none)
+    return _filled(answered, error).unionByName(_filled(others.select(answered.columns), error))
+
+
+def _filled(joined: DataFrame, error: str) -> DataFrame:
     missing = F.col("confidence_score").isNull()
     return (joined.withColumn("provider_used", F.when(missing, "fallback").otherwise("table"))
             .withColumn("semantic_similarity", F.coalesce("semantic_similarity", "text_similarity", F.lit(0.0)))

@@ -127,6 +127,21 @@ def filter_given(pairs: DataFrame, bucketed: DataFrame, as_of: str, cfg: FilterC
     return finish_stages(joined.withColumn("price_difference", gap).where(F.col("price_difference") >= cfg.min_gap), as_of, cfg)
 
 
+def filter_unlisted(bucketed: DataFrame, listed: DataFrame, as_of: str, cfg: FilterConfig = FilterConfig(),
+                    keys: list[str] | None = None) -> DataFrame:
+    """The pairs that `filter_pairs` keeps and that are not in `listed` (kalshi_id, polymarket_id).
+
+    Every first listing brings the ids it is listed with into the pair join, so the pairs, which are many, are not
+    shuffled to be held against the list. With `filter_given` of the list it makes up `filter_pairs`.
+    """
+    keys = keys or ["bucket"]
+    known = listed.groupBy("kalshi_id").agg(F.collect_set("polymarket_id").alias("_known"))
+    k = side(bucketed, "kalshi", keys, cfg).join(known, "kalshi_id", "left")
+    unlisted = ~F.coalesce(F.array_contains("_known", F.col("polymarket_id")), F.lit(False))
+    pairs = compatible_pairs(k, side(bucketed, "polymarket", keys, cfg), keys, cfg, condition=unlisted)
+    return finish_stages(pairs.drop("_known"), as_of, cfg)
+
+
 def incremental_pairs(bucketed: DataFrame, as_of: str, cfg: FilterConfig = FilterConfig()) -> DataFrame:
     """Pairs with at least one new listing: new x all, then old x new (never old x old).
 

@@ -10,7 +10,7 @@ from crossmarket.functions import prices, replies, text, vocab
 from crossmarket.operators import arbitrage, browse, buckets, evaluate, groups, model, reports, scoring, staged_filter
 from crossmarket.plans import sqltext as sq
 from crossmarket.plans.oracle_views import T
-from crossmarket.plans.pairing import PAIR_VIEWS, blocked, scored, staged
+from crossmarket.plans.pairing import PAIR_VIEWS, blocked, scored
 from crossmarket.plans.registry import query
 from crossmarket.sources import derived, sinks
 from crossmarket.sources.checkpoints import cut
@@ -217,7 +217,7 @@ def _(spark, root):
         "kalshi_id", "polymarket_id", "confidence_score", "reasoning", F.col("confidence_score").alias("semantic_similarity"),
         F.lit(None).cast("double").alias("arbitrage_viability"), F.lit(None).cast("string").alias("risk_assessment"),
         F.lit(None).cast("string").alias("recommended_action"))
-    return evaluate.with_fallback(staged(spark, root), parsed).select(
+    return evaluate.staged_with_fallback(blocked(spark, root), parsed, AS_OF).select(
         "kalshi_id", "polymarket_id", "confidence_score", "provider_used", "semantic_similarity")
 
 

@@ -279,3 +279,16 @@ def test_training_rows_are_dealt_into_even_files(spark):
     many = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = [r["count"] for r in dealt.groupBy(F.input_file_name()).count().collect()]
     assert dealt.count() == 4000 and len(sizes) == many and max(sizes) < 2 * 4000 / many
+
+
+def test_listed_and_unlisted_pairs_make_up_all_pairs(spark):
+    from crossmarket.plans import pairing
+    from crossmarket.sources import derived
+    root, ids = "/root/testdata/sf0.01", ("kalshi_id", "polymarket_id")
+    rows = pairing.blocked(spark, root)
+    listed = derived.evaluations(spark, root).select(*ids)
+    key = lambda df: sorted(map(tuple, df.select(*ids).collect()))
+    given, rest = (key(f(*a, derived.AS_OF)) for f, a in ((staged_filter.filter_given, (listed, rows)),
+                                                         (staged_filter.filter_unlisted, (rows, listed))))
+    assert given and rest and not set(given) & set(rest)
+    assert sorted(given + rest) == key(staged_filter.filter_pairs(rows, derived.AS_OF))
