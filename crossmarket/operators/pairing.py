@@ -28,13 +28,13 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return left.repartition(parts, *keys).join(right.repartition(parts, *keys), keys)
 
 
-def slice_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str,
-               condition: Column | None = None, budget: int = PAIR_BUDGET) -> DataFrame:
-    """Inner join on keys; keys with more than `budget` pairs run as a grid of smaller joins.
+def sliced_sides(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str,
+                 budget: int = PAIR_BUDGET) -> tuple[DataFrame, DataFrame]:
+    """Both sides with slice numbers _r and _c, so that every pair of a key meets exactly once on (keys, _r, _c).
 
     Both sides are counted per key first (map-side combined). A hot key becomes r x c slices:
     a row keeps one slice number of its own side and is repeated for each slice of the other, so
-    every pair meets exactly once and no task sees more than about `budget` pairs of one key.
+    no slice has more than about `budget` pairs of one key.
 
     The table of hot keys is joined without a broadcast hint: it is small in practice, but grows
     with the data in principle, so its size is left to be measured at run time (adaptive joins).
@@ -53,8 +53,13 @@ def slice_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str,
                 .withColumn(other_slice, F.explode(F.sequence(F.lit(0), count(other) - 1)))
                 .drop("_rows", "_cols"))
 
-    a = sliced(left, "_rows", "_cols", "_r", "_c", left_id)
-    b = sliced(right, "_cols", "_rows", "_c", "_r", right_id)
+    return sliced(left, "_rows", "_cols", "_r", "_c", left_id), sliced(right, "_cols", "_rows", "_c", "_r", right_id)
+
+
+def slice_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str,
+               condition: Column | None = None, budget: int = PAIR_BUDGET) -> DataFrame:
+    """Inner join on keys; keys with more than `budget` pairs run as a grid of smaller joins (see sliced_sides)."""
+    a, b = sliced_sides(left, right, keys, left_id, right_id, budget)
     joined = spread_join(a, b, [*keys, "_r", "_c"])
     if condition is not None:
         joined = joined.where(condition)

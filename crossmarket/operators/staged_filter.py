@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from crossmarket.config import FilterConfig
 from crossmarket.functions import dates, prices, text, vocab
+from crossmarket.operators.box_counts import count_within
 from crossmarket.operators.pairing import once, slice_join, window_keys
 from crossmarket.operators.similarity_join import jaccard_prefix, prefix_join
+from crossmarket.sources.checkpoints import cut
 
 STAGES = ("basic_compatibility", "text_similarity", "liquidity_filtering", "time_window_alignment",
           "arbitrage_potential")
@@ -198,30 +200,22 @@ def pairs_within(bucketed: DataFrame, cfg: FilterConfig, gap: float) -> DataFram
             .agg(F.sum(F.col("k") * F.col("partners")).alias("pairs")))
 
 
-def similar_pairs_within(bucketed: DataFrame, cfg: FilterConfig, low: float, high: float) -> Column:
-    """Number of eligible pairs with low <= gap < high whose titles are similar enough."""
-    threshold = cfg.min_similarity / cfg.title_weight
+def _similar_sets(k: DataFrame, p: DataFrame, cfg: FilterConfig) -> DataFrame:
+    """(bucket, sk, sp): pairs of token sets of a bucket that are similar enough; copies of a set are compared once."""
     sides = []
-    for platform, tag in (("kalshi", "k"), ("polymarket", "p")):
-        chosen = eligible(bucketed.where(F.col("platform") == platform), cfg)
-        # Copies of a token set at one price are counted, not repeated.
-        grouped = chosen.select(
-            "bucket", F.sort_array(text.tokens(F.col("title"), vocab.JACCARD_STOP_WORDS)).alias(f"s{tag}"),
-            F.col("yes_price").alias(f"x{tag}")).groupBy("bucket", f"s{tag}", f"x{tag}").agg(
-            F.count(F.lit(1)).alias(f"n{tag}"))
-        sides.append(grouped.withColumn(f"i{tag}", F.xxhash64("bucket", f"s{tag}", f"x{tag}")))
-    gap = prices.gap(F.col("xk"), F.col("xp"))
+    for df, tag in ((k, "k"), (p, "p")):
+        sets = df.select("bucket", F.col("tokens").alias(f"s{tag}")).distinct()
+        sides.append(sets.withColumn(f"i{tag}", F.xxhash64("bucket", f"s{tag}")))
     alike = text.jaccard(F.col("sk"), F.col("sp")) * cfg.title_weight >= cfg.min_similarity
-    pairs = prefix_join(sides[0], sides[1], ["bucket"], ("ik", "ip"), ("sk", "sp"),
-                        jaccard_prefix(threshold), (gap >= low) & (gap < high) & alike)
-    return pairs.agg(F.coalesce(F.sum(F.col("nk") * F.col("np")), F.lit(0)).alias("similar"))
+    return prefix_join(sides[0], sides[1], ["bucket"], ("ik", "ip"), ("sk", "sp"),
+                       jaccard_prefix(cfg.min_similarity / cfg.title_weight), alike).select("ik", "ip")
 
 
 def stage_reasons(bucketed: DataFrame, as_of: str, cfg: FilterConfig = FilterConfig()) -> DataFrame:
     """How many pairs each stage drops for which first reason: (stage, reason, pairs).
 
-    The first two stages are counted from per-bucket totals, price histograms and a similarity
-    join; pairs are formed only within the volume-ratio cells of stage three, and only counted.
+    The first stage is counted from per-bucket totals and price histograms, the later ones by range counts over the
+    listings of a bucket (wide gaps) and of similar token sets (the rest). Only pairs of low liquidity are formed.
     """
     k, p = (_first_stage_side(bucketed, v, cfg) for v in ("kalshi", "polymarket"))
     names = [f"{v}_{r}" for v in ("kalshi", "polymarket")
@@ -245,10 +239,8 @@ def stage_reasons(bucketed: DataFrame, as_of: str, cfg: FilterConfig = FilterCon
         zero(F.coalesce(col("pairs"), F.lit(0))).alias("insufficient_gap"),
         zero(col("kalshi_ok") * col("polymarket_ok") - F.coalesce(col("pairs"), F.lit(0))).alias("stage1"),
         zero(F.coalesce(col("below_big"), F.lit(0)) - F.coalesce(col("pairs"), F.lit(0))).alias("small_gap"))
-    similar = similar_pairs_within(bucketed, cfg, cfg.min_gap, cfg.big_gap)
-    counted = _late_stage_counts(bucketed, cfg)
     row = totals
-    for extra in (similar, counted):  # three one-row aggregates side by side
+    for extra in _late_stage_counts(bucketed, cfg):  # one-row aggregates side by side
         row = row.withColumn("_j", F.lit(1)).join(extra.withColumn("_j", F.lit(1)), "_j").drop("_j")
     stage2_drop = col("small_gap") - col("similar")
     stage2 = col("stage1") - stage2_drop
@@ -272,32 +264,54 @@ def stage_reasons(bucketed: DataFrame, as_of: str, cfg: FilterConfig = FilterCon
     return row.select(table.alias("t")).select("t.*")
 
 
-def _late_stage_counts(bucketed: DataFrame, cfg: FilterConfig) -> DataFrame:
-    """One row: pairs dropped for low liquidity, and survivors of stages three to five."""
+def _late_stage_counts(bucketed: DataFrame, cfg: FilterConfig) -> list[DataFrame]:
+    """One-row tables: similar pairs of small gap, survivors of stages three to five, and pairs of low liquidity."""
     k, p = (side(bucketed, v, ["bucket"], cfg) for v in ("kalshi", "polymarket"))
+    wide, similar = _counted_stages(k, p, cfg)
+    low = _low_liquidity_counts(k, p, cfg)
+    both = wide.withColumn("_j", F.lit(1)).join(similar.withColumn("_j", F.lit(1)), "_j").join(low.withColumn("_j", F.lit(1)), "_j")
+    total = lambda n: (F.col(f"wide{n}") + F.col(f"similar{n}") - F.col(f"low{n}")).alias(f"stage{n}")
+    return [both.select("similar", *[total(n) for n in (3, 4, 5)], "low_liquidity")]
+
+
+def _counted_stages(k: DataFrame, p: DataFrame, cfg: FilterConfig) -> tuple[DataFrame, DataFrame]:
+    """Pairs in reach of stages three to five whatever their liquidity: of wide gaps (wide3 to wide5), and of similar
+    titles and smaller gaps (similar3 to similar5, and `similar` before the ratio)."""
+    steps = lambda gap: round(gap * PRICE_UNIT)
+    small, big, net = steps(cfg.min_gap), steps(cfg.big_gap), steps(cfg.min_gap + cfg.transaction_cost)
+    seconds, ratio = cfg.max_days * 86400, cfg.min_volume_ratio
+    rows = []
+    for df, v in ((k, "kalshi"), (p, "polymarket")):
+        rows.append(cut(df.select(
+            "bucket", F.col(f"{v}_id").alias("id"), F.round(F.col(f"{v}_price") * PRICE_UNIT).cast("bigint").alias("step"),
+            F.col(f"{v}_epoch").alias("time"), F.col(f"{v}_volume").alias("volume"),
+            F.sort_array(f"{v}_tokens").alias("tokens"))))
+    wide = count_within(*(df.drop("tokens") for df in rows), ["bucket"], {
+        "wide3": (big, None, None, ratio), "wide4": (big, None, seconds, ratio), "wide5": (max(big, net), None, seconds, ratio)})
+    sets = _similar_sets(*rows, cfg)
+    by_set = [df.withColumn(f"i{t}", F.xxhash64("bucket", "tokens")).drop("bucket", "tokens") for df, t in zip(rows, "kp")]
+    similar = count_within(by_set[0].join(sets, "ik").drop("ik"), by_set[1], ["ip"], {
+        "similar": (small, big, None, None), "similar3": (small, big, None, ratio), "similar4": (small, big, seconds, ratio),
+        "similar5": (max(small, net), big, seconds, ratio)})
+    return wide, similar
+
+
+def _low_liquidity_counts(k: DataFrame, p: DataFrame, cfg: FilterConfig) -> DataFrame:
+    """One row: stage-two pairs of low mean liquidity, and how many of them are in reach of stages three to five."""
     gap = prices.gap(F.col("kalshi_price"), F.col("polymarket_price"))
     stage2 = (gap >= cfg.min_gap) & passes_text(overall_similarity(cfg), gap, cfg)
     mean = (F.col("kalshi_liquidity") + F.col("polymarket_liquidity")) / 2
-    ratio = prices.volume_ratio(F.col("kalshi_volume"), F.col("polymarket_volume"))
-    kc, cells = window_keys(k, F.col("kalshi_epoch"), F.col("kalshi_volume"), None,
-                            cfg.min_volume_ratio, False)
-    pc, _ = window_keys(p, F.col("polymarket_epoch"), F.col("polymarket_volume"), None,
-                        cfg.min_volume_ratio, True)
-    survivors = slice_join(kc, pc, ["bucket", *cells], "kalshi_id", "polymarket_id",
-                           (ratio >= cfg.min_volume_ratio) & (mean >= cfg.min_liquidity_score) & stage2)
-    in_time = F.abs(F.col("kalshi_epoch") - F.col("polymarket_epoch")) <= cfg.max_days * 86400
-    net = prices.net_gap(gap, cfg.transaction_cost) >= cfg.min_gap
-    late = survivors.agg(F.count(F.lit(1)).alias("stage3"), F.count_if(in_time).alias("stage4"),
-                         F.count_if(in_time & net).alias("stage5"))
     # A low mean needs a low side, so only low-scoring listings are paired here.
     k_low, p_low = F.col("kalshi_liquidity"), F.col("polymarket_liquidity")
     limit = cfg.min_liquidity_score
-    low = slice_join(k.where(k_low < limit), p, ["bucket"], "kalshi_id", "polymarket_id",
-                     (mean < limit) & stage2).select("bucket").unionByName(
-        slice_join(k.where(k_low >= limit), p.where(p_low < limit), ["bucket"], "kalshi_id",
-                   "polymarket_id", (mean < limit) & stage2).select("bucket"))
-    low_count = low.agg(F.count(F.lit(1)).alias("low_liquidity"))
-    return late.withColumn("_j", F.lit(1)).join(low_count.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    wanted = (mean < limit) & stage2
+    low = slice_join(k.where(k_low < limit), p, ["bucket"], "kalshi_id", "polymarket_id", wanted).unionByName(
+        slice_join(k.where(k_low >= limit), p.where(p_low < limit), ["bucket"], "kalshi_id", "polymarket_id", wanted))
+    even = prices.volume_ratio(F.col("kalshi_volume"), F.col("polymarket_volume")) >= cfg.min_volume_ratio
+    in_time = even & (F.abs(F.col("kalshi_epoch") - F.col("polymarket_epoch")) <= cfg.max_days * 86400)
+    net = prices.net_gap(gap, cfg.transaction_cost) >= cfg.min_gap
+    return low.agg(F.count(F.lit(1)).alias("low_liquidity"), F.count_if(even).alias("low3"),
+                   F.count_if(in_time).alias("low4"), F.count_if(in_time & net).alias("low5"))
 
 
 def funnel_summary(reasons: DataFrame, seconds: dict[str, float] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from crossmarket.config import ModelConfig
 from crossmarket.functions import text, vocab
-from crossmarket.operators import (angle_index, arbitrage, candidates, enrich, groups, intervals, model, ranks, score_floor, scoring,
+from crossmarket.operators import (angle_index, arbitrage, box_counts, candidates, enrich, groups, intervals, model, ranks, score_floor, scoring,
                                    similarity_join, staged_filter)
 from crossmarket.operators.scoring import FEATURES
 from crossmarket.streaming import metrics
@@ -292,3 +292,19 @@ def test_listed_and_unlisted_pairs_make_up_all_pairs(spark):
                                                          (staged_filter.filter_unlisted, (rows, listed))))
     assert given and rest and not set(given) & set(rest)
     assert sorted(given + rest) == key(staged_filter.filter_pairs(rows, derived.AS_OF))
+
+
+@pytest.mark.parametrize("edge", [20, 100_000])
+def test_count_within_against_all_pairs(spark, edge):
+    """Pairs are counted, not formed: ratios of exactly a tenth, missing times, keys of one side only, hot keys in slices."""
+    chance = random.Random(edge)
+    rows = [[(i, chance.choice(keys), chance.randrange(500, 9500, 50), chance.choice((None, 0, 40, 41, 400)),
+              chance.choice((0.7, 7.0, 70.0, 70.1, 333.3, 33.33))) for i in range(n)] for n, keys in ((150, "abc"), (130, "bcd"))]
+    sides = [spark.createDataFrame(r, "id int, key string, step int, time int, volume double") for r in rows]
+    wanted = {"near": (200, 1000, None, 0.1), "timed": (200, 1000, 41, 0.1), "far": (1000, None, 40, 0.1)}
+    got = box_counts.count_within(*sides, ["key"], wanted, edge).first()
+    for name, (least, end, seconds, ratio) in wanted.items():
+        assert got[name] == sum(
+            a[1] == b[1] and least <= abs(a[2] - b[2]) and (end is None or abs(a[2] - b[2]) < end)
+            and (seconds is None or None not in (a[3], b[3]) and abs(a[3] - b[3]) <= seconds)
+            and min(a[4], b[4]) / max(a[4], b[4]) >= ratio for a in rows[0] for b in rows[1]), name
