@@ -12,7 +12,7 @@ from crossmarket.operators import arbitrage, normalize
 from crossmarket.plans import evaluations, funnel, listings
 from crossmarket.plans.registry import query
 from crossmarket.sources import derived, landing, sinks
-from crossmarket.sources.checkpoints import checkpoint_root
+from crossmarket.sources.checkpoints import checkpoint_root, cut
 from crossmarket.sources.derived import AS_OF
 from crossmarket.streaming import decode, jobs
 
@@ -42,7 +42,7 @@ def _(spark, root):
     """Normalization per platform and detection, written to tables; the log has what was counted on the way."""
     out = fresh_folder(spark, "run")
     log = f"{out}/log"
-    mixed = listings.mixed_envelopes(spark, root)
+    mixed = cut(listings.mixed_envelopes(spark, root).select("id", "platform", "raw_data"))
     for platform in ("kalshi", "polymarket", "manifold"):
         done, rejected = normalize.dispatch(mixed.where(F.col("platform") == platform), AS_OF, landing.PAYLOADS)
         logged(spark, log, "normalize", platform, (done, lambda df: sinks.write_normalized(df, f"{out}/normalized")),

@@ -308,3 +308,17 @@ def test_count_within_against_all_pairs(spark, edge):
             a[1] == b[1] and least <= abs(a[2] - b[2]) and (end is None or abs(a[2] - b[2]) < end)
             and (seconds is None or None not in (a[3], b[3]) and abs(a[3] - b[3]) <= seconds)
             and min(a[4], b[4]) / max(a[4], b[4]) >= ratio for a in rows[0] for b in rows[1]), name
+
+
+def test_run_log_derives_the_envelopes_once(spark, monkeypatch):
+    """The six passes over the envelopes read a written table: nothing is joined or aggregated again for each."""
+    from crossmarket.operators import normalize
+    seen, dispatch = [], normalize.dispatch
+
+    def watched(envelopes, *rest):
+        seen.append(envelopes._jdf.queryExecution().optimizedPlan().toString())
+        return dispatch(envelopes, *rest)
+
+    monkeypatch.setattr(normalize, "dispatch", watched)
+    entry.queries()["k28_run_log"](spark, "/root/testdata/sf0.001").collect()
+    assert len(seen) == 3 and not any("Join" in plan or "Aggregate" in plan for plan in seen)
