@@ -26,19 +26,31 @@ def _least_neighbours(split: DataFrame) -> DataFrame:
     return within.select("u", "_part").join(within.groupBy("u").agg(F.min("m").alias("m")), "u")
 
 
+def _has_hubs(edges: DataFrame, share: int = 1000, few: int = 10_000) -> bool:
+    """Whether a node has more than `few` edges and more than 1 / `share` of them; two numbers reach the driver."""
+    most, total = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return most is not None and most > few and most * share > total
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """The edges (u, v) with m, the smallest neighbour of u. Without hubs a window finds it in one shuffle of the edges."""
+    if not _has_hubs(edges):
+        return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    split = _split(edges)
+    return split.join(_least_neighbours(split), ["u", "_part"]).select("u", "v", "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Connect every larger neighbour of a node to the smallest of its neighbourhood."""
-    both = _split(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    least = _least_neighbours(both).withColumn("m", F.least("u", "m"))
-    return both.where(F.col("v") > F.col("u")).join(least, ["u", "_part"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    both = _with_least(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    return both.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Connect a node and its smaller neighbours to the smallest of them."""
-    down = _split(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    least = _least_neighbours(down)
-    linked = down.join(least, ["u", "_part"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    down = _with_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    ends = F.explode(F.array("u", "v")).alias("u")
+    return down.select(ends, F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:

@@ -322,3 +322,13 @@ def test_run_log_derives_the_envelopes_once(spark, monkeypatch):
     monkeypatch.setattr(normalize, "dispatch", watched)
     entry.queries()["k28_run_log"](spark, "/root/testdata/sf0.001").collect()
     assert len(seen) == 3 and not any("Join" in plan or "Aggregate" in plan for plan in seen)
+
+
+def test_least_neighbours_without_hubs_take_one_shuffle(spark):
+    """A long chain and a fan: no node has many edges, so no count of hubs, no second aggregate and no join."""
+    edges = spark.range(20_000).select((F.col("id") + 1).alias("u"), "id").toDF("u", "v").unionByName(
+        spark.range(40).select(F.lit(50_000).cast("bigint").alias("u"), (F.col("id") + 30_000).alias("v")))
+    found = groups._with_least(edges)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert found.agg(F.count_if(F.col("m") == F.when(F.col("u") == 50_000, 30_000).otherwise(F.col("u") - 1))).first()[0] == 20_040
