@@ -129,8 +129,14 @@ def change_messages(before: DataFrame, after: DataFrame, keys: list[str]) -> Dat
 
 def rolling_volatility(history: DataFrame, width: str = "24 hours", step: str = "1 hour",
                        watermark: str | None = None) -> DataFrame:
-    """Population deviation of price per series and sliding window."""
+    """Population deviation of price per series and sliding window.
+
+    A row is in many windows, so a batch is dealt by series and hour first: otherwise a task that reads a whole file holds all windows of it.
+    """
     rows = history if watermark is None else history.withWatermark("timestamp", watermark)
+    if not history.isStreaming:
+        parts = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(parts, "market_id", F.date_trunc("hour", "timestamp"))
     return rows.groupBy(F.window("timestamp", width, step), "market_id").agg(
         F.count(F.lit(1)).alias("points"), F.stddev_pop("price").alias("volatility"),
         F.avg("volume").alias("avg_volume")).select(

@@ -332,3 +332,14 @@ def test_least_neighbours_without_hubs_take_one_shuffle(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
     assert found.agg(F.count_if(F.col("m") == F.when(F.col("u") == 50_000, 30_000).otherwise(F.col("u") - 1))).first()[0] == 20_040
+
+
+def test_rolling_volatility_deals_a_batch_before_windows(spark):
+    """One file of events is not windowed by the one task that reads it, also where one market has all of them."""
+    history = spark.range(0, 4000, 1, 1).select(
+        F.lit("m").alias("market_id"), F.timestamp_seconds(F.col("id") * 3600).alias("timestamp"), F.lit(0.5).alias("price"),
+        F.lit(1.0).alias("volume"))
+    found = metrics.rolling_volatility(history)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.index("RepartitionByExpression")
+    assert found.count() == 4023 and found.agg(F.max("points"), F.max("volatility")).first() == (24, 0.0)
