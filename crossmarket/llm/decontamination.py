@@ -43,16 +43,19 @@ def normal_words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_PUNCTUATION).split()
 
 
-def best_edit_distance(pattern: bytes, places: dict[int, int], text: bytes) -> int:
+def best_edit_distance(pattern: bytes, places: dict[int, int], text: bytes, limit: int | None = None) -> int:
     """The least edit distance of the pattern to any substring of the text (bit-parallel, exact).
 
-    `places` has, for each byte of the pattern, the bits of the positions that hold it.
+    `places` has, for each byte of the pattern, the bits of the positions that hold it. A byte lowers the distance by one
+    at most, so the text is left where the rest of it cannot improve the result; of a distance above `limit` nothing is
+    told but that it is above.
     """
     full = (1 << len(pattern)) - 1
     high = 1 << (len(pattern) - 1)
     rises, falls, now = full, 0, len(pattern)
     best = now
-    for c in text:
+    useful = now if limit is None else min(now, limit + 1)  # only what is below changes the result
+    for left, c in zip(range(len(text) - 1, -1, -1), text):
         equal = places.get(c, 0)
         vertical = equal | falls
         horizontal = (((equal & rises) + rises) ^ rises) | equal
@@ -62,7 +65,11 @@ def best_edit_distance(pattern: bytes, places: dict[int, int], text: bytes) -> i
             now += 1
         elif down & high:
             now -= 1
-            best = min(best, now)
+            if now < best:
+                best = now
+                useful = min(useful, now)
+        if now - left >= useful:
+            break
         up, down = (up << 1) & full, (down << 1) & full
         rises, falls = down | (full & ~(vertical | up)), up & vertical
     return best
@@ -106,10 +113,10 @@ def embed(windows: np.ndarray, bits: np.ndarray) -> np.ndarray:
     count, width = windows.shape
     out = np.empty((len(bits), count), np.uint8)
     flat, at, stop = windows.ravel(), np.arange(count) * width, np.arange(1, count + 1) * width - 1
-    for step, chances in enumerate(bits):
-        read = flat[at]
-        out[step] = read
-        at = np.minimum(at + chances[read], stop)
+    for read, chances in zip(out, bits):
+        flat.take(at, out=read, mode="clip")  # never outside; checked reads would be copied
+        at += chances.take(read)
+        np.minimum(at, stop, out=at)
     return out
 
 
@@ -239,19 +246,20 @@ class Scanner:
     def scan(self, texts: list[str | None]) -> dict[tuple[int, int], int]:
         """(text number, item number) -> least edit distance, for all matches."""
         index, best = self.index, {}
-        windows: list[tuple[int, bytes, bytes, bytes]] = []
+        windows: list[tuple[int, bytes, int, bytes]] = []
         normal: list[bytes] = []
         for number, text in enumerate(texts):
             words = normal_words(text) if text else []
             normal.append(b" ".join(words))
-            for at in [k for k, word in enumerate(words) if word in index.anchors]:
+            anchors = [k for k, word in enumerate(words) if word in index.anchors]
+            starts = np.cumsum([0, *map(len, words)])[anchors] + anchors if anchors else []
+            for at, start in zip(anchors, starts):
                 # From the anchor as far as the longest item goes; what lies before it is for verification.
-                back = b" ".join(words[max(0, at - 2 * index.before):at])[-2 * index.width:]
-                windows.append((number, words[at], back, b" ".join(words[at:at + 2 * index.before])[:2 * index.width]))
+                windows.append((number, words[at], int(start), normal[-1][start:start + 2 * index.width]))
                 if len(windows) >= self.most:
-                    self._match(windows, best)
+                    self._match(windows, normal, best)
                     windows = []
-        self._match(windows, best)
+        self._match(windows, normal, best)
         self._match_grams(normal, best)
         return best
 
@@ -296,8 +304,8 @@ class Scanner:
         shared = np.bincount(index.gram_items[place].astype(np.int64) * bands
                              + ((np.repeat(at + self.longest, many) - index.gram_offsets[place]) >> BAND),
                              minlength=bands * len(index.texts))
-        # Two neighbouring bands reach the least number only where one of them has half of it.
-        half = np.flatnonzero(shared >= -(-int(index.least.min()) // 2))
+        # Two neighbouring bands reach an item's least number only where one of them has half of it.
+        half = np.flatnonzero(shared.reshape(-1, bands) >= -(-index.least[:, None] // 2))
         both = np.union1d(half[half % bands > 0] - 1, half[half % bands < bands - 1])
         both = both[shared[both] + shared[both + 1] >= index.least[both // bands]]
         items, found = np.divmod(both, bands)
@@ -318,19 +326,19 @@ class Scanner:
                 region = piece[max(0, low - start):high - start]
                 if len(region) < len(pattern) - spare or best.get((owner, i)) == 0:
                     continue
-                distance = 0 if pattern in region else best_edit_distance(pattern, self._places(i), region)
+                distance = 0 if pattern in region else best_edit_distance(pattern, self._places(i), region, spare)
                 if distance <= spare and distance < best.get((owner, i), len(pattern) + 1):
                     best[owner, i] = distance
 
-    def _match(self, windows, best) -> None:
+    def _match(self, windows, normal: list[bytes], best) -> None:
         by_class: dict[int, list[int]] = {}
         for i, (_, anchor, _, _) in enumerate(windows):
             for number in self.index.anchors[anchor]:
                 by_class.setdefault(number, []).append(i)
         for number, members in by_class.items():
-            self._match_class(number, [windows[i] for i in members], best)
+            self._match_class(number, [windows[i] for i in members], normal, best)
 
-    def _match_class(self, number: int, windows, best) -> None:
+    def _match_class(self, number: int, windows, normal: list[bytes], best) -> None:
         index, n = self.index, self.index.classes[number]
         length = min(self.bits.shape[1], max(1, int(1.6 * n)))
         padded = _padded([front for *_, front in windows], length + 1)
@@ -347,7 +355,7 @@ class Scanner:
         paths = [np.ascontiguousarray(p.T) for p in paths]
         for window, entry in zip(*(x.tolist() for x in np.divmod(pairs, len(index.entries)))):
             item, offset, anchor, _ = index.entries[entry].tolist()
-            owner, _, back, front = windows[window]
+            owner, _, start, front = windows[window]
             if best.get((owner, item)) == 0:
                 continue
             steps = slice(min(2 * anchor, length - 1), length)
@@ -355,8 +363,8 @@ class Scanner:
             if agreed < AGREEMENT * (steps.stop - steps.start):
                 continue
             size, spare = len(index.texts[item]), index.allowed[item]
-            region = (back[-(offset + spare + 1):] + b" " if back and offset + spare else b"") + front[:size - offset + spare]
-            distance = best_edit_distance(index.texts[item], self._places(item), region)
+            region = normal[owner][max(0, start - offset - spare - 2):start] + front[:size - offset + spare]
+            distance = best_edit_distance(index.texts[item], self._places(item), region, spare)
             if distance <= spare and distance < best.get((owner, item), size + 1):
                 best[owner, item] = distance
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from crossmarket.llm import common
+from crossmarket.llm import common, decontamination
 from crossmarket.llm.decontamination import Scanner, build_index, gram_codes
 
 
@@ -46,3 +46,40 @@ def test_stages_take_batches_of_bounded_bytes(spark):
     finally:
         if before is None:
             spark.conf.unset(common.ARROW_BYTES)
+
+
+def test_the_edit_distance_leaves_a_text_that_cannot_reach_the_limit():
+    class Counted(bytes):
+        read = 0
+
+        def __iter__(self):
+            for c in bytes(self):
+                Counted.read += 1
+                yield c
+
+    def places(pattern):
+        return {c: sum(1 << i for i, x in enumerate(pattern) if x == c) for c in pattern}
+
+    pattern = b"the quick brown fox jumps over the lazy dog"
+    far = Counted(b"0123456789" * 8)
+    assert decontamination.best_edit_distance(pattern, places(pattern), far, 8) > 8
+    assert Counted.read < 0.7 * len(far)
+    chance = np.random.default_rng(3)
+    for _ in range(300):
+        pattern, text = (bytes(chance.integers(97, 100, n).astype(np.uint8)) for n in (chance.integers(1, 14), chance.integers(0, 40)))
+        whole = decontamination.best_edit_distance(pattern, places(pattern), text)
+        for limit in range(len(pattern)):
+            found = decontamination.best_edit_distance(pattern, places(pattern), text, limit)
+            assert found == whole if whole <= limit else found > limit
+
+
+def test_a_short_item_makes_no_candidates_of_long_ones(monkeypatch):
+    """Bands are told apart by the least number of their own item, not by the least of all items."""
+    chance, seen = np.random.default_rng(4), []
+    letters = lambda n: bytes(chance.integers(97, 105, n).astype(np.uint8)).decode()
+    items = [(0, "a short item of thirty letters")] + [(i, letters(300)) for i in range(1, 20)]
+    union = np.union1d
+    monkeypatch.setattr(decontamination.np, "union1d", lambda a, b: seen.append(len(a)) or union(a, b))
+    text = items[5][1][:8].join(letters(50) for _ in range(40)) + items[7][1]
+    found = decontamination.Scanner(decontamination.build_index(items, 0.2)).scan([text])
+    assert found == {(0, 7): 0} and max(seen) < 20
