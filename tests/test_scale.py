@@ -343,3 +343,18 @@ def test_rolling_volatility_deals_a_batch_before_windows(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Expand") < plan.index("RepartitionByExpression")
     assert found.count() == 4023 and found.agg(F.max("points"), F.max("volatility")).first() == (24, 0.0)
+
+
+def test_similar_titles_are_compared_as_far_as_allowed_and_once(spark):
+    chance = random.Random(9)
+    texts = ["".join(chance.choices("abc", k=chance.randint(0, 12))) for _ in range(160)]
+    left, right = (spark.createDataFrame([("A", t) for t in part], f"_category string, {name} string")
+                   for part, name in ((texts[:80], "x"), (texts[80:], "y")))
+    got = similarity_join.edit_similar_titles(left, right, ["_category"], ("x", "y"), 0.7)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    calls = [c.split(")")[0] for c in plan.split("levenshtein(")[1:]]
+    assert len(calls) == 1 and calls[0].count(",") == 2  # with a limit, and not again for the filter
+    every = left.distinct().crossJoin(right.drop("_category").distinct()).where("x <> '' AND y <> ''").withColumn(
+        "s", text.levenshtein_ratio(F.col("x"), F.col("y"))).where("s > 0.7")
+    want = sorted(tuple(r) for r in every.select("x", "y", "s").collect())
+    assert sorted((r.x, r.y, r.title_similarity) for r in got.collect()) == want and len(want) > 30
