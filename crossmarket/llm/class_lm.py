@@ -87,7 +87,7 @@ def _class_of(words: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(documents: DataFrame, labelled: DataFrame, classes: int) -> DataFrame:
-    """Rows (id, class, cells), one per block and clustered word: cells are pairs (slot, n) of 32-bit integers that say how
+    """Rows (id, class, cells), one per block and clustered word: cells (see _packed) are pairs (slot, n) that say how
     often the word stands after class `slot`, before class `slot - classes`, and (slot 2 * classes) after itself.
     The row with id -1 holds the block's class bigram matrix, n tokens of class slot % classes after slot // classes."""
     end, wide = classes - 1, 2 * classes + 1
@@ -106,15 +106,14 @@ def _contexts(documents: DataFrame, labelled: DataFrame, classes: int) -> DataFr
             keys = np.concatenate([(row + before)[mine], row[:-1][mine[:-1]] + classes + now[1:][mine[:-1]],
                                    row[1:][same] + 2 * classes])
             parts.append(np.unique(keys, return_counts=True))
-        keys, n = (np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2, *parts))
-        if len(parts) > 1:
-            keys, at = np.unique(keys, return_inverse=True)
-            n = np.bincount(at, weights=n, minlength=len(keys))
-        word, cells = keys // wide, np.flatnonzero(matrix)
+        keys, n = _merged(parts)
+        word, slot = np.divmod(keys, wide)
+        cells = np.flatnonzero(matrix)
+        word, mine = _packed(word, slot, n)
+        _, sums = _packed(cells, cells, matrix[cells])
         first = np.flatnonzero(np.diff(word, prepend=-1))
-        word = word[first]
-        pairs = np.concatenate([np.column_stack([keys % wide, n]), np.column_stack([cells, matrix[cells]])]).astype("<i4")
-        bounds = np.concatenate([first, [len(keys), len(pairs)]]).astype(np.int32) * 8
+        word, pairs = word[first], np.concatenate([mine, sums])
+        bounds = np.concatenate([first, [len(mine), len(pairs)]]).astype(np.int32) * 4
         packed = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(pairs)])
         return pa.table({"id": np.append(ids[word], -1), "class": np.append(class_of[word], -1).astype(np.int32),
                          "cells": packed})
@@ -123,11 +122,41 @@ def _contexts(documents: DataFrame, labelled: DataFrame, classes: int) -> DataFr
             .applyInArrow(tally, "id bigint, class int, cells binary"))
 
 
+MOST = (1 << 16) - 1  # of one cell; a slot is below 2^16 too, as there are at most 256 classes
+
+
+def _packed(rows: np.ndarray, slots: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and cell of each pair: 32 bits, n above and slot below. A greater n is dealt to several cells of its row."""
+    if n.max(initial=0) > MOST:
+        times = (n - 1) // MOST + 1
+        rest = n - (times - 1) * MOST
+        rows, slots, n = np.repeat(rows, times), np.repeat(slots, times), np.full(times.sum(), MOST)
+        n[np.cumsum(times) - 1] = rest
+    return rows, (n << 16 | slots).astype("<u4")
+
+
 def _pairs(cells: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, slot and n of all pairs in a column of cells."""
-    held = cells.to_pylist()
-    pairs = np.frombuffer(b"".join(held), "<i4").reshape(-1, 2)
-    return np.repeat(np.arange(len(held)), [len(x) // 8 for x in held]), pairs[:, 0].astype(np.int64), pairs[:, 1]
+    """Row, slot and n of all pairs in a column of cells, read where the column holds them."""
+    _, bounds, held = cells.cast(pa.binary()).buffers()
+    bounds = np.frombuffer(bounds, np.int32)[cells.offset:cells.offset + len(cells) + 1] // 4
+    pairs = np.frombuffer(held or b"", "<u4", int(bounds[-1]))[bounds[0]:].astype(np.int64)
+    return np.repeat(np.arange(len(cells)), np.diff(bounds)), pairs & MOST, pairs >> 16
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts, of parts with distinct keys each."""
+    keys, n = (np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2, *parts))
+    if len(parts) < 2:
+        return keys, n
+    width = int(n.max(initial=1)).bit_length()
+    if int(keys.max(initial=0)).bit_length() + width > 63:
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+    else:  # sorted as one number each, which is several times faster than sorting an order
+        both = np.sort(keys << width | n)
+        keys, n = both >> width, both & ((1 << width) - 1)
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _slices(texts: pa.ChunkedArray, stop: int, tokens: int = 1_000_000):

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from crossmarket.llm import common, decontamination
+from crossmarket.llm import class_lm, common, decontamination
 from crossmarket.llm.decontamination import Scanner, build_index, gram_codes
 
 
@@ -83,3 +83,27 @@ def test_a_short_item_makes_no_candidates_of_long_ones(monkeypatch):
     text = items[5][1][:8].join(letters(50) for _ in range(40)) + items[7][1]
     found = decontamination.Scanner(decontamination.build_index(items, 0.2)).scan([text])
     assert found == {(0, 7): 0} and max(seen) < 20
+
+
+def test_context_cells_hold_any_count_in_four_bytes():
+    chance = np.random.default_rng(6)
+    rows, slots = np.repeat(np.arange(50), 20), chance.integers(0, 1 << 16, 1000)
+    n = chance.integers(1, 300_000, 1000)
+    of, cells = class_lm._packed(rows, slots, n)
+    column = pa.array([b"left out", *(cells[of == r].tobytes() for r in range(50)), b""], pa.binary()).slice(1)
+    at, slot, many = class_lm._pairs(column)
+    sums = lambda *x: {k: sum(v for a, b, v in zip(*map(np.ndarray.tolist, x)) if (a, b) == k)
+                       for k in zip(x[0].tolist(), x[1].tolist())}
+    assert sums(at, slot, many) == sums(rows, slots, n) and many.max() == class_lm.MOST
+    few, small = class_lm._packed(rows, slots, np.minimum(n, 9))
+    assert small.nbytes == 4000 and few is rows
+
+
+def test_counts_of_parts_are_merged():
+    chance = np.random.default_rng(7)
+    for top in (40, 1 << 40, 1 << 62):
+        parts = [np.unique(chance.integers(0, 30, 200) * (top // 30), return_counts=True) for _ in range(5)]
+        keys, n = class_lm._merged([(k, c * 1000) for k, c in parts])
+        want = np.unique(np.concatenate([np.repeat(k, c) for k, c in parts]), return_counts=True)
+        assert (keys == want[0]).all() and (n == want[1] * 1000).all()
+    assert [len(x) for x in class_lm._merged([])] == [0, 0]
