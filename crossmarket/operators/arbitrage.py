@@ -9,6 +9,7 @@ from crossmarket.config import ArbitrageConfig
 from crossmarket.functions import dates, prices, vocab
 from crossmarket.operators.intervals import around, price_cell, up_to
 from crossmarket.operators.pairing import slice_join
+from crossmarket.sources.checkpoints import cut
 
 
 def smaller_volume() -> Column:
@@ -221,9 +222,9 @@ def _leg_directions(pairs: DataFrame, limit: float, keep: tuple[str, ...]) -> Da
     parts = []
     for buy, sell in (("Yes", "No"), ("No", "Yes")):
         a, b = F.col(f"a_{buy.lower()}"), F.col(f"b_{sell.lower()}")
-        margin = F.round(1.0 - (a + b), 6)
+        margin = prices.on_grid(1.0 - (a + b))
         way = pairs.where(F.col("_first") == buy.lower()) if "_first" in pairs.columns else pairs
-        parts.append(way.where(F.round(a + b, 6) < limit).select(
+        parts.append(way.where(prices.on_grid(a + b) < limit).select(
             *keep, F.col("a_id").alias("buy_market_id"), F.col("b_id").alias("sell_market_id"),
             F.lit(buy).alias("buy_outcome"), F.lit(sell).alias("sell_outcome"), a.alias("buy_price"),
             b.alias("sell_price"), margin.alias("profit_margin"),
@@ -236,10 +237,11 @@ def _cheap_pairs(priced: DataFrame, keys: list[str], limit: float) -> DataFrame:
     """Pairs of one key and different venues, smaller id first, that are below the limit in at least one direction.
 
     "My price plus yours is below the limit" is a range of the other's price cells, looked up as intervals, so pairs that
-    are too dear never meet, however many rows a key has.
+    are too dear never meet, however many rows a key has. The listings are read eight times, so they are written once.
     """
     columns = ("id", "platform", "yes", "no")
-    side = lambda t: priced.select(*keys, *[F.col(c).alias(f"{t}_{c}") for c in columns])
+    listings = cut(priced.select(*keys, *columns))
+    side = lambda t: listings.select(*keys, *[F.col(c).alias(f"{t}_{c}") for c in columns])
     found = None
     for mine, other in (("yes", "no"), ("no", "yes")):
         filed = side("a").withColumn("_at", F.explode(around(price_cell(F.col(f"a_{mine}")))))
@@ -247,7 +249,7 @@ def _cheap_pairs(priced: DataFrame, keys: list[str], limit: float) -> DataFrame:
         room = F.floor((limit - F.col(f"b_{other}")) * 100).cast("int") + 1
         asked = side("b").withColumn("_at", F.explode(up_to(room)))
         wanted = ((F.col("a_id") < F.col("b_id")) & (F.col("a_platform") != F.col("b_platform"))
-                  & (F.round(F.col(f"a_{mine}") + F.col(f"b_{other}"), 6) < limit))
+                  & (prices.on_grid(F.col(f"a_{mine}") + F.col(f"b_{other}")) < limit))
         part = slice_join(filed, asked, [*keys, "_at"], "a_id", "b_id", wanted).drop("_at").withColumn("_first", F.lit(mine))
         found = part if found is None else found.unionByName(part)
     return found

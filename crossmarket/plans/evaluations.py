@@ -539,7 +539,7 @@ def _(spark, root):
       FROM markets a JOIN markets b ON a.id < b.id, (VALUES ('Yes'), ('No')) s(buy)
       WHERE a.platform <> b.platform AND a.volume > 12000 AND b.volume > 12000 AND {LEG_SUM} < 0.99)""")
 def _(spark, root):
-    m = with_outcomes(derived.markets(spark, root))
+    m = cut(with_outcomes(derived.markets(spark, root)).select("id", "platform", "volume", "outcomes"))
     return arbitrage.selected_legs(m, m.where("volume > 12000").select("id"))
 
 

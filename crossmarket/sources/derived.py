@@ -52,7 +52,8 @@ def markets(spark: SparkSession, root: str) -> DataFrame:
     title = F.concat(F.lit("Will "), topic, F.lit(" "), F.col("p_name"), F.lit(" resolve yes"))
     close = F.col("e") + F.make_dt_interval((n % 40).cast("int"))
     platform = F.when(n % 2 == 0, "kalshi").otherwise("polymarket")
-    return (part.join(sold, part.p_partkey == sold.l_partkey).select(
+    # The join is on the key of the aggregate, so it needs no broadcast; the driver would gather the parts for one.
+    return (part.hint("merge").join(sold, part.p_partkey == sold.l_partkey).select(
         n.alias("n"), platform.alias("platform"), n.cast("string").alias("external_id"),
         F.concat_ws("-", platform, n.cast("string")).alias("id"),
         F.col("p_brand").alias("event_id"), title.alias("title"),

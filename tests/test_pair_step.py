@@ -68,3 +68,12 @@ def test_long_stages_are_split(spark):
     from crossmarket.plans import registry
     next(iter(__import__("__spark_entry__").queries().values()))(spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get(registry.METHOD_LIMIT)) <= 8000
+
+
+def test_selected_legs_derive_their_listings_once(spark):
+    """The driver gathers no listings for a broadcast, and the pair joins read the ones written."""
+    from crossmarket.sources import derived
+    root = "/root/testdata/sf0.001"
+    plan = __import__("__spark_entry__").queries()["d14_selected_legs"](spark, root)._jdf.queryExecution()
+    assert "l_partkey" not in plan.optimizedPlan().toString()
+    assert "BroadcastHashJoin" not in derived.markets(spark, root)._jdf.queryExecution().sparkPlan().toString()
