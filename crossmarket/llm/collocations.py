@@ -12,7 +12,7 @@
    sequences one word longer.
 4. Counts of phrases and of their parts meet in joins; keys that many rows share are looked up by broadcast.
 
-What a task holds is a block and one broadcast, and so does the driver. More words or candidates mean more passes.
+What a task holds is a few blocks and one broadcast, however much text it reads; the driver holds one broadcast. More words or candidates mean more passes.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossmarket.llm.common import Scratch, dense_numbers, reachable, shared_lookup
+from crossmarket.llm.common import Scratch, bounded_batches, dense_numbers, reachable, shared_lookup
 
 BITS = 6
 FAN = 1 << BITS
 ROWS = 1 << 15  # of one batch to Spark
+BLOCK_BYTES = 16 << 20  # of a row group of blocks; a block has some megabytes
 PIECE_ENDS = re.compile(r"[.,;:!?\x0A-\x0D]")
 
 
@@ -285,10 +286,11 @@ def phrase_counts(docs: DataFrame, min_count: int = 100, most_words: int = 5, la
     numbers, length, a), the words (lang, word, number, n), and all word occurrences of each language (lang, n)."""
     spark = docs.sparkSession
     reachable(spark)
+    bounded_batches(spark)
     scratch = Scratch(spark, "phrases")
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                        F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
-    blocks, path = scratch.write(_blocks(rows, block_words))
+    blocks, path = scratch.write(_blocks(rows, block_words), BLOCK_BYTES)
     counted = scratch.cut(_word_rows(blocks).groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = scratch.cut(dense_numbers(counted.where(F.col("n") >= min_count), scratch))
@@ -300,7 +302,7 @@ def phrase_counts(docs: DataFrame, min_count: int = 100, most_words: int = 5, la
         for lang, word, number in zip(*(part.column(c).to_pylist() for c in ("lang", "word", "number"))):  # at most words_size
             numbers.setdefault(lang, {})[word] = number
         last, done = offset + words_size >= many, path
-        blocks, path = scratch.write(_renumbered(blocks, spark.sparkContext.broadcast(numbers), last))
+        blocks, path = scratch.write(_renumbered(blocks, spark.sparkContext.broadcast(numbers), last), BLOCK_BYTES)
         scratch.drop(done)
     blocks_path = path
     number_bytes = F.unhex(F.lpad(F.hex("number"), 8, "0"))
@@ -319,7 +321,8 @@ def phrase_counts(docs: DataFrame, min_count: int = 100, most_words: int = 5, la
             matrix = np.frombuffer(b"".join(phrases), ">i4").reshape(-1, length).astype(np.int64)
             sent = spark.sparkContext.broadcast(Trie(matrix, digits))
             last = offset + part_size >= total
-            table, path = scratch.write(_pass(state, sent, offset, digits, length < most_words, last))
+            passed = _pass(state, sent, offset, digits, length < most_words, last)
+            table, path = scratch.write(passed, None if last else BLOCK_BYTES)
             tables.append(path)
             state = table.where("ids IS NOT NULL").select("lang", "ids", "state")
         found = spark.read.parquet(*tables)

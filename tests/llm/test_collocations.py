@@ -87,3 +87,31 @@ def test_empty_tables(table):
     assert collocations(table.limit(0)).count() == 0
     assert collocations(table.where("text IS NULL"), 1).count() == 0
     assert collocations(table, 10 ** 6).count() == 0
+
+
+def test_blocks_are_written_in_small_row_groups(spark, monkeypatch):
+    """A task that reads much text must not hold all its blocks at once: 60 blocks of one task are many row groups."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    from crossmarket.llm import collocations
+    monkeypatch.setattr(collocations, "BLOCK_BYTES", 1 << 14, raising=False)
+    seen, written = [], collocations.Scratch.write
+
+    def write(self, df, *bounds):
+        table, path = written(self, df, *bounds)
+        if "ids" in df.columns and "phrase" not in df.columns:
+            seen.append([pq.ParquetFile(f) for f in sorted(__import__("glob").glob(f"{path}/*.parquet"))])
+        return table, path
+
+    monkeypatch.setattr(collocations.Scratch, "write", write)
+    chance = random.Random(1)
+    words = [f"word{i}" for i in range(3000)]
+    rows = [(i, "en", " ".join(chance.choices(words, k=2000))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1)
+    collocations.phrase_counts(docs, 5, 2, block_words=2000)
+    assert len(seen) == 2
+    for files in seen:
+        assert sum(f.metadata.num_rows for f in files) == 60
+        assert all(f.metadata.row_group(g).num_rows <= 10 for f in files for g in range(f.metadata.num_row_groups))
